@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import fingerprint, langid, packing, tokens, warc
+from readloom.llm import fingerprint, langid, near_vectors, ngram_join, packing, tokens, warc
 
 LIMIT = 2048
 
@@ -21,6 +21,10 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.join(_docs(spark, d))
+
+
 def op3(spark: SparkSession, d: str) -> DataFrame:
     return fingerprint.fingerprints(_docs(spark, d))
 
@@ -34,6 +38,10 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
     return tokens.count_tokens(_docs(spark, d), tokenizer("word_bpe_49k.json"), limit=LIMIT)
 
 
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    return near_vectors.near_duplicates(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
 def op7(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.pieces(_docs(spark, d), tokenizer("byte_bpe_50k.json"), size=LIMIT), size=LIMIT)
 
@@ -43,9 +51,11 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1,
     "op3_document_fingerprints": op3,
     "op4_language_id": op4,
     "op5_token_counts": op5,
+    "op6_embedding_near_dedup": op6,
     "op7_best_fit_packing": op7,
     "op10_warc": op10,
 }
