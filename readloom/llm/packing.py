@@ -152,15 +152,17 @@ def pack(parts: DataFrame, *, size: int = 2048, group: int = GROUP, rounds: int
     key = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).cast("long")
     if groups > 1:  # equal rows, were there very many of them, would meet in a group: deal them apart
         key = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long")
-    done = table(parts.withColumn("grp", key).groupBy("grp").applyInPandas(_run(size), _PACKED), "packed")
+    open_, closed = table(parts.withColumn("grp", key).groupBy("grp").applyInPandas(_run(size), _PACKED), "packed"), []
     for turn in range(1, rounds + 1):
-        gaps = done.where("bins > least").select("grp").distinct().orderBy("grp").withColumn("gap", F.lit(1))
-        n = gaps.count()
+        closed.append(open_.where("bins <= least"))
+        open_ = open_.where("bins > least")
+        n = open_.select("grp").distinct().count()
         if n < 2:
             break
-        # Each exchange deals the pieces of two groups with a gap over one pool, paired otherwise each time.
-        pools = gaps.withColumn("pool", F.pmod(F.xxhash64("grp", F.lit(turn)), F.lit(max(1, n // 2))) + F.lit(turn << 40)).drop("gap")
-        moved = done.join(pools, "grp", "left")
-        again = moved.where("pool is not null").groupBy("pool").applyInPandas(_run(size), _PACKED)
-        done = table(moved.where("pool is null").drop("pool").unionByName(again), "packed")
+        # Each exchange deals the groups with a gap over half as many pools, otherwise each time; a row tells its group's gap itself.
+        pool = F.pmod(F.xxhash64("grp", F.lit(turn)), F.lit(n // 2)) + F.lit(turn << 40)
+        open_ = table(open_.withColumn("pool", pool).groupBy("pool").applyInPandas(_run(size), _PACKED), "packed")
+    done = open_
+    for x in closed:
+        done = done.unionByName(x)
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("grp") * F.lit(1 << 20) + F.col("bin")).alias("sequence_id"), "offset")
