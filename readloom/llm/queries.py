@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import fingerprint, langid, near_vectors, ngram_join, packing, tokens, warc
+from readloom.llm import fingerprint, langid, near_vectors, ngram_join, packing, tokens, toxicity, warc
 
 LIMIT = 2048
 
@@ -25,6 +25,11 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     return ngram_join.join(_docs(spark, d))
 
 
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet")))
+
+
 def op3(spark: SparkSession, d: str) -> DataFrame:
     return fingerprint.fingerprints(_docs(spark, d))
 
@@ -52,6 +57,7 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1,
+    "op2_toxicity": op2,
     "op3_document_fingerprints": op3,
     "op4_language_id": op4,
     "op5_token_counts": op5,
