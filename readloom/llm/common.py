@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -53,6 +54,14 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow send Python at most 1,000 rows and 8 MB at once from now on: texts and pages can be long, and a worker holds a batch several times."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = int(re.match(r"-?\d+", spark.conf.get(key))[0]) * 1024 ** "bkmgt".index(re.search(r"[kmgt]?b?$", spark.conf.get(key).lower())[0][:1] or "b")
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -63,15 +72,23 @@ def held_out(id_col: str, remainder: int = 2, of: int = 4) -> Column:
 
 
 def each_batch(fn: Callable[[pa.RecordBatch], dict | None], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function from one that turns a batch into columns."""
+    """A mapInArrow function from one that turns a batch into columns; a column ``kept`` passes as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (columns := fn(batch)) is not None:
-                yield record_batch(columns, schema)
+                yield record_batch(columns, schema if "kept" not in columns else schema.append(pa.field("kept", columns["kept"].type)))
 
     return run
 
 
+def kept_as(docs: DataFrame, keep: list[str] | None) -> tuple[list[Column], str]:
+    """For operators that may keep columns of their input beside their own: a struct ``kept`` to select, and its part of the schema."""
+    if not keep:
+        return [], ""
+    kept = F.struct(*(docs[c] for c in keep)).alias("kept")
+    return [kept], f", kept {docs.select(kept).schema[0].dataType.simpleString()}"
+
+
 def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, type=f.type) for f in schema], schema=schema)

@@ -3,8 +3,8 @@
 A text is cut into paragraphs (lines, and the sentences of a line, so that a text of a single line has parts too);
 each part's 64-bit digest goes into one cell of each of three rows.  A cell holds how many digests it got, their XOR
 and the XOR of their check words.  Subtracting two sketches leaves the digests in which the texts differ, and peeling
-reads them out as long as some cell holds just one.  When peeling gets stuck both sketches are made again four times as
-large, until it ends.  The likeness of two texts is the Jaccard coefficient of their multisets of parts, which follows
+reads them out as long as some cell holds just one.  When peeling gets stuck both sketches are made again
+larger, until it ends.  The likeness of two texts is the Jaccard coefficient of their multisets of parts, which follows
 from their sizes and the number of differing digests.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from readloom.llm.common import partitions, record_batch
+from readloom.llm.common import partitions, record_batch, small_batches
 
 CELLS = 24
 ROWS = 3
@@ -45,13 +45,13 @@ def parts(text: str) -> list[str]:
 
 
 def digests(text: str) -> list[int]:
-    """One digest a part; the second, third ... occurrence of a part has digests of its own."""
+    """One digest a part, all different; the second, third ... occurrence of a part has digests of its own."""
     seen: dict[str, int] = {}
-    out = []
+    out: dict[int, None] = {}
     for part in parts(text):
         n = seen[part] = seen.get(part, 0) + 1
-        out.append(xxhash.xxh3_64_intdigest(part.encode(), n))
-    return out
+        out[xxhash.xxh3_64_intdigest(part if n == 1 else f"{n}\0{part}")] = None
+    return list(out)
 
 
 class Sketch:
@@ -64,10 +64,6 @@ class Sketch:
         n = self.width * ROWS
         self.counts, self.keys, self.checks = [0] * n, [0] * n, [0] * n
 
-    def places(self, digest: int) -> list[int]:
-        w = self.width
-        return [(((digest * k & _MASK) >> 33) * w >> 31) + row * w for row, k in enumerate(_K[:ROWS])]
-
     @classmethod
     def of(cls, items: list[int], cells: int = CELLS) -> Sketch:
         out = cls(cells)
@@ -75,12 +71,23 @@ class Sketch:
             out.add(digest, 1)
         return out
 
-    def add(self, digest: int, times: int) -> None:
+    def add(self, digest: int, times: int) -> tuple[int, int, int]:
+        """Puts a digest into a cell of each row, or takes it out; gives their places."""
+        w, counts, keys, checks = self.width, self.counts, self.keys, self.checks
         check = (digest * _K[3] & _MASK) >> 32
-        for at in self.places(digest):
-            self.counts[at] += times
-            self.keys[at] ^= digest
-            self.checks[at] ^= check
+        a = ((digest * _K[0] & _MASK) >> 33) * w >> 31
+        b = (((digest * _K[1] & _MASK) >> 33) * w >> 31) + w
+        c = (((digest * _K[2] & _MASK) >> 33) * w >> 31) + w + w
+        counts[a] += times
+        counts[b] += times
+        counts[c] += times
+        keys[a] ^= digest
+        keys[b] ^= digest
+        keys[c] ^= digest
+        checks[a] ^= check
+        checks[b] ^= check
+        checks[c] ^= check
+        return a, b, c
 
     def minus(self, other: Sketch) -> Sketch:
         out = Sketch.__new__(Sketch)
@@ -101,8 +108,7 @@ class Sketch:
             if n not in (1, -1) or (digest * _K[3] & _MASK) >> 32 != self.checks[at]:
                 continue
             (mine if n == 1 else theirs).append(digest)
-            self.add(digest, -n)
-            ready += [i for i in self.places(digest) if self.counts[i] in (1, -1)]
+            ready += [i for i in self.add(digest, -n) if self.counts[i] in (1, -1)]
         return None if any(self.counts) or any(self.keys) else (mine, theirs)
 
     def text(self, n: int) -> str:
@@ -110,13 +116,16 @@ class Sketch:
 
 
 def differing(a: list[int], b: list[int], first: tuple[Sketch, Sketch] | None = None) -> tuple[list[int], list[int]]:
-    """The digests in only ``a`` and only ``b``, recovered by peeling; sketches grow fourfold as long as that fails."""
+    """The digests in only ``a`` and only ``b``, recovered by peeling.
+
+    When that fails, sketches are made with 3/2 cells for each digest of either side, and twice as large from then on.
+    """
     cells = CELLS
     while True:
         x, y = first if first and cells == CELLS else (Sketch.of(a, cells), Sketch.of(b, cells))
         if (got := x.minus(y).peel()) is not None:
             return got
-        cells *= 4
+        cells = max(2 * cells, (len(a) + len(b)) * 3 // 2 + CELLS) if cells == CELLS else 2 * cells
 
 
 def likeness(a: list[int], b: list[int], first: tuple[Sketch, Sketch] | None = None) -> float:
@@ -162,6 +171,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     before it, so no order over all rows in one place is needed.
     """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))
     cuts = np.unique(np.array(rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n), np.float64).astype(np.int64)) if n > 1 else np.empty(0, np.int64)
 
