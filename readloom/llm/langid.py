@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import each_batch, held_out
+from readloom.llm.common import each_batch, held_out, kept_as
 
 GRAM = 4
 HASHES = 2
@@ -144,13 +144,14 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return Filters.of(texts)
 
 
-def identify(docs: DataFrame, filters: Filters, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, lang_pred, score``; ``und`` with score 0 where the text is null or has no letter.  Repeated rows stay repeated; an empty table gives no rows."""
+def identify(docs: DataFrame, filters: Filters, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score``, and the columns to ``keep`` as a struct ``kept``; ``und`` with score 0 where the text is null or has no letter.  Repeated rows stay repeated; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2 ** SLOTS_BITS words
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def predicted(batch: pa.RecordBatch) -> dict:
         found = [shared.value.predict(x) for x in batch.column(2).to_pylist()]
-        return {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
+        return {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]} | ({"kept": batch.column(3)} if keep else {})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(each_batch(predicted, schema), "doc_id long, held_out boolean, lang_pred string, score double")
+    kept, kind = kept_as(docs, keep)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"), *kept).mapInArrow(each_batch(predicted, schema), "doc_id long, held_out boolean, lang_pred string, score double" + kind)

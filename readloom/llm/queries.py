@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import fingerprint, langid, near_vectors, ngram_join, packing, tokens, toxicity, warc
+from readloom.llm import fingerprint, langid, licences, mixing, near_vectors, ngram_join, packing, tokens, toxicity, warc
 
 LIMIT = 2048
 
@@ -51,6 +51,16 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.pieces(_docs(spark, d), tokenizer("byte_bpe_50k.json"), size=LIMIT), size=LIMIT)
 
 
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return mixing.mixed(docs, mixing.labelled_domains(docs, spark.read.parquet(f"{d}/labels.parquet")))
+
+
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return licences.scan(docs, licences.train(licences.paragraph_sample(docs)))
+
+
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return warc.pages_through_archives(spark.read.parquet(f"{d}/pages.parquet"))
 
@@ -63,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5,
     "op6_embedding_near_dedup": op6,
     "op7_best_fit_packing": op7,
+    "op8_mixing": op8,
+    "op9_license_scans": op9,
     "op10_warc": op10,
 }
 
