@@ -41,7 +41,7 @@ TEMPLATES = {
 }
 UNKNOWN = "unknown"
 #: Part of a template's n-grams that a paragraph has to hold; probability that a family has to reach.
-CONTAINED, LEAST = 0.6, 0.5
+CONTAINED, LEAST = 0.7, 0.5
 #: Paragraphs of the corpus that teach ordinary text, at most; variants of a template to learn from.
 BACKGROUND, VARIANTS = 400, 30
 _TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -123,8 +123,8 @@ def train(paragraphs: list[str], seed: int = 5) -> Scanner:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    for _ in range(400):
-        w -= 4.0 * (x[~fold].T @ (softmax(x[~fold] @ w) - y[~fold]) / (~fold).sum() + 1e-4 * w)
+    for _ in range(160):
+        w -= 6.0 * (x[~fold].T @ (softmax(x[~fold] @ w) - y[~fold]) / (~fold).sum() + 1e-4 * w)
     z = x[fold] @ w
     scale = min((0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0), key=lambda s: -float(np.log((softmax(s * z) * y[fold]).sum(axis=1) + 1e-12).mean()))
     w = w - w[:, -1:]  # the unknown class is the reference: its logit is 0
