@@ -1,15 +1,588 @@
-"""The queries over the driver's tables, by name, with the same in SQL."""
+"""The queries over the driver's tables, by name, with the same in SQL.
+
+The tables hold no sequencing data, so reads are derived from text: letters become bases by a fixed table.
+"""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from readloom.functions import scalar as S
+from readloom.functions.display import display
+from readloom.lang.compile import compile_script
+from readloom.operators import matching
+from readloom.operators.aggregates import count_effect, mean_effect
+
+from readloom.operators.relations import as_read, demultiplex, members, with_reverse_complement, zip_pairs
+from readloom.operators.search import find_all
+from readloom.plans.regions import Hole, Term, compile_regions, named, sized
+from readloom.sinks import files
+from readloom.sources import bam, text
+from readloom.sources.scratch import scratch
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+#: Bases and qualities by letter.
+LETTERS, TO_BASES, TO_QUALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTNACGTACGTACGTACGTA", "@BDFHJKLMNOPQRSTUVWXYZabcd"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return register
+
+
+# Derived reads, in both languages.
+
+
+def _letters(column: str, first: int, n: int, table: str):
+    return F.translate(F.substring(F.upper(F.regexp_replace(column, "[^A-Za-z]", "")), first, n), LETTERS, table)
+
+
+def _sql_letters(column: str, first: int, n: int, table: str) -> str:
+    return f"translate(substring(upper(regexp_replace({column}, '[^A-Za-z]', '', 'g')), {first}, {n}), '{LETTERS}', '{table}')"
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def fq(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.concat(F.lit("read"), F.col("doc_id")).alias("id"), F.col("lang").alias("desc"), _letters("text", 1, 150, TO_BASES).alias("seq"), _letters("text", 1, 150, TO_QUALS).alias("qual"))
+
+
+def pg(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select(F.col("page_id").alias("row_id"), F.concat(F.lit("page"), F.col("page_id")).alias("id"), F.col("url").alias("desc"), _letters("html", 1, 150, TO_BASES).alias("seq"))
+
+
+def sam(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("l_orderkey") * 37 + F.col("l_linenumber") * 211
+    return table(spark, d, "lineitem").select(F.concat(F.lit("q"), F.col("l_orderkey"), F.lit("_"), F.col("l_linenumber")).alias("qname"), (n % 4096).cast("int").alias("flag"), F.concat(F.lit("chr"), F.col("l_suppkey") % 24 + 1).alias("rname"), F.col("l_partkey").cast("int").alias("pos"), F.col("l_quantity").cast("int").alias("mapq"), F.concat(F.lit("NM:i:"), F.col("l_linenumber")).alias("tags"))
+
+
+def barcodes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("name"), _letters("text", 11, 8, TO_BASES).alias("seq"))
+
+
+FQ = f"""fq AS (SELECT doc_id AS row_id, concat('read', doc_id) AS id, lang AS "desc", {_sql_letters("text", 1, 150, TO_BASES)} AS seq, {_sql_letters("text", 1, 150, TO_QUALS)} AS qual FROM documents)"""
+PG = f"""pg AS (SELECT page_id AS row_id, concat('page', page_id) AS id, url AS "desc", {_sql_letters("html", 1, 150, TO_BASES)} AS seq FROM pages)"""
+SAM = "sam AS (SELECT concat('q', l_orderkey, '_', l_linenumber) AS qname, CAST((l_orderkey * 37 + l_linenumber * 211) % 4096 AS INT) AS flag, concat('chr', l_suppkey % 24 + 1) AS rname, CAST(l_partkey AS INT) AS pos, CAST(l_quantity AS INT) AS mapq, concat('NM:i:', l_linenumber) AS tags FROM lineitem)"
+BC = f"bc AS (SELECT item_id AS name, {_sql_letters('text', 11, 8, TO_BASES)} AS seq FROM benchmark)"
+RC = f"reverse(translate(seq, '{S.BASES}', '{S.COMPLEMENTS}'))"
+
+
+def reads(spark: SparkSession, d: str) -> DataFrame:
+    """Derived reads as scripts see them."""
+    return as_read(fq(spark, d).withColumnRenamed("row_id", "_row_id"))
+
+
+def script(spark: SparkSession, d: str, code: str, **more):
+    return compile_script(spark, code, reads(spark, d), **more)
+
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+    """The two bases after each ``ACG``, counted: scan, pattern, slices and a keyed count without leaving the JVM."""
+    return count_effect(script(spark, d, "if read matches [_ ACG rest:_] => if rest.seq.len() >= 2 { rest.seq.slice(0, 2).count!(name = 'after') }").count)
+
+
+# ---- sources ----
+
+
+def _written(spark: SparkSession, rows: DataFrame, label: str, compression: str = "none") -> str:
+    path = scratch(spark, label)
+    rows.write.option("compression", compression).text(path)
+    return path
+
+
+@query("fasta_scan", f"WITH {FQ} SELECT id, \"desc\", seq FROM fq")
+def _(spark, d):
+    r = fq(spark, d)
+    half = F.floor(F.length("seq") / 2).cast("int")
+    two_lines = F.concat(F.lit(">"), F.col("id"), F.lit(" "), F.col("desc"), F.lit("\n"), F.substring(F.col("seq"), F.lit(1), half), F.lit("\n"), F.substring(F.col("seq"), half + 1, F.length("seq")))
+    return text.fasta(spark, _written(spark, r.select(two_lines), "fasta")).select("id", "desc", "seq")
+
+
+@query("fastq_scan", f"WITH {FQ} SELECT id, \"desc\", seq, qual FROM fq")
+def _(spark, d):
+    r = fq(spark, d).select(files.as_fastq(F.struct("id", "desc", "seq", "qual")))
+    return text.fastq(spark, _written(spark, r, "fastq")).select("id", "desc", "seq", "qual")
+
+
+@query("gzip_scan", f"WITH {FQ} SELECT id, \"desc\", seq FROM fq")
+def _(spark, d):
+    r = fq(spark, d).select(files.as_fasta(F.struct("id", "desc", "seq")))
+    return text.fasta(spark, _written(spark, r, "fasta-gz", "gzip")).select("id", "desc", "seq")
+
+
+def _alignments(spark, d) -> DataFrame:
+    return sam(spark, d).select("qname", F.col("flag").cast("float").alias("flag"), "rname", F.col("pos").cast("float").alias("pos"), F.col("mapq").cast("float").alias("mapq"), F.lit("4M").alias("cigar"), F.lit("*").alias("rnext"), F.lit(0.0).cast("float").alias("pnext"), F.lit(0.0).cast("float").alias("tlen"), F.lit("ACGT").alias("seq"), F.lit("IIII").alias("qual"), "tags")
+
+
+def _aligned(df: DataFrame) -> DataFrame:
+    return df.select("qname", F.col("flag").cast("bigint").alias("flag"), "rname", F.col("pos").cast("bigint").alias("pos"), F.col("mapq").cast("bigint").alias("mapq"), "seq", "qual", "tags")
+
+
+SAM_BACK = f"WITH {SAM} SELECT qname, CAST(flag AS BIGINT) AS flag, rname, CAST(pos AS BIGINT) AS pos, CAST(mapq AS BIGINT) AS mapq, 'ACGT' AS seq, 'IIII' AS qual, tags FROM sam"
+
+
+@query("sam_scan", SAM_BACK)
+def _(spark, d):
+    r = _alignments(spark, d)
+    lines = r.select(files.as_sam(F.struct(*r.columns).alias("x"), r.select(F.struct(*r.columns)).schema[0].dataType))
+    return _aligned(text.sam(spark, _written(spark, lines, "sam")))
+
+
+@query("bam_roundtrip", SAM_BACK)
+def _(spark, d):
+    """Files of alignments by reference, written and read back as BAM."""
+    r = _alignments(spark, d)
+    folder = scratch(spark, "bam").removeprefix("file://")
+    os.makedirs(folder)
+    header = "".join(f"@SQ\tSN:chr{i}\tLN:100000000\n" for i in range(1, 25))
+    kind = r.select(F.struct(*r.columns)).schema[0].dataType
+    files.write_files(r.select(F.concat("rname", F.lit(".bam")).alias("filename"), F.col("qname").alias("_row_id"), files.as_sam(F.struct(*r.columns), kind).alias("body")), folder, header)
+    parts = [bam.bam(spark, f"{folder}/{name}") for name in sorted(os.listdir(folder)) if name.endswith(".bam")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _aligned(out)
+
+
+@query("csv_scan", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def _(spark, d):
+    path = scratch(spark, "csv")
+    table(spark, d, "nation").write.option("header", True).csv(path)
+    return text.dsv(spark, path).drop("_row_id")
+
+
+@query("tsv_scan", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def _(spark, d):
+    path = scratch(spark, "tsv")
+    table(spark, d, "nation").write.option("header", True).option("sep", "\t").csv(path)
+    return text.dsv(spark, path, "\t").drop("_row_id")
+
+
+@query("list_scan", f"WITH {FQ} SELECT seq FROM fq")
+def _(spark, d):
+    return text.lines(spark, _written(spark, fq(spark, d).select("seq"), "list")).select("seq")
+
+
+@query("paired_zip", f"WITH {FQ}, {PG} SELECT a.id AS r1_id, b.id AS r2_id, a.seq AS r1_seq, b.seq AS r2_seq FROM (SELECT *, row_number() OVER (ORDER BY row_id) AS n FROM fq) a JOIN (SELECT *, row_number() OVER (ORDER BY row_id) AS n FROM pg) b ON a.n = b.n")
+def _(spark, d):
+    a, b = (x.withColumnRenamed("row_id", "_row_id") for x in (fq(spark, d), pg(spark, d)))
+    return zip_pairs(a, b).select(F.col("r1.id").alias("r1_id"), F.col("r2.id").alias("r2_id"), F.col("r1.seq").alias("r1_seq"), F.col("r2.seq").alias("r2_seq"))
+
+
+@query("with_reverse_complement", f"WITH {FQ} SELECT id, 0 AS strand, seq, qual FROM fq UNION ALL SELECT id, 1 AS strand, {RC} AS seq, reverse(qual) AS qual FROM fq")
+def _(spark, d):
+    return with_reverse_complement(reads(spark, d)).select("read.id", F.col("_strand").alias("strand"), "read.seq", "read.qual")
+
+
+# ---- scalars ----
+
+_KEY = "l_orderkey, l_linenumber"
+
+
+def _line(spark, d, *columns) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *columns)
+
+
+def _whole(x):
+    return F.when(F.isnan(x), F.lit("NaN")).when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(F.round(x.cast("double") * 1000).cast("bigint").cast("string"))
+
+
+def _sql_whole(x: str) -> str:
+    return f"CASE WHEN isnan({x}) THEN 'NaN' WHEN isinf({x}) THEN CASE WHEN {x} > 0 THEN 'inf' ELSE '-inf' END ELSE CAST(CAST(round(CAST({x} AS DOUBLE) * 1000) AS BIGINT) AS VARCHAR) END"
+
+
+Q, L_ = "CAST(l_quantity AS FLOAT)", "CAST(l_linenumber AS FLOAT)"
+
+
+@query("arith_ops", f"SELECT {_KEY}, {_sql_whole(f'{Q} + {L_}')} AS added, {_sql_whole(f'{Q} - {L_}')} AS less, {_sql_whole(f'{Q} * {L_}')} AS product, {_sql_whole(f'{Q} / CAST(4 AS FLOAT)')} AS quarter FROM lineitem")
+def _(spark, d):
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    return _line(spark, d, _whole(S.plus(q, n)).alias("added"), _whole(S.minus(q, n)).alias("less"), _whole(S.times(q, n)).alias("product"), _whole(S.divide(q, F.lit(4))).alias("quarter"))
+
+
+@query("ieee_div_mod", f"SELECT {_KEY}, CASE WHEN l_linenumber % 3 = 0 THEN CASE WHEN l_quantity - 25 > 0 THEN 'inf' WHEN l_quantity - 25 < 0 THEN '-inf' ELSE 'NaN' END ELSE CAST(CAST(round((l_quantity - 25) / (l_linenumber % 3) * 1000) AS BIGINT) AS VARCHAR) END AS ratio, CASE WHEN l_linenumber % 3 = 0 THEN 'NaN' ELSE CAST(CAST((l_quantity - 25) % (l_linenumber % 3) * 1000 AS BIGINT) AS VARCHAR) END AS remainder FROM lineitem")
+def _(spark, d):
+    a, b = F.col("l_quantity") - 25, F.col("l_linenumber") % 3
+    return _line(spark, d, _whole(S.divide(a, b)).alias("ratio"), _whole(S.modulo(a, b)).alias("remainder"))
+
+
+@query("pow_ops", f"SELECT {_KEY}, CAST(pow(CAST(l_linenumber AS DOUBLE), 3) AS BIGINT) AS cubed, CAST(pow(CAST(2 AS DOUBLE), l_linenumber) AS BIGINT) AS doubled FROM lineitem")
+def _(spark, d):
+    n = F.col("l_linenumber")
+    return _line(spark, d, S.power(n, F.lit(3)).cast("bigint").alias("cubed"), S.power(F.lit(2), n).cast("bigint").alias("doubled"))
+
+
+@query("compare_ops", f"SELECT {_KEY}, l_quantity < 25 AS lt, l_quantity > 25 AS gt, l_quantity <= 25 AS le, l_quantity >= 25 AS ge, l_quantity = 25 AS eq, l_quantity <> 25 AS ne FROM lineitem")
+def _(spark, d):
+    q, x = S.num(F.col("l_quantity")), S.num(25)
+    return _line(spark, d, (q < x).alias("lt"), (q > x).alias("gt"), (q <= x).alias("le"), (q >= x).alias("ge"), S.number_equal(q, x).alias("eq"), (~S.number_equal(q, x)).alias("ne"))
+
+
+@query("bool_ops", f"SELECT {_KEY}, l_quantity < 25 AND l_linenumber > 2 AS both, l_quantity < 25 OR l_linenumber > 2 AS either, NOT (l_quantity < 25) AS neither FROM lineitem")
+def _(spark, d):
+    a, b = F.col("l_quantity") < 25, F.col("l_linenumber") > 2
+    return _line(spark, d, (a & b).alias("both"), (a | b).alias("either"), (~a).alias("neither"))
+
+
+@query("any_equality", "SELECT doc_id AS row_id, lang = 'en' AS same, false AS mixed, false AS lists, true AS records FROM documents")
+def _(spark, d):
+    code = "'{read.desc == 'en'} {read.id == 1} {[read.id] == [read.id]} { {a = read.id, b = 2} == {b = 2, a = read.id} }'.stdout!()"
+    got = F.split(F.col("value"), " ")
+    return script(spark, d, code).stdout.select(F.col("_row_id").alias("row_id"), *((got[i] == "true").alias(n) for i, n in enumerate(("same", "mixed", "lists", "records"))))
+
+
+@query("neg_num", f"SELECT {_KEY}, CAST(-l_quantity AS BIGINT) AS negative FROM lineitem")
+def _(spark, d):
+    return _line(spark, d, S.negative(F.col("l_quantity")).cast("bigint").alias("negative"))
+
+
+@query("revcomp_str", f"WITH {FQ} SELECT id, {RC} AS seq FROM fq")
+def _(spark, d):
+    return fq(spark, d).select("id", S.reverse_complement(F.col("seq")).alias("seq"))
+
+
+@query("revcomp_read", f"WITH {FQ} SELECT id, \"desc\", {RC} AS seq, reverse(qual) AS qual FROM fq")
+def _(spark, d):
+    r = S.read_reverse_complement(F.col("read"), ["seq", "id", "desc", "qual"])
+    return reads(spark, d).select(r.alias("r")).select("r.id", "r.desc", "r.seq", "r.qual")
+
+
+@query("round_floor_ceil", f"SELECT {_KEY}, CAST(round((l_quantity - 25) / 2) AS BIGINT) AS rounded, CAST(floor((l_quantity - 25) / 4) AS BIGINT) AS down, CAST(ceil((l_quantity - 25) / 4) AS BIGINT) AS up FROM lineitem")
+def _(spark, d):
+    x = F.col("l_quantity") - 25
+    return _line(spark, d, S.round_half_away(x / 2).cast("bigint").alias("rounded"), S.floor(x / 4).cast("bigint").alias("down"), S.ceil(x / 4).cast("bigint").alias("up"))
+
+
+@query("str_len", f"WITH {FQ} SELECT id, CAST(length(seq) AS BIGINT) AS n FROM fq")
+def _(spark, d):
+    return fq(spark, d).select("id", S.length(F.col("seq")).cast("bigint").alias("n"))
+
+
+@query("str_slice", f"WITH {FQ} SELECT id, substring(seq, 2, 2) AS part FROM fq")
+def _(spark, d):
+    return fq(spark, d).select("id", S.slice_(F.col("seq"), F.lit(1), F.lit(3)).alias("part"))
+
+
+@query("str_case", f"WITH {FQ} SELECT id, lower(seq) AS low, upper(\"desc\") AS high FROM fq")
+def _(spark, d):
+    return fq(spark, d).select("id", S.to_lower(F.col("seq")).alias("low"), S.to_upper(F.col("desc")).alias("high"))
+
+
+@query("str_find", f"WITH {FQ} SELECT id, CAST(instr(seq, 'ACG') - 1 AS BIGINT) AS at, CAST(CASE WHEN instr(seq, 'ACG') = 0 THEN -1 ELSE length(seq) - 3 - (instr(reverse(seq), 'GCA') - 1) END AS BIGINT) AS last FROM fq")
+def _(spark, d):
+    return fq(spark, d).select("id", S.find_first(F.col("seq"), F.lit("ACG")).cast("bigint").alias("at"), S.find_last(F.col("seq"), F.lit("ACG")).cast("bigint").alias("last"))
+
+
+@query("str_lookup", "SELECT event_id, CASE WHEN instr(props, '\"k\": ') = 0 THEN '' ELSE split_part(substring(props, instr(props, '\"k\": ') + 5), '}', 1) END AS k FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", S.lookup(F.col("props"), F.lit('"k"'), F.lit(": "), F.lit("}")).alias("k"))
+
+
+@query("str_concat", f"WITH {FQ} SELECT id, concat(id, \"desc\") AS both FROM fq")
+def _(spark, d):
+    return fq(spark, d).select("id", S.str_concat(F.col("id"), F.col("desc")).alias("both"))
+
+
+@query("interpolate", f"WITH {FQ} SELECT row_id, concat(id, ' has ', length(seq), ' bases') AS value FROM fq")
+def _(spark, d):
+    return script(spark, d, "'{read.id} has {read.seq.len()} bases' |> stdout!()").stdout.select(F.col("_row_id").alias("row_id"), "value")
+
+
+NAMES = ["seq", "id", "desc", "qual"]
+
+
+@query("tag_read", f"WITH {FQ} SELECT id, concat(\"desc\", ' x=', length(seq)) AS \"desc\" FROM fq")
+def _(spark, d):
+    r = S.tag(F.col("read"), NAMES, F.concat(F.lit("x="), F.length("read.seq")))
+    return reads(spark, d).select(r.alias("r")).select("r.id", "r.desc")
+
+
+@query("rename_read", f"WITH {FQ} SELECT concat('new', id) AS id, seq FROM fq")
+def _(spark, d):
+    return reads(spark, d).select(S.rename(F.col("read"), NAMES, F.concat(F.lit("new"), "read.id")).alias("r")).select("r.id", "r.seq")
+
+
+@query("concat_reads", f"WITH {FQ} SELECT id, \"desc\", concat({RC}, seq) AS seq, concat(reverse(qual), qual) AS qual FROM fq")
+def _(spark, d):
+    r = S.concat_reads(S.read_reverse_complement(F.col("read"), NAMES), NAMES, F.col("read"), NAMES)
+    return reads(spark, d).select(r.alias("r")).select("r.id", "r.desc", "r.seq", "r.qual")
+
+
+_AT = "(instr('TCAG', substring(seq, CAST(3 * i + {k} AS INT), 1)) - 1)"
+_CODON = f"CASE WHEN {_AT.format(k=1)} < 0 OR {_AT.format(k=2)} < 0 OR {_AT.format(k=3)} < 0 THEN '?' ELSE substring('{S.AMINO}', CAST(16 * {_AT.format(k=1)} + 4 * {_AT.format(k=2)} + {_AT.format(k=3)} + 1 AS INT), 1) END"
+
+
+@query("translate_codons", f"WITH {FQ} SELECT id, CASE WHEN length(seq) < 3 THEN '' ELSE array_to_string(list_transform(range(0, CAST(floor(length(seq) / 3) AS BIGINT)), lambda i: {_CODON}), '') END AS protein FROM fq")
+def _(spark, d):
+    return fq(spark, d).select("id", S.translate(F.col("seq")).alias("protein"))
+
+
+@query("edit_distance", f"WITH {FQ}, {BC} SELECT fq.id, bc.name, CAST(levenshtein(substring(fq.seq, 1, 8), bc.seq) AS BIGINT) AS d FROM fq JOIN bc ON fq.row_id % (SELECT count(*) FROM bc) = bc.name")
+def _(spark, d):
+    bc = barcodes(spark, d)
+    n = bc.count()
+    both = fq(spark, d).withColumn("name", F.col("row_id") % n).join(bc.withColumnRenamed("seq", "code"), "name")
+    return both.select("id", "name", S.distance(F.substring("seq", 1, 8), F.col("code")).cast("bigint").alias("d"))
+
+
+@query("to_str_num", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity / 4 = floor(l_quantity / 4) THEN CAST(CAST(l_quantity / 4 AS BIGINT) AS VARCHAR) ELSE rtrim(CAST(CAST(l_quantity / 4 AS DECIMAL(18, 4)) AS VARCHAR), '0') END AS shown FROM lineitem")
+def _(spark, d):
+    return _line(spark, d, S.number_text(F.col("l_quantity") / 4).alias("shown"))
+
+
+@query("to_num", "SELECT event_id, CAST(split_part(substring(props, instr(props, ':') + 2), '}', 1) AS BIGINT) AS k FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", S.to_num(S.lookup(F.col("props"), F.lit('"k"'), F.lit(": "), F.lit("}"))).cast("bigint").alias("k"))
+
+
+_SCORES = "list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)"
+
+
+@query("list_min_max_mean", f"WITH {FQ} SELECT id, CAST(list_min({_SCORES}) AS BIGINT) AS least, CAST(list_max({_SCORES}) AS BIGINT) AS most, CAST(round(list_avg({_SCORES}) * 100) AS BIGINT) AS mean FROM fq")
+def _(spark, d):
+    q = S.to_qscores(F.col("qual"))
+    return fq(spark, d).select("id", S.list_min(q).cast("bigint").alias("least"), S.list_max(q).cast("bigint").alias("most"), F.round(S.list_mean(q).cast("double") * 100).cast("bigint").alias("mean"))
+
+
+@query("qscores", f"WITH {FQ} SELECT id, array_to_string({_SCORES}, ',') AS scores FROM fq")
+def _(spark, d):
+    return fq(spark, d).select("id", F.array_join(F.transform(S.to_qscores(F.col("qual")), lambda x: x.cast("int").cast("string")), ",").alias("scores"))
+
+
+@query("list_contains", "SELECT doc_id AS row_id, lang IN ('fr', 'de') AS there FROM documents")
+def _(spark, d):
+    return reads(spark, d).select(F.col("_row_id").alias("row_id"), S.contains(F.array(F.lit("fr"), F.lit("de")), F.col("read.desc")).alias("there"))
+
+
+@query("semi_join", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def _(spark, d):
+    return members(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", table(spark, d, "labels"), "doc_id")
+
+
+@query("anti_join", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(spark, d):
+    return members(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", table(spark, d, "labels"), "doc_id", keep=False)
+
+
+@query("sam_flags", f"WITH {SAM} SELECT qname, " + ", ".join(f"(flag & {1 << i}) <> 0 AS {n}" for i, n in enumerate(S.FLAGS)) + " FROM sam")
+def _(spark, d):
+    return sam(spark, d).select("qname", *(S.flag(n, F.col("flag")).alias(n) for n in S.FLAGS))
+
+
+# ---- statements ----
+
+
+def _printed(spark, d, code: str, **more) -> DataFrame:
+    return script(spark, d, code, **more).stdout.select(F.col("_row_id").alias("row_id"), "value")
+
+
+@query("filter_if", f"WITH {FQ} SELECT row_id, id AS value FROM fq WHERE length(seq) > 100")
+def _(spark, d):
+    return _printed(spark, d, "if read.seq.len() > 100 { read.id.stdout!() }")
+
+
+@query("if_else", f"WITH {FQ} SELECT row_id, CASE WHEN \"desc\" = 'en' THEN 'english' WHEN length(seq) > 100 THEN 'long' ELSE 'other' END AS value FROM fq")
+def _(spark, d):
+    return _printed(spark, d, "if read.desc == 'en' { 'english'.stdout!() } else if read.seq.len() > 100 { 'long'.stdout!() } else { 'other'.stdout!() }")
+
+
+@query("match_first_branch", f"WITH {FQ} SELECT row_id, CASE WHEN substring(seq, 1, 3) = 'ACG' THEN 'head' WHEN instr(seq, 'ACG') > 0 THEN 'inner' ELSE 'none' END AS value FROM fq WHERE length(seq) > 3")
+def _(spark, d):
+    return _printed(spark, d, "if read.seq.len() > 3 { if read matches { [ACG _] => 'head'.stdout!()\n [_ ACG _] => { 'inner'.stdout!() }\n _ => 'none'.stdout!() } }", mode="all-best")
+
+
+@query("stmt_after_if", f"WITH {FQ} SELECT row_id, 'a' AS value FROM fq WHERE \"desc\" = 'de' UNION ALL SELECT row_id, 'b' AS value FROM fq")
+def _(spark, d):
+    return _printed(spark, d, "if read.desc == 'de' { 'a'.stdout!() }\n'b'.stdout!()")
+
+
+@query("record_project", "SELECT o_orderkey AS row_id, concat('{ a = ', o_orderstatus, ', b = ', o_orderkey % 1000, ' }') AS value FROM orders")
+def _(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("_row_id"), F.struct(F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 1000).cast("float").alias("n")).alias("read"))
+    return compile_script(spark, "r = { b = read.n, a = read.status }; r.stdout!()", rows).stdout.select(F.col("_row_id").alias("row_id"), "value")
+
+
+@query("list_literal", "SELECT o_orderkey AS row_id, concat('[', o_orderkey % 1000, ', 7]') AS value FROM orders")
+def _(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("_row_id"), F.struct((F.col("o_orderkey") % 1000).cast("float").alias("n")).alias("read"))
+    return compile_script(spark, "[read.n, 3 + 4].stdout!()", rows).stdout.select(F.col("_row_id").alias("row_id"), "value")
+
+
+@query("udf_inline", f"WITH {FQ} SELECT row_id, concat(id, '-', length(seq) + 2) AS value FROM fq")
+def _(spark, d):
+    return _printed(spark, d, "f = (s: Str, n: Num = 1) => s.len() + n\n'{read.id}-{f(read.seq, n = 2)}'.stdout!()")
+
+
+@query("foreign_alias", f"WITH {FQ} SELECT row_id, concat('x', id) AS value FROM fq")
+def _(spark, d):
+    return _printed(spark, d, "relabel = $(r: { seq: Str ..}, to: Str): { seq: Str, id: Str, desc: Str, qual: Str } => rename\nr = relabel(read, 'x{read.id}')\nr.id.stdout!()")
+
+
+@query("args_literal", f"WITH {FQ} SELECT row_id, id AS value FROM fq WHERE length(seq) > 120")
+def _(spark, d):
+    return _printed(spark, d, "if read.seq.len() > args.least { read.id.stdout!() }", args="least = 120")
+
+
+# ---- patterns ----
+
+
+def _match(spark, d, regions, *columns: str, mode: str = "all", variables: int = 0) -> DataFrame:
+    return matching.match(fq(spark, d), compile_regions(regions, variables), mode=mode).select("row_id", *columns)
+
+
+@query("pat_head", f"WITH {FQ} SELECT row_id, substring(seq, 1, 5) AS head_seq FROM fq WHERE length(seq) > 5")
+def _(spark, d):
+    return _match(spark, d, [named("head", sized(5)), Hole()], "head_seq")
+
+
+@query("pat_tail", f"WITH {FQ} SELECT row_id, substring(seq, length(seq) - 4, 5) AS tail_seq FROM fq WHERE length(seq) > 5")
+def _(spark, d):
+    return _match(spark, d, [Hole(), named("tail", sized(5))], "tail_seq")
+
+
+#: The hits of a term, left to right without overlaps: pieces between hits tell where they begin.
+_HITS = f"WITH {FQ}, p AS (SELECT row_id, seq, string_split(seq, 'ACG') AS s FROM fq), h AS (SELECT row_id, seq, i AS place, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) AS BIGINT) + 3 * (i - 1) AS start FROM p, range(1, 100) t(i) WHERE i < len(s))"
+
+
+@query("pat_term_rest", f"{_HITS} SELECT row_id, substring(seq, start + 4, 1000) AS rest_seq FROM h")
+def _(spark, d):
+    return _match(spark, d, [Hole(), Term.of("ACG"), named("rest", Hole())], "rest_seq")
+
+
+@query("pat_sized_mid", f"{_HITS} SELECT row_id, substring(seq, start + 4, 4) AS mid_seq FROM h WHERE start + 7 < length(seq)")
+def _(spark, d):
+    return _match(spark, d, [Hole(), Term.of("ACG"), named("mid", sized(4)), Hole()], "mid_seq")
+
+
+@query("pat_two_terms", f"{_HITS} SELECT row_id, substring(seq, start + 4, 2) AS mid_seq FROM h WHERE start + 5 < length(seq) AND substring(seq, start + 6, 2) = 'AA'")
+def _(spark, d):
+    return _match(spark, d, [Hole(), Term.of("ACG"), named("mid", sized(2)), Term.of("AA"), Hole()], "mid_seq")
+
+
+@query("pat_named_group", f"{_HITS} SELECT row_id, substring(seq, start + 1, 5) AS whole_seq, substring(seq, start + 4, 2) AS tag_seq FROM h WHERE start + 5 < length(seq)")
+def _(spark, d):
+    return _match(spark, d, [Hole(), named("whole", Term.of("ACG"), named("tag", sized(2))), Hole()], "whole_seq", "tag_seq")
+
+
+@query("mode_all", f"{_HITS} SELECT row_id, CAST(start AS BIGINT) AS start FROM h")
+def _(spark, d):
+    return _match(spark, d, [Hole(), Term.of("ACG"), Hole()], F.col("locs")[1].cast("bigint").alias("start"))
+
+
+@query("mode_first_best", f"{_HITS} SELECT row_id, CAST(min(start) AS BIGINT) AS start FROM h GROUP BY row_id")
+def _(spark, d):
+    return _match(spark, d, [Hole(), Term.of("ACG"), Hole()], F.col("locs")[1].cast("bigint").alias("start"), mode="all-best")
+
+
+@query("mode_unique_best", f"{_HITS} SELECT row_id, CAST(min(start) AS BIGINT) AS start FROM h GROUP BY row_id HAVING count(*) = 1")
+def _(spark, d):
+    return _match(spark, d, [Hole(), Term.of("ACG"), Hole()], F.col("locs")[1].cast("bigint").alias("start"), mode="one-best")
+
+
+@query("pat_fuzzy_enddist", f"""WITH {FQ} SELECT row_id, CAST(e AS BIGINT) AS e, CAST(min(levenshtein('ACGTGCAA', substring(seq, CAST(e - l + 1 AS INT), CAST(l AS INT)))) AS BIGINT) AS dist FROM fq, (SELECT range AS e FROM range(1, 151)) p, (SELECT range AS l FROM range(6, 11)) q
+WHERE e <= length(seq) AND e - l + 1 >= 1 GROUP BY row_id, e HAVING min(levenshtein('ACGTGCAA', substring(seq, CAST(e - l + 1 AS INT), CAST(l AS INT)))) <= 2""")
+def _(spark, d):
+    @F.arrow_udf("array<struct<e:bigint,dist:bigint>>")
+    def ends(seqs: pa.Array) -> pa.Array:
+        return pa.array([[{"e": e, "dist": k} for _, e, k in find_all("ACGTGCAA", s, 2)] for s in seqs.to_pylist()], pa.list_(pa.struct([("e", pa.int64()), ("dist", pa.int64())])))
+
+    return fq(spark, d).select("row_id", F.explode_outer(ends("seq")).alias("h")).where("h is not null").select("row_id", "h.e", "h.dist")
+
+
+@query("pat_fuzzy_slice")
+def _(spark, d):
+    return _match(spark, d, [Hole(), Term.of("ACGTGCAA", 0.26), named("rest", Hole())], "dist", "rest_seq")
+
+
+#: For each read the least distance of any barcode to a part of it, and the barcodes at that distance, up to two edits.
+_NEAR = f"""WITH {FQ}, {BC}, x AS (SELECT row_id, name, min(levenshtein(bc.seq, substring(fq.seq, CAST(e - l + 1 AS INT), CAST(l AS INT)))) AS dist FROM fq, bc, (SELECT range AS e FROM range(1, 151)) p, (SELECT range AS l FROM range(6, 11)) q
+WHERE e <= length(fq.seq) AND e - l + 1 >= 1 AND bc.name < 12 AND length(bc.seq) = 8 GROUP BY row_id, name)"""
+
+
+def _codes(spark, d, most: int) -> list[dict]:
+    return [{"name": r["name"], "seq": r["seq"]} for r in barcodes(spark, d).where(F.length("seq") == 8).where(F.col("name") < most).orderBy("name").collect()]  # a reference table
+
+
+@query("demux_best", f"{_NEAR} SELECT row_id, name, CAST(dist AS BIGINT) AS dist FROM x WHERE dist <= 2 AND dist = (SELECT min(dist) FROM x y WHERE y.row_id = x.row_id)")
+def _(spark, d):
+    codes = _codes(spark, d, 12)
+    plan = compile_regions([Hole(), Term(tuple(((i,), c["seq"]) for i, c in enumerate(codes)), 0.26, (0,)), Hole()], 1)
+    return demultiplex(fq(spark, d), plan, codes).select("row_id", "name", F.col("dist").cast("bigint").alias("dist")).distinct()
+
+
+@query("demux_two_params", f"WITH {FQ}, {BC}, c AS (SELECT name, substring(seq, 1, 3) AS k FROM bc WHERE name < 12 AND length(seq) = 8) SELECT row_id, a.name AS first, b.name AS second FROM fq JOIN c a ON substring(fq.seq, 1, 3) = a.k JOIN c b ON substring(fq.seq, length(fq.seq) - 2, 3) = b.k WHERE length(fq.seq) >= 6")
+def _(spark, d):
+    codes = _codes(spark, d, 12)
+    head, tail = (Term(tuple(((i,), c["seq"][:3]) for i, c in enumerate(codes)), 0.0, (v,)) for v in (0, 1))
+    names = F.array(*(F.lit(c["name"]) for c in codes))
+    found = matching.match(fq(spark, d).where(F.length("seq") >= 6), compile_regions([head, Hole(), tail], 2))
+    return found.select("row_id", F.element_at(names, F.col("ctx")[0] + 1).alias("first"), F.element_at(names, F.col("ctx")[1] + 1).alias("second"))
+
+
+@query("count_matches_exact", f"WITH {FQ} SELECT id, CAST((length(seq) - length(replace(seq, 'ACG', ''))) / 3 AS BIGINT) AS n FROM fq")
+def _(spark, d):
+    return fq(spark, d).select("id", matching.count_matches(F.col("seq"), "ACG").cast("bigint").alias("n"))
+
+
+@query("count_matches_fuzzy")
+def _(spark, d):
+    return fq(spark, d).select("id", matching.count_matches(F.col("seq"), "ACGTGCAA", 0.2).cast("bigint").alias("n"))
+
+
+@query("describe_exact", f"""WITH {FQ}, m AS (SELECT row_id, instr(seq, 'ACGACG') AS a, instr(seq, 'GGTT') AS b, (length(seq) - length(replace(seq, 'ACGACG', ''))) / 6 AS na, (length(seq) - length(replace(seq, 'GGTT', ''))) / 4 AS nb FROM fq)
+SELECT row_id, CASE WHEN a = 0 AND b = 0 THEN '[ _ ]' WHEN b = 0 THEN '[ _ a _ ]' WHEN a = 0 THEN '[ _ b _ ]' WHEN a < b THEN '[ _ a _ b _ ]' ELSE '[ _ b _ a _ ]' END AS shape FROM m WHERE na <= 1 AND nb <= 1""")
+def _(spark, d):
+    once = (matching.count_matches(F.col("seq"), "ACGACG") <= 1) & (matching.count_matches(F.col("seq"), "GGTT") <= 1)
+    return fq(spark, d).where(once).select("row_id", matching.describe(F.col("seq"), {"a": "ACGACG", "b": "GGTT"}).alias("shape"))
+
+
+# ---- effects ----
+
+
+@query("count_effect", f"{_HITS} SELECT 'after' AS name, substring(seq, start + 4, 2) AS value, count(*) AS count FROM h WHERE start + 5 <= length(seq) GROUP BY 2")
+def _(spark, d):
+    return flagship(spark, d)
+
+
+@query("mean_effect", "SELECT 'quantity' AS name, CAST(round(avg(l_quantity) * 1000) AS BIGINT) AS mean, CAST(round(stddev_pop(l_quantity) * 1000) AS BIGINT) AS stddev_pop FROM lineitem")
+def _(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("_row_id"), F.struct(F.col("l_quantity").cast("float").alias("q")).alias("read"))
+    m = mean_effect(compile_script(spark, "read.q.mean!(name = 'quantity')", rows).mean)
+    return m.select("name", *(F.round(F.col(c) * 1000).cast("bigint").alias(c) for c in ("mean", "stddev_pop")))
+
+
+@query("out_fanout", f"WITH {FQ} SELECT concat(\"desc\", '.fa') AS filename, count(*) AS records, CAST(sum(length(seq)) AS BIGINT) AS bases FROM fq GROUP BY 1")
+def _(spark, d):
+    """One file a language, written and read back."""
+    folder = scratch(spark, "fanout").removeprefix("file://")
+    os.makedirs(folder)
+    files.write_files(script(spark, d, "read.out!('{read.desc}.fa')").out.select("filename", "_row_id", "_seq", "body"), folder)
+    rows = text.fasta(spark, f"file://{folder}").select(F.concat("desc", F.lit(".fa")).alias("filename"), "seq")
+    return rows.groupBy("filename").agg(F.count("*").alias("records"), F.sum(F.length("seq")).cast("bigint").alias("bases"))
+
+
+@query("stdout_ordered", f"WITH {FQ} SELECT row_id, id AS value FROM fq UNION ALL SELECT row_id, \"desc\" AS value FROM fq")
+def _(spark, d):
+    return script(spark, d, "read.id.stdout!(); read.desc.stdout!()").stdout.orderBy("_row_id", "_seq").select(F.col("_row_id").alias("row_id"), "value")
+
+
+@query("display_values", f"WITH {FQ} SELECT row_id, concat('[', id, ', ', \"desc\", ']') AS value FROM fq")
+def _(spark, d):
+    x = F.array(F.col("read.id"), F.col("read.desc"))
+    r = reads(spark, d)
+    return r.select(F.col("_row_id").alias("row_id"), display(x, r.select(x).schema[0].dataType).alias("value"))
