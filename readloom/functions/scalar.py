@@ -108,7 +108,7 @@ def lookup(s: Column, key: Column, kv_sep: Column | None = None, sep: Column | N
     mark = F.concat(key, F.lit("=") if kv_sep is None else kv_sep)
     at = F.instr(s, mark)
     tail = F.substring(s, at + F.length(mark), F.length(s))
-    return F.when(at == 0, F.lit("")).otherwise(F.substring_index(tail, F.lit(" ") if sep is None else sep, 1) if sep is None else F.split_part(tail, sep, F.lit(1)))
+    return F.when(at == 0, F.lit("")).otherwise(F.split_part(tail, F.lit(" ") if sep is None else sep, F.lit(1)))
 
 
 def to_upper(s: Column) -> Column:
