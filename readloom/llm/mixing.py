@@ -142,22 +142,28 @@ def mix(rows: DataFrame, names: list[str], targets: Callable[[np.ndarray, list[s
     """Steps whose rates bring the expected tokens of ``rows`` (see :func:`members`) to the target weights; the totals reached and wanted.
 
     The rate of a document with ``n`` tokens and posteriors ``p`` is weighted by ``n``, so documents of like posteriors get like
-    rates whatever their lengths.  Steps are scaled by the inverse of the sum of ``n p p'``, with which a step without a
-    rate at 0 reaches the targets at once.  A domain without tokens can't be reached and gets none.
+    rates whatever their lengths.  Steps are scaled by the inverse of the sum of ``n p p'`` over documents whose rate isn't 0,
+    with which a step that meets no other bound reaches the targets at once.  A domain without tokens can't be reached and gets none.
     """
     k = len(names)
-    sums = _summed(rows, k, lambda n, p: np.concatenate([n @ p, ((p * n[:, None]).T @ p).ravel()]), k + k * k)
-    natural, gram = sums[:k], sums[k:].reshape(k, k)
+
+    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        def own(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+            rate = rates_of(p, steps)
+            return np.concatenate([(n * rate) @ p, ((p * (n * (rate > 0))[:, None]).T @ p).ravel()])
+
+        got = _summed(rows, k, own, k + k * k)
+        return got[:k], got[k:].reshape(k, k)
+
+    natural, gram = sums([])
     weights = np.array([targets.get(x, 0.0) for x in names]) if isinstance(targets, dict) else targets(natural / max(natural.sum(), 1e-300), names)
     weights = np.where(natural > 0, weights, 0.0)
     wanted = weights / weights.sum() * natural.sum() if weights.sum() else natural
-    inverse = np.linalg.pinv(gram, rcond=1e-12)
     steps: list[np.ndarray] = []
     reached = natural
     while len(steps) < passes and np.abs(reached - wanted).sum() > CLOSE * max(wanted.sum(), 1e-300):
-        steps.append(inverse @ (reached - wanted))
-        now = list(steps)
-        reached = _summed(rows, k, lambda n, p: (n * rates_of(p, now)) @ p, k)
+        steps.append(np.linalg.pinv(gram, rcond=1e-9) @ (reached - wanted))
+        reached, gram = sums(list(steps))
     return steps, reached, wanted
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm import fingerprint, langid, licences, mixing, near_vectors, ngram_join, packing, tokens, toxicity, warc
+from readloom.llm.oracles import ORACLES
 
 LIMIT = 2048
 
@@ -78,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10,
 }
 
-ORACLES: dict[str, str] = {}
+
