@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import each_batch, table
+from readloom.llm.common import each_batch, small_batches, table
 from readloom.llm.tokens import byte_letters
 
 #: Pieces to a group, on average.  More pieces leave less slack to a group; a group has to fit a task.
@@ -58,6 +58,7 @@ class ByteEncoder:
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: the ids of each text and then ``end_id``, in pieces of at most ``size``; of a longer text the first piece takes what is left over."""
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # as large as the vocabulary
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import each_batch
+from readloom.llm.common import each_batch, small_batches
 
 #: White space of the normalizer, as code points of the Unicode property White_Space.
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -101,6 +101,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
 
     A null text counts as empty; a repeated row is counted again; an empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     # A vocabulary has a fixed size, so the broadcast is bounded by its file.

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import each_batch, new_path, partitions, record_batch, table
+from readloom.llm.common import each_batch, new_path, record_batch, small_batches, table
 
 END = b"\r\n\r\n"
 DATE = "2000-01-01T00:00:00Z"
@@ -35,6 +35,7 @@ def digest(payload: bytes) -> str:
 
 def headers(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """``page_id, url, payload_bytes, payload_digest``; a null payload is empty, a null URL too."""
+    small_batches(pages.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.string())])
 
     def described(batch: pa.RecordBatch) -> dict:
