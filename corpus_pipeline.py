@@ -17,7 +17,7 @@ from readloom.llm.queries import LIMIT, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least share of a text's corrected n-gram counts that its language has to have.
-LEAST_LANGUAGE = 0.4
+LEAST_LANGUAGE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
