@@ -36,7 +36,13 @@ def new_path(spark: SparkSession, label: str) -> str:
 def table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing that was written."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean)
+    spark.conf.set(clean, "true")  # what the write shuffled isn't read again: the table is
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._readloom_path = path
     return out

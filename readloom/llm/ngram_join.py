@@ -15,9 +15,13 @@ prefix shingle form a neighbourhood.
 2. Prefixes go to their shingle's partition; shingles of a single class end there.
 3. Contraction: each class is compared with the one other class of its neighbourhoods with which it shares most prefix
    shingles.  Links found make first components.
+   In neighbourhoods larger than a leaf each class is also held against a few others, and the one or two whose count
+   vectors promise most are verified, as a large group of copies is searched cheaply once it is connected.
 4. Search: neighbourhoods that lie in one component are done.  In every other one each class's vector is searched in
-   the tree of that neighbourhood; pairs of two components that survive are verified on their whole sets.  No pair that may link two components is left
-   out, so the components that result are exact.
+   the tree of that neighbourhood.  A neighbourhood of a few classes has no tree: its pairs are counted over all such
+   neighbourhoods, and those that share fewer prefix shingles than a link takes end there.  Pairs of two components
+   that survive, and whose summed minima allow a link, are verified on their whole sets.  No pair that may link two
+   components is left out, so the components that result are exact.
 """
 
 from __future__ import annotations
@@ -27,17 +31,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import each_batch, partitions, record_batch, table
+from readloom.llm.common import each_batch, partitions, record_batch, small_batches, table
 from readloom.llm.graph import components
 
 WORDS = 5
-#: Documents of which frequent shingles are learnt, and how many shingles at most go last.  Any order gives the same result.
-SAMPLE, FREQUENT = 4_000, 1 << 16
+#: One in how many documents frequent shingles are learnt from, and how many shingles at most go last.  Any order gives the same result.
+SAMPLED, FREQUENT = 16, 1 << 18
 #: Points to a leaf of the tree; classes of a neighbourhood that a task searches at once.
 LEAF, BLOCK = 32, 8_000
+#: Neighbourhoods up to this size have no tree: their pairs are counted, at most (FEW - 1) / 2 for each class that is in one.
+FEW = 12
+#: Other classes of a large neighbourhood that each is held against to connect it before the search.
+GLANCES = 32
 #: Pairs with one partner that a task verifies, on average at most.
 SHARE = 500
 #: Bits of the filter of wanted ids.
@@ -48,7 +56,7 @@ _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -100,9 +108,34 @@ def prefix(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
 
+def least_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many prefix items sets of these sizes share at least if they link.
+
+    At most ``a - o`` items of one set aren't in the other, where ``o`` is the overlap a link takes.  Of the two prefixes take
+    that which ends earlier in the common order: those of its items that are in the other set are in the other prefix too.
+    """
+    o = -(-3 * (a + b) // 7)
+    return np.minimum(a - (3 * a + 3) // 4 + 1 - (a - o), b - (3 * b + 3) // 4 + 1 - (b - o))
+
+
 def groups_of(n: int) -> int:
-    """Groups of the count vector of a set of ``n``: so many that two to four shingles fall into each."""
-    return 1 << max(5, (max(1, -(-n // 4)) - 1).bit_length())
+    """Groups of the count vector of a set of ``n``: so many that less than a shingle falls into each."""
+    return 1 << max(5, (max(1, -(-4 * n // 3)) - 1).bit_length())
+
+
+def pack(vector: np.ndarray, ranks: np.ndarray) -> bytes:
+    """A count vector in two bits a group, with what is over 3 as a sum, and ranks of frequent items."""
+    low = np.minimum(vector, 3).astype(np.uint8)
+    return np.array([vector.sum() - low.sum(dtype=np.int64), len(ranks)], "<u4").tobytes() + ranks.astype("<i4").tobytes() + (low[::4] | low[1::4] << 2 | low[2::4] << 4 | low[3::4] << 6).tobytes()
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, int, np.ndarray]:
+    over, k = np.frombuffer(data, "<u4", 2)
+    low = np.frombuffer(data, np.uint8, offset=8 + 4 * int(k))
+    out = np.empty(4 * len(low), np.uint8)
+    for i in range(4):
+        out[i::4] = low >> 2 * i & 3
+    return out, int(over), np.frombuffer(data, "<i4", int(k), 8)
 
 
 def count_vector(values: np.ndarray, groups: int) -> np.ndarray:
@@ -118,69 +151,83 @@ def fold(vectors: np.ndarray, groups: int) -> np.ndarray:
 
 
 class RTree:
-    """Count vectors in leaves of ``LEAF`` points and nodes of as many children; a node has the largest counts and the range of sizes below it.
+    """Count vectors in leaves of ``LEAF`` points and nodes of as many children.
 
-    Points are sorted by size, which separates best as linked sets differ little in it, and within runs of equal places by the
-    group whose counts vary most.
+    A node has the largest counts and the range of sizes below it, and the marks that all points below have in common.  Points
+    with a mark in common are another neighbourhood's work.  They are sorted by size, as linked sets differ little in it, and
+    within slabs by marks and by the group whose counts vary most.
     """
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, over: np.ndarray, marks: np.ndarray):
         slab = LEAF * LEAF
         order = np.argsort(sizes, kind="stable")
         widest = int(np.argmax(vectors.var(axis=0))) if len(vectors) else 0
         for start in range(0, len(order), slab):
             part = order[start : start + slab]
-            order[start : start + slab] = part[np.argsort(vectors[part, widest], kind="stable")]
-        self.order, self.vectors, self.sizes = order, vectors[order], sizes[order]
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        top, least, most = self.vectors, self.sizes, self.sizes
+            order[start : start + slab] = part[np.lexsort((vectors[part, widest], *marks[part].T))]
+        self.order, self.vectors, self.sizes, self.over, self.marks = order, vectors[order], sizes[order], over[order], marks[order]
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        top, least, most, over, marks = self.vectors, self.sizes, self.sizes, self.over, self.marks
         while not self.levels or len(top) > 1:
             starts = np.arange(0, len(top), LEAF)
-            top, least, most = np.maximum.reduceat(top, starts, axis=0), np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts)
-            self.levels.append((top, least, most))
+            top, least, most, over = np.maximum.reduceat(top, starts, axis=0), np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts), np.maximum.reduceat(over, starts)
+            marks = np.bitwise_and.reduceat(marks, starts, axis=0)
+            self.levels.append((top, least, most, over, marks))
 
-    def search(self, vectors: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def search(self, vectors: np.ndarray, sizes: np.ndarray, over: np.ndarray, marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For all queries at once, leaf by leaf: places of queries and of points whose summed minima allow a link."""
         stack = [(len(self.levels) - 1, i, np.arange(len(vectors))) for i in range(len(self.levels[-1][0]))]
         while stack:
             level, i, rows = stack.pop()
-            top, least, most = (x[i] for x in self.levels[level])
+            top, least, most, more, common = (x[i] for x in self.levels[level])
             n = sizes[rows]
-            rows = rows[(4 * n >= 3 * least) & (4 * most >= 3 * n)]
+            rows = rows[(4 * n >= 3 * least) & (4 * most >= 3 * n) & ~(marks[rows] & common).any(axis=1)]
             if not len(rows):
                 continue
             # A point below has at least `least` shingles and at least 3/4 of the query's.
             need = 3 * (sizes[rows] + np.maximum(least, -(-3 * sizes[rows] // 4)))
-            rows = rows[7 * np.minimum(vectors[rows], top).sum(axis=1, dtype=np.int64) >= need]
+            rows = rows[7 * (np.minimum(vectors[rows], top).sum(axis=1, dtype=np.int32) + over[rows] + more) >= need]
             if not len(rows):
                 continue
             lo, hi = i * LEAF, (i + 1) * LEAF
             if level:
                 stack += [(level - 1, k, rows) for k in range(lo, min(hi, len(self.levels[level - 1][0])))]
                 continue
-            points, point_sizes = self.vectors[lo:hi], self.sizes[lo:hi]
-            for at in range(0, len(rows), 512):
-                some = rows[at : at + 512]
-                bound = np.minimum(vectors[some, None, :], points[None]).sum(axis=2, dtype=np.int64)
-                q, p = np.nonzero(7 * bound >= 3 * (sizes[some, None] + point_sizes[None]))
-                if len(q):
-                    yield some[q], self.order[lo + p]
+            for p in range(lo, min(hi, len(self.vectors))):
+                some = rows[~(marks[rows] & self.marks[p]).any(axis=1)]
+                bound = np.minimum(vectors[some], self.vectors[p]).sum(axis=1, dtype=np.int32) + over[some] + self.over[p]
+                some = some[7 * bound >= 3 * (sizes[some] + self.sizes[p])]
+                if len(some):
+                    yield some, np.full(len(some), self.order[p])
 
 
-def survivors(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, vectors: list[np.ndarray], blocks: np.ndarray | None = None, lo: int = 0, hi: int = 0) -> np.ndarray:
-    """Pairs (smaller id, larger id) of different components whose count vectors allow a link; each of a pair of blocks has one."""
+def survivors(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, packed: list[bytes], rank: int = -1, blocks: np.ndarray | None = None, lo: int = 0, hi: int = 0) -> np.ndarray:
+    """Pairs (smaller id, larger id) of different components whose count vectors allow a link.
+
+    A pair that shares a frequent item of a lower rank than this neighbourhood's is left to that one; of a pair of blocks one
+    each is taken.
+    """
     pairs = [np.empty((0, 2), np.int64)]
-    widths = np.array([len(v) for v in vectors])
+    read = [unpack(x) for x in packed]
+    widths, over = np.array([len(v) for v, _, _ in read]), np.array([o for _, o, _ in read], np.int32)
+    lower = [r[r < rank] for _, _, r in read]
+    names = np.unique(np.concatenate([np.empty(0, np.int32), *lower]))
+    marks = np.zeros((len(read), max(1, -(-len(names) // 64))), np.uint64)
+    for i, r in enumerate(lower):
+        for at in np.searchsorted(names, r).tolist():
+            marks[i, at >> 6] |= np.uint64(1 << (at & 63))
     for width in np.unique(widths):
         base = np.flatnonzero(widths == width)
         # Sets of the next width are at most 4/3 as large as some of this width, if they link at all.
         more = np.flatnonzero((widths == 2 * width) & (3 * sizes <= 4 * sizes[base].max()))
-        if len(base) + len(more) < 2:
+        if len(base) + len(more) < 2 or len(np.unique(comps[np.concatenate([base, more])])) < 2:
             continue
         rows = np.concatenate([base, more])
-        points = np.concatenate([np.stack([vectors[i] for i in base]), *([fold(np.stack([vectors[i] for i in more]), int(width))] if len(more) else [])]).astype(np.uint16)
-        tree = RTree(points[: len(base)], sizes[base])
-        for q, p in tree.search(points, sizes[rows]):
+        points = np.stack([read[i][0] for i in base])
+        if len(more):
+            points = np.concatenate([points, fold(np.stack([read[i][0] for i in more]), int(width))])
+        tree = RTree(points[: len(base)], sizes[base], over[base], marks[base])
+        for q, p in tree.search(points, sizes[rows], over[rows], marks[rows]):
             a, b = rows[q], base[p]
             keep = (comps[a] != comps[b]) & ((q >= len(base)) | (ids[a] < ids[b]))
             if blocks is not None:
@@ -195,10 +242,10 @@ def survivors(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, vectors: li
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("items", pa.binary())])
 
 
-def frequent(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shortened hashes, sorted, of at most FREQUENT shingles that occur in three or more of about SAMPLE documents; and their ranks from rare to common."""
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shortened hashes, sorted, of at most FREQUENT shingles that occur in three or more of one in SAMPLED documents; and their ranks from rare to common."""
     schema = pa.schema([("item", pa.int64())])
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(total, 1)) * (1 << 20)))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
     rows = some.select("text").mapInArrow(each_batch(lambda b: {"item": np.concatenate([np.empty(0, np.uint64), *(shorten(shingles(x)) for x in b.column(0).to_pylist())]).astype(np.int64)}, schema), "item long")
     found = rows.groupBy("item").count().where("count >= 3").orderBy(F.desc("count"), "item").limit(FREQUENT).collect()
     items, counts = np.array([r[0] for r in found], np.uint64), np.array([r[1] for r in found], np.int64)
@@ -300,7 +347,7 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield record_batch({"item": x[at : at + 200_000], "sig": s[at : at + 200_000], "n": n[at : at + 200_000]}, RUNS)
 
 
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64())])
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("n", pa.int64())])
 
 
 def _near_in_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,8 +366,8 @@ def _near_in_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs.append((s, s[head], n, n[head]))
         a, b, na, nb = (np.concatenate(p) for p in zip(*pairs))
         keep = (a != b) & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb))
-        pair, times = np.unique(np.stack([a[keep], b[keep]], axis=1), axis=0, return_counts=True)
-        yield record_batch({"a": np.ascontiguousarray(pair[:, 0]), "b": np.ascontiguousarray(pair[:, 1]), "shared": times.astype(np.int64)}, PAIRS)
+        pair, at, times = np.unique(np.stack([a[keep], b[keep]], axis=1), axis=0, return_index=True, return_counts=True)
+        yield record_batch({"a": np.ascontiguousarray(pair[:, 0]), "b": np.ascontiguousarray(pair[:, 1]), "shared": times.astype(np.int64), "n": na[keep][at]}, PAIRS)
 
 
 def wanted(ids: DataFrame) -> np.ndarray:
@@ -345,8 +392,17 @@ def wanted(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def pick(kept: DataFrame, ids: DataFrame, vectors: bool = False) -> DataFrame:
-    """``sig, n, items`` (or the count vector as ``items``) of the classes in ``ids`` and a few others, each once; only those are shuffled."""
+def ranks_in(items: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Ranks of those items that are frequent."""
+    known, rank = common
+    if not len(known) or not len(items):
+        return np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(known, items), len(known) - 1)
+    return rank[at[known[at] == items]]
+
+
+def pick(kept: DataFrame, ids: DataFrame, common=None) -> DataFrame:
+    """``sig, n, items`` (with the broadcast of frequent items, count vectors and the ranks of the prefix as ``items``) of the classes in ``ids`` and a few others, each once; only those are shuffled."""
     shared = kept.sparkSession.sparkContext.broadcast(wanted(ids))
     schema = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("items", pa.binary())])
 
@@ -358,8 +414,9 @@ def pick(kept: DataFrame, ids: DataFrame, vectors: bool = False) -> DataFrame:
             return None
         batch = batch.take(pa.array(keep))
         items = batch.column(2)
-        if vectors:
-            items = [count_vector(from_bytes(x), groups_of(n)).astype(np.uint8).tobytes() for n, x in zip(batch.column(1).to_pylist(), items.to_pylist())]
+        if common is not None:
+            whole = [(n, from_bytes(x)) for n, x in zip(batch.column(1).to_pylist(), items.to_pylist())]
+            items = [pack(count_vector(x, groups_of(n)), ranks_in(x[: prefix(n)], common.value)) for n, x in whole]
         return {"sig": batch.column(0), "n": batch.column(1), "items": items}
 
     return kept.where("items is not null").select("sig", "n", "items").mapInArrow(each_batch(run, schema), "sig long, n long, items binary").dropDuplicates(["sig"])
@@ -378,6 +435,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a is None:
                 own = ((b, part), n, values)
             elif own is not None and own[0] == (b, part):
+                width = min(groups_of(n), groups_of(own[1]))
+                if not linked(n, own[1], int(np.minimum(count_vector(values, width), count_vector(own[2], width)).sum())):
+                    continue
                 at = np.minimum(np.searchsorted(own[2], values), len(own[2]) - 1)
                 if linked(n, own[1], int(np.count_nonzero(own[2][at] == values))):
                     found["a"].append(a)
@@ -402,60 +462,146 @@ def verify(pairs: DataFrame, kept: DataFrame) -> DataFrame:
 OPEN = pa.schema([("item", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("block", pa.int32()), ("sig", pa.int64()), ("n", pa.int64()), ("comp", pa.int64())])
 
 
-def _unfinished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of neighbourhoods of more than one component; those of very many classes in blocks, a class once for each other block."""
-    cols = [[np.asarray(c) for c in batch.columns] for batch in batches]
-    if not cols:
-        return
-    x, s, n, c = (np.concatenate(v) for v in zip(*cols))
-    order = np.lexsort((s, c, x))
-    x, s, n, c = x[order], s[order], n[order], c[order]
-    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
-    times = np.diff(np.r_[starts, len(x)])
-    mixed = c[starts] != c[starts + times - 1] if len(x) else np.empty(0, bool)
-    small = np.repeat(mixed & (times <= BLOCK), times)
-    zero = np.zeros(int(small.sum()), np.int32)
-    for at in range(0, len(zero), 200_000):
-        to = slice(at, at + 200_000)
-        yield record_batch(dict(zip(OPEN.names, (x[small][to], zero[to], zero[to], zero[to], s[small][to], n[small][to], c[small][to]))), OPEN)
-    for start, m in zip(starts[mixed & (times > BLOCK)], times[mixed & (times > BLOCK)]):
-        rows = slice(start, start + m)
-        k = int(-(-m // (BLOCK // 2)))
-        block = np.arange(m, dtype=np.int64) * k // m  # rows are sorted by component, so a block has few
-        single = [len(np.unique(c[rows][block == i][[0, -1]])) == 1 for i in range(k)]
-        for other in range(k):
-            alike = np.array([single[i] and single[other] and c[rows][block == i][0] == c[rows][block == other][0] for i in range(k)])
-            keep = ~alike[block]
-            lo, hi = np.minimum(block, other)[keep].astype(np.int32), np.maximum(block, other)[keep].astype(np.int32)
-            if keep.any():
-                yield record_batch(dict(zip(OPEN.names, (x[rows][keep], lo, hi, block[keep].astype(np.int32), s[rows][keep], n[rows][keep], c[rows][keep]))), OPEN)
-
-
-def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by neighbourhood and pair of blocks; one tree at a time."""
-    schema = LINKS
-    key, rows = None, []
-    seen = [np.empty((0, 2), np.int64)]
-
-    def searched() -> np.ndarray:
-        block, sig, n, comp = (np.array([r[i] for r in rows], np.int64) for i in range(4))
-        return survivors(sig, n, comp, [np.frombuffer(r[4], np.uint8).astype(np.uint16) for r in rows], block if key[1:] != (0, 0) or block.any() else None, key[1], key[2])
+def _pairs_of(s: np.ndarray, n: np.ndarray, c: np.ndarray, starts: np.ndarray, times: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows a, b, number of neighbourhoods they share here, least number that a link takes: of pairs of two components in neighbourhoods of FEW classes at most."""
+    for m in np.unique(times):
+        own = starts[times == m]
+        i, j = np.triu_indices(int(m), 1)
+        for at in range(0, len(own), max(1, 1_000_000 // len(i))):
+            first = own[at : at + max(1, 1_000_000 // len(i)), None]
+            p, q = (first + i).ravel(), (first + j).ravel()
+            keep = (c[p] != c[q]) & (4 * np.minimum(n[p], n[q]) >= 3 * np.maximum(n[p], n[q]))
+            p, q = p[keep], q[keep]
+            p, q = np.where(s[p] < s[q], p, q), np.where(s[p] < s[q], q, p)
+            yield np.stack([s[p], s[q], np.ones(len(p), np.int64), least_common(n[p], n[q])], axis=1)
+
+
+def _summed_pairs(parts: list[np.ndarray]) -> np.ndarray:
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]) if len(rows) else np.empty(0, np.int64)
+    out = rows[starts]
+    if len(out):
+        out[:, 2] = np.add.reduceat(rows[:, 2], starts)
+    return out
 
-    for batch in batches:
-        for item, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if (item, lo, hi) != key:
-                if rows:
-                    seen.append(searched())
-                key, rows = (item, lo, hi), []
-            rows.append(row)
-        if sum(map(len, seen)) > 300_000:
+
+def _unfinished(pairs: bool):
+    """Rows of neighbourhoods of more than one component.
+
+    Those of more than LEAF classes (FEW, if pairs are asked for) are given with each class's row, those of very many classes in blocks, a class once for
+    each other block.  Of smaller ones, if asked for, pairs are: with ``lo`` -1, the ids as ``sig`` and ``comp``, the
+    number of neighbourhoods as ``item`` and the least number that a link takes as ``n``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = [[np.asarray(c) for c in batch.columns] for batch in batches]
+        if not cols:
+            return
+        x, s, n, c = (np.concatenate(v) for v in zip(*cols))
+        # A row whose neighbours by size are all too large or too small to link has nothing to search.
+        order = np.lexsort((n, x))
+        x, s, n, c = x[order], s[order], n[order], c[order]
+        close = (x[1:] == x[:-1]) & (3 * n[1:] <= 4 * n[:-1])
+        keep = np.r_[close, False] | np.r_[False, close]
+        x, s, n, c = x[keep], s[keep], n[keep], c[keep]
+        order = np.lexsort((s, c, x))
+        x, s, n, c = x[order], s[order], n[order], c[order]
+        starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
+        times = np.diff(np.r_[starts, len(x)])
+        mixed = c[starts] != c[starts + times - 1] if len(x) else np.empty(0, bool)
+        if pairs:
+            few, parts, size = mixed & (times <= FEW), [np.empty((0, 4), np.int64)], 0
+            for part in _pairs_of(s, n, c, starts[few], times[few]):
+                parts.append(part)
+                size += len(part)
+                if size > 4_000_000:
+                    parts, size = [_summed_pairs(parts)], 0
+            found = _summed_pairs(parts)
+            for at in range(0, len(found), 200_000):
+                a, b, times_, least = found[at : at + 200_000].T
+                none = np.zeros(len(a), np.int32)
+                yield record_batch(dict(zip(OPEN.names, (np.ascontiguousarray(times_), none - 1, none, none, np.ascontiguousarray(a), np.ascontiguousarray(least), np.ascontiguousarray(b)))), OPEN)
+        mixed &= times > (FEW if pairs else LEAF)
+        small = np.repeat(mixed & (times <= BLOCK), times)
+        zero = np.zeros(int(small.sum()), np.int32)
+        for at in range(0, len(zero), 200_000):
+            to = slice(at, at + 200_000)
+            yield record_batch(dict(zip(OPEN.names, (x[small][to], zero[to], zero[to], zero[to], s[small][to], n[small][to], c[small][to]))), OPEN)
+        for start, m in zip(starts[mixed & (times > BLOCK)], times[mixed & (times > BLOCK)]):
+            rows = slice(start, start + m)
+            k = int(-(-m // (BLOCK // 2)))
+            block = np.arange(m, dtype=np.int64) * k // m  # rows are sorted by component, so a block has few
+            single = [len(np.unique(c[rows][block == i][[0, -1]])) == 1 for i in range(k)]
+            for other in range(k):
+                alike = np.array([single[i] and single[other] and c[rows][block == i][0] == c[rows][block == other][0] for i in range(k)])
+                keep = ~alike[block]
+                lo, hi = np.minimum(block, other)[keep].astype(np.int32), np.maximum(block, other)[keep].astype(np.int32)
+                if keep.any():
+                    yield record_batch(dict(zip(OPEN.names, (x[rows][keep], lo, hi, block[keep].astype(np.int32), s[rows][keep], n[rows][keep], c[rows][keep]))), OPEN)
+
+    return run
+
+
+def glances(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, packed: list[bytes]) -> np.ndarray:
+    """For each class the two of GLANCES others, in an order by hashes, whose count vectors leave most room for a link."""
+    pairs = [np.empty((0, 2), np.int64)]
+    read = [unpack(x)[:2] for x in packed]
+    widths = np.array([len(v) for v, _ in read])
+    for width in np.unique(widths):
+        rows = np.flatnonzero(widths == width)
+        rows = rows[np.argsort(ids[rows] * np.int64(-7046029254386353131) >> 7, kind="stable")]
+        if len(rows) < 2:
+            continue
+        v, over, n, c = np.stack([read[i][0] for i in rows]), np.array([read[i][1] for i in rows]), sizes[rows], comps[rows]
+        best = np.full((2, len(rows)), -1.0)
+        other = np.zeros((2, len(rows)), np.int64)
+        for k in range(1, min(GLANCES, len(rows) - 1) + 1):
+            j = np.roll(np.arange(len(rows)), -k)
+            room = (7 * (np.minimum(v, v[j]).sum(axis=1, dtype=np.int32) + over + over[j]) - 3 * (n + n[j])) / (n + n[j])
+            room = np.where(c != c[j], room, -1.0)
+            first, second = room > best[0], (room <= best[0]) & (room > best[1])
+            best[1], other[1] = np.where(first, best[0], np.where(second, room, best[1])), np.where(first, other[0], np.where(second, j, other[1]))
+            best[0], other[0] = np.where(first, room, best[0]), np.where(first, j, other[0])
+        for room, j in zip(best, other):
+            a, b = ids[rows[room >= 0]], ids[rows[j[room >= 0]]]
+            pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+    return np.unique(np.concatenate(pairs), axis=0)
+
+
+def _searched(common, glance: bool):
+    """Rows come by neighbourhood and pair of blocks; one at a time is glanced at or searched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        seen = [np.empty((0, 2), np.int64)]
+
+        def searched() -> np.ndarray:
+            block, sig, n, comp = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+            if glance:
+                return glances(sig, n, comp, [r[4] for r in rows])
+            found = ranks_in(np.array([key[0]], np.uint64), common.value)
+            return survivors(sig, n, comp, [r[4] for r in rows], int(found[0]) if len(found) else -1, block if key[2] or block.any() else None, key[1], key[2])
+
+        def together() -> pa.RecordBatch:
             pairs = np.unique(np.concatenate(seen), axis=0)
-            seen = [np.empty((0, 2), np.int64)]
-            yield record_batch({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])}, schema)
-    if rows:
-        seen.append(searched())
-    pairs = np.unique(np.concatenate(seen), axis=0)
-    yield record_batch({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])}, schema)
+            return record_batch({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])}, LINKS)
+
+        for batch in batches:
+            for item, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (item, lo, hi) != key:
+                    if rows:
+                        seen.append(searched())
+                    key, rows = (item, lo, hi), []
+                rows.append(row)
+            if sum(map(len, seen)) > 300_000:
+                yield together()
+                seen = [np.empty((0, 2), np.int64)]
+        if rows:
+            seen.append(searched())
+        yield together()
+
+    return run
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -465,25 +611,42 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     as far as their texts are equal; a null id stays null and gives no smallest id.  An empty table gives no rows.
     """
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kept = table(sets(docs, frequent(docs, docs.count())), "sets")
+    common = frequent(docs)
+    kept = table(sets(docs, common), "sets")
     blobs = kept.where("items is not null").select("sig", "n", "items").mapInArrow(_prefixes(4 * parts), "q int, items binary, sigs binary, sizes binary, counts binary")
     runs = table(blobs.repartition(parts, "q").mapInArrow(_neighbourhoods, "item long, sig long, n long"), "runs")
 
-    # Contraction: the partner with most shared items, by id among equals.
-    near = runs.mapInArrow(_near_in_run, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    shared = spark.sparkContext.broadcast(common)  # FREQUENT items at most
+    open_ = "item long, lo int, hi int, block int, sig long, n long, comp long"
+
+    def looked_through(large: DataFrame, glance: bool) -> DataFrame:
+        vectors = pick(kept, large.select(F.col("sig").alias("id")), shared).select("sig", "items")
+        rows = large.join(vectors, "sig").select("item", "lo", "hi", "block", "sig", "n", "comp", "items")
+        return rows.repartition(parts, "item", "lo", "hi").sortWithinPartitions("item", "lo", "hi").mapInArrow(_searched(shared, glance), "a long, b long")
+
+    # Contraction: the partner with most shared items, by id among equals, if they are a good part of the prefix; and glances at large neighbourhoods.
+    near = runs.mapInArrow(_near_in_run, "a long, b long, shared long, n long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("n").alias("n")).where(F.col("shared") * 12 >= F.col("n"))
     best = near.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = table(verify(best.where("a <> b"), kept), "links")
+    large = table(runs.withColumn("comp", F.col("sig")).repartition(parts, "item").mapInArrow(_unfinished(False), open_), "large")
+    ordered = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = table(verify(ordered.unionByName(looked_through(large, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), kept), "links")
     comps = table(components(links), "components")
 
-    # Search of what is still apart.
+    # Search of all that is still apart.
     labelled = runs.join(comps.withColumnRenamed("id", "sig"), "sig", "left").select("item", "sig", "n", F.coalesce("component", "sig").alias("comp"))
-    unfinished = table(labelled.repartition(parts, "item").mapInArrow(_unfinished, "item long, lo int, hi int, block int, sig long, n long, comp long"), "open")
-    vectors = pick(kept, unfinished.select(F.col("sig").alias("id")), vectors=True).select("sig", "items")
-    rows = unfinished.join(vectors, "sig").select("item", "lo", "hi", "block", "sig", "n", "comp", "items")
-    pairs = rows.repartition(parts, "item", "lo", "hi").sortWithinPartitions("item", "lo", "hi").mapInArrow(_searched, "a long, b long")
-    every = table(links.unionByName(verify(pairs, kept)), "links")
-    comps = table(components(every), "components")
+    unfinished = table(labelled.repartition(parts, "item").mapInArrow(_unfinished(True), open_), "open")
+    large = unfinished.where("lo >= 0")
+    # Pairs of small neighbourhoods, by how many they share; of large ones they may share as many as either is in.
+    of = table(large.select("item", "sig").distinct().groupBy("sig").agg(F.count("*").alias("more")), "large")
+    met = unfinished.where("lo < 0").groupBy(F.col("sig").alias("a"), F.col("comp").alias("b")).agg(F.sum("item").alias("met"), F.max("n").alias("least"))
+    for side in ("a", "b"):
+        met = met.join(of.select(F.col("sig").alias(side), F.col("more").alias(f"more_{side}")), side, "left")
+    room = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
+    pairs = looked_through(large, False).unionByName(met.where(F.col("met") + room >= F.col("least")).select("a", "b"))
+    links = links.unionByName(verify(pairs, kept))
+    comps = table(components(table(links, "links")), "components")
 
     firsts = kept.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"))
     named = firsts.join(comps.withColumnRenamed("id", "sig"), "sig", "left").select("sig", "first", F.coalesce("component", "sig").alias("comp"))

@@ -44,10 +44,10 @@ def test_edge_cases(docs, rows, nothing):
     assert N.join(nothing).collect() == []
 
 
-@pytest.mark.parametrize("sample,block", [(4_000, 8_000), (10, 20)])
-def test_groups_of_copies_chains_and_shared_passages(spark, monkeypatch, sample, block):
+@pytest.mark.parametrize("sampled,block", [(1, 8_000), (16, 20)])
+def test_groups_of_copies_chains_and_shared_passages(spark, monkeypatch, sampled, block):
     """With little known of frequent shingles, and neighbourhoods in several blocks, results are the same."""
-    monkeypatch.setattr(N, "SAMPLE", sample)
+    monkeypatch.setattr(N, "SAMPLED", sampled)
     monkeypatch.setattr(N, "BLOCK", block)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
