@@ -40,9 +40,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate, rounded, says."""
-    rated = table(mixing.mixed(docs, mixing.labelled_domains(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))), "rates")
-    copies = rated.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.select(*COLUMNS).join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    domains = mixing.learn(docs, mixing.labelled_domains(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    rows = table(mixing.members(docs, domains), "members")
+    steps, _, _ = mixing.mix(rows, domains.names, mixing.tempered)
+    drop(rows)
+    return mixing.drawn(docs, domains, steps, COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

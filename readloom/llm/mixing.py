@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import each_batch, record_batch, small_batches, table
+from readloom.llm.common import each_batch, kept_as, record_batch, small_batches, table
 
 #: Labelled texts to learn from at most; buckets of hashed words; passes at most and the relative error that ends them.
 SAMPLE, BUCKETS = 4_000, 1 << 11
@@ -176,8 +176,30 @@ def rated(rows: DataFrame, names: list[str], steps: list[np.ndarray], seed: int
         return {"doc_id": batch.column("doc_id"), "domain": [names[i] for i in p.argmax(axis=1)], "n_tokens": batch.column("n_tokens"), "rate": rates_of(p, steps)}
 
     out = rows.select("doc_id", "n_tokens", "p").mapInArrow(each_batch(run, schema), "doc_id long, domain string, n_tokens long, rate double")
+    return out.withColumn("copies", rounded(seed))
+
+
+def rounded(seed: int) -> Column:
+    """``rate`` rounded up with its fraction as the probability, drawn by id."""
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    return (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+
+
+def drawn(docs: DataFrame, domains: Domains, steps: list[np.ndarray], keep: list[str], *, text_col: str = "text", id_col: str = "doc_id", seed: int = 11) -> DataFrame:
+    """The columns ``keep`` of every document as often as :func:`rated` says, row by row: posteriors are computed again, so nothing is joined or shuffled."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((domains, list(steps)))  # a matrix of fixed size and a vector a pass
+    schema = pa.schema([("doc_id", pa.int64()), ("rate", pa.float64())])
+
+    def run(batch: pa.RecordBatch) -> dict:
+        own, moves = shared.value
+        p = own.posteriors(np.stack([features(x)[0] for x in batch.column(1).to_pylist()]))
+        return {"doc_id": batch.column(0), "rate": rates_of(p, moves), "kept": batch.column(2)}
+
+    kept, kind = kept_as(docs, keep)
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *kept).mapInArrow(each_batch(run, schema), "doc_id long, rate double" + kind)
+    copies = rounded(seed).cast("int")
+    return out.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).select("kept.*")
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:

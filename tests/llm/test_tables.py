@@ -246,3 +246,13 @@ def test_the_pipeline_keeps_what_each_stage_keeps(spark, tmp_path):
             assert {r[0] for r in new.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").distinct().collect()}
         docs = new
     assert P.run(spark, d).count() == docs.count()
+
+
+def test_documents_are_drawn_as_they_are_rated(docs):
+    labelled = docs.where("lang is not null").select("doc_id", F.col("lang").alias("domain"))
+    domains = mixing.learn(docs, labelled)
+    steps = [np.linspace(-1.5, 0.9, len(domains.names))]
+    rated = mixing.rated(mixing.members(docs, domains), domains.names, steps)
+    want = sorted((r["doc_id"] for r in rated.collect() for _ in range(r["copies"])), key=repr)
+    got = mixing.drawn(docs, domains, steps, ["doc_id", "text", "kept"])
+    assert got.columns == ["doc_id", "text", "kept"] and sorted((r["doc_id"] for r in got.collect()), key=repr) == want
