@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm.common import each_batch, partitions, record_batch, small_batches, table
@@ -46,6 +46,8 @@ LEAF, BLOCK = 32, 8_000
 FEW = 12
 #: Other classes of a large neighbourhood that each is held against to connect it before the search.
 GLANCES = 32
+#: Large neighbourhoods of a class in which this is done.
+GLANCED = 3
 #: Pairs with one partner that a task verifies, on average at most.
 SHARE = 500
 #: Bits of the filter of wanted ids.
@@ -629,7 +631,10 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     # Contraction: the partner with most shared items, by id among equals, if they are a good part of the prefix; and glances at large neighbourhoods.
     near = runs.mapInArrow(_near_in_run, "a long, b long, shared long, n long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("n").alias("n")).where(F.col("shared") * 12 >= F.col("n"))
     best = near.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    large = table(runs.withColumn("comp", F.col("sig")).repartition(parts, "item").mapInArrow(_unfinished(False), open_), "large")
+    large = runs.withColumn("comp", F.col("sig")).repartition(parts, "item").mapInArrow(_unfinished(False), open_)
+    # A few neighbourhoods a class do for glances; classes that share many take the same ones.
+    place = F.row_number().over(Window.partitionBy("sig").orderBy("item", "lo", "hi"))
+    large = table(large.withColumn("place", place).where(F.col("place") <= GLANCED).drop("place"), "large")
     ordered = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     links = table(verify(ordered.unionByName(looked_through(large, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), kept), "links")
     comps = table(components(links), "components")
