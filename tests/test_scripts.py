@@ -50,7 +50,7 @@ GOLDEN = [
     ("f = (s: Str) => s.to_lower(); f(read.seq.slice(0, 2)).stdout!()", ["aa"]),
     ("t = [{ n = 'x', s = 'GGGG' }, { n = 'y', s = 'TTTT' }]\nif read matches [_ b.s rest:_] for b in t => '{b.n}{rest.seq.len()}'.stdout!()", ["x12"]),
     ("if read matches [_ -b.s rest:_] for b in [{ s = 'CCCC' }] => rest.seq.stdout!()", ["CCCCCCCCCCCC"]),
-    ("if read matches [_ GGCG ~ 0.3 rest:_] => if rest matches [CC _ x:|2|] => x.seq.stdout!()", ["CC"]),
+    ("if read matches [_ GGCG ~ 0.3 rest:_] => if rest matches [GC _ x:|2|] => x.seq.stdout!()", ["CC"]),
     ("'nothing'.stdout!() # not hing", ["nothing"]),
     ("ACGT.stdout!(); (-ACGG).stdout!(); 'a\\tb'.stdout!()", ["ACGT", "CCGT", "a\tb"]),
 ]
