@@ -1,11 +1,13 @@
 """The queries over the driver's tables, by name, with the same in SQL.
 
-The tables hold no sequencing data, so reads are derived from text: letters become bases by a fixed table.
+The tables hold no sequencing data, so reads are derived from text: letters become bases by a fixed table.  Where the SQL
+of a query takes the first 150 letters of a text only, ``whole_`` and its name is the same query over whole texts.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -33,11 +35,20 @@ ORACLES: dict[str, str] = {}
 LETTERS, TO_BASES, TO_QUALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTNACGTACGTACGTACGTA", "@BDFHJKLMNOPQRSTUVWXYZabcd"
 
 
+class Prefix(str):
+    """A folder of tables, of whose texts reads get the first 150 letters, as the SQL has it."""
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = sql
+        if sql is not None and (FQ in sql or PG in sql):
+            QUERIES[name] = lambda spark, d: fn(spark, Prefix(d))
+            QUERIES[f"whole_{name}"] = fn
+            if "range(1, 1" not in sql and _CODON not in sql:  # the others enumerate so many positions at most, or take quadratic time; tests hold them against brute force
+                ORACLES[f"whole_{name}"] = sql.replace(FQ, WHOLE_FQ).replace(PG, WHOLE_PG).replace("substring(fq.seq, 1, 8)", "fq.seq")
         return fn
 
     return register
@@ -46,8 +57,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # Derived reads, in both languages.
 
 
-def _letters(column: str, first: int, n: int, table: str):
-    return F.translate(F.substring(F.upper(F.regexp_replace(column, "[^A-Za-z]", "")), first, n), LETTERS, table)
+def _letters(column: str, first: int, n: int | None, table: str):
+    letters = F.upper(F.regexp_replace(column, "[^A-Za-z]", ""))
+    return F.translate(letters if n is None else F.substring(letters, first, n), LETTERS, table)
+
+
+def _most(d: str) -> int | None:
+    return 150 if isinstance(d, Prefix) else None
 
 
 def _sql_letters(column: str, first: int, n: int, table: str) -> str:
@@ -59,11 +75,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def fq(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.concat(F.lit("read"), F.col("doc_id")).alias("id"), F.col("lang").alias("desc"), _letters("text", 1, 150, TO_BASES).alias("seq"), _letters("text", 1, 150, TO_QUALS).alias("qual"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.concat(F.lit("read"), F.col("doc_id")).alias("id"), F.col("lang").alias("desc"), _letters("text", 1, _most(d), TO_BASES).alias("seq"), _letters("text", 1, _most(d), TO_QUALS).alias("qual"))
 
 
 def pg(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select(F.col("page_id").alias("row_id"), F.concat(F.lit("page"), F.col("page_id")).alias("id"), F.col("url").alias("desc"), _letters("html", 1, 150, TO_BASES).alias("seq"))
+    return table(spark, d, "pages").select(F.col("page_id").alias("row_id"), F.concat(F.lit("page"), F.col("page_id")).alias("id"), F.col("url").alias("desc"), _letters("html", 1, _most(d), TO_BASES).alias("seq"))
 
 
 def sam(spark: SparkSession, d: str) -> DataFrame:
@@ -77,11 +93,16 @@ def barcodes(spark: SparkSession, d: str) -> DataFrame:
 
 FQ = f"""fq AS (SELECT doc_id AS row_id, concat('read', doc_id) AS id, lang AS "desc", {_sql_letters("text", 1, 150, TO_BASES)} AS seq, {_sql_letters("text", 1, 150, TO_QUALS)} AS qual FROM documents)"""
 PG = f"""pg AS (SELECT page_id AS row_id, concat('page', page_id) AS id, url AS "desc", {_sql_letters("html", 1, 150, TO_BASES)} AS seq FROM pages)"""
+WHOLE_FQ, WHOLE_PG = (re.sub(r"substring\((upper\(.*?'g'\)\)), 1, 150\)", r"\1", x) for x in (FQ, PG))
 SAM = "sam AS (SELECT concat('q', l_orderkey, '_', l_linenumber) AS qname, CAST((l_orderkey * 37 + l_linenumber * 211) % 4096 AS INT) AS flag, concat('chr', l_suppkey % 24 + 1) AS rname, CAST(l_partkey AS INT) AS pos, CAST(l_quantity AS INT) AS mapq, concat('NM:i:', l_linenumber) AS tags FROM lineitem)"
 BC = f"bc AS (SELECT item_id AS name, {_sql_letters('text', 11, 8, TO_BASES)} AS seq FROM benchmark)"
 RC = f"reverse(translate(seq, '{S.BASES}', '{S.COMPLEMENTS}'))"
 
 
+_AT = "(instr('TCAG', substring(seq, CAST(3 * i + {k} AS INT), 1)) - 1)"
+_CODON = f"CASE WHEN {_AT.format(k=1)} < 0 OR {_AT.format(k=2)} < 0 OR {_AT.format(k=3)} < 0 THEN '?' ELSE substring('{S.AMINO}', CAST(16 * {_AT.format(k=1)} + 4 * {_AT.format(k=2)} + {_AT.format(k=3)} + 1 AS INT), 1) END"
+
+
 def reads(spark: SparkSession, d: str) -> DataFrame:
     """Derived reads as scripts see them."""
     return as_read(fq(spark, d).withColumnRenamed("row_id", "_row_id"))
@@ -323,10 +344,6 @@ def _(spark, d):
     return reads(spark, d).select(r.alias("r")).select("r.id", "r.desc", "r.seq", "r.qual")
 
 
-_AT = "(instr('TCAG', substring(seq, CAST(3 * i + {k} AS INT), 1)) - 1)"
-_CODON = f"CASE WHEN {_AT.format(k=1)} < 0 OR {_AT.format(k=2)} < 0 OR {_AT.format(k=3)} < 0 THEN '?' ELSE substring('{S.AMINO}', CAST(16 * {_AT.format(k=1)} + 4 * {_AT.format(k=2)} + {_AT.format(k=3)} + 1 AS INT), 1) END"
-
-
 @query("translate_codons", f"WITH {FQ} SELECT id, CASE WHEN length(seq) < 3 THEN '' ELSE array_to_string(list_transform(range(0, CAST(floor(length(seq) / 3) AS BIGINT)), lambda i: {_CODON}), '') END AS protein FROM fq")
 def _(spark, d):
     return fq(spark, d).select("id", S.translate(F.col("seq")).alias("protein"))
@@ -337,7 +354,7 @@ def _(spark, d):
     bc = barcodes(spark, d)
     n = bc.count()
     both = fq(spark, d).withColumn("name", F.col("row_id") % n).join(bc.withColumnRenamed("seq", "code"), "name")
-    return both.select("id", "name", S.distance(F.substring("seq", 1, 8), F.col("code")).cast("bigint").alias("d"))
+    return both.select("id", "name", S.distance(F.substring("seq", 1, 8) if isinstance(d, Prefix) else F.col("seq"), F.col("code")).cast("bigint").alias("d"))
 
 
 @query("to_str_num", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity / 4 = floor(l_quantity / 4) THEN CAST(CAST(l_quantity / 4 AS BIGINT) AS VARCHAR) ELSE rtrim(CAST(CAST(l_quantity / 4 AS DECIMAL(18, 4)) AS VARCHAR), '0') END AS shown FROM lineitem")

@@ -97,14 +97,17 @@ def worlds_column(seq: Column, plan: MatchPlan, strict: bool = False) -> Column:
 
 def in_mode(worlds: Column, mode: str) -> Column:
     """The worlds that a match mode leaves."""
-    least = F.array_min(F.transform(worlds, lambda w: w["dist"]))
-    best = F.filter(worlds, lambda w: w["dist"] == least)
     if mode == "all":
         return worlds
+
+    def best_of(every: Column) -> Column:
+        return native.let(F.array_min(F.transform(every, lambda w: w["dist"])), lambda least: F.filter(every, lambda w: w["dist"] == least))
+
+    best = native.let(worlds, best_of)
     if mode == "all-best":
         return F.slice(best, 1, 1)
     if mode == "one-best":
-        return F.when(F.size(best) == 1, best).otherwise(native.none())
+        return native.let(best, lambda b: F.when(F.size(b) == 1, b).otherwise(native.none()))
     raise ValueError(f"match mode {mode!r}; there are {', '.join(MODES)}")
 
 

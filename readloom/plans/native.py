@@ -20,8 +20,15 @@ def is_native(plan: MatchPlan) -> bool:
 
 def worlds(seq: Column, plan: MatchPlan, strict: bool = False) -> Column:
     """``array<struct<dist int, locs array<int>, ctx array<int>>>`` of the ways the pattern matches."""
-    length = F.length(seq)
+    return let(seq, lambda s: let(F.length(s), lambda n: _worlds(s, n, plan, strict)))
 
+
+def let(value: Column, fn) -> Column:
+    """``fn(value)``, with the value computed once however often ``fn`` and its lambdas use it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _worlds(seq: Column, length: Column, plan: MatchPlan, strict: bool) -> Column:
     def run(ops: list, locs: dict[int, Column], good: list[Column]) -> Column:
         for k, op in enumerate(ops):
             if isinstance(op, Let):
