@@ -18,8 +18,8 @@ MODES = ("all", "all-best", "one-best")
 World = tuple[int, dict[int, int], tuple[int, ...]]
 
 
-def hits_of(op: Restrict, pattern: str, seq: str, locs: dict[int, int]) -> list[Hit]:
-    """Where a term is found in its window.  A window pinned at one end is the pattern's length and its edits wide; one that leaves the read has no hits."""
+def hits_of(op: Restrict, pattern: str, seq: str, locs: dict[int, int], exact: bool = False) -> list[Hit]:
+    """Where a term is found in its window.  A window pinned at one end is the pattern's length and its edits wide; one that leaves the read has no hits.  ``exact`` asks for those without edits only, which is cheap."""
     k = allowed_edits(len(pattern), op.term.rate)
     lo, hi = locs[op.lo], locs[op.hi]
     if op.fixed_start and op.fixed_end:
@@ -31,7 +31,7 @@ def hits_of(op: Restrict, pattern: str, seq: str, locs: dict[int, int]) -> list[
         lo = hi - len(pattern) - k
     if lo < 0 or hi > len(seq) or lo > hi:
         return []
-    return [(s + lo, e + lo, d) for s, e, d in find_disjoint(pattern, seq[lo:hi], k)]
+    return [(s + lo, e + lo, d) for s, e, d in find_disjoint(pattern, seq[lo:hi], 0 if exact else k)]
 
 
 def worlds_of(plan: MatchPlan, seq: str, strict: bool = False) -> list[World]:
@@ -45,7 +45,7 @@ def worlds_of(plan: MatchPlan, seq: str, strict: bool = False) -> list[World]:
                 if locs[op.lo] < at < locs[op.hi]:
                     new.append((dist, locs | {op.loc: at}, ctx))
                 continue
-            found: list[tuple[int, int, int, tuple[int, ...]]] = []
+            choices = []
             for choice, text in op.term.choices:
                 bound = list(ctx)
                 for variable, value in zip(op.term.uses, choice):
@@ -53,7 +53,10 @@ def worlds_of(plan: MatchPlan, seq: str, strict: bool = False) -> list[World]:
                         break
                     bound[variable] = value
                 else:
-                    found += [(d, s, e, tuple(bound)) for s, e, d in hits_of(op, text.upper(), seq, locs)]
+                    choices.append((text.upper(), tuple(bound)))
+            found: list[tuple[int, int, int, tuple[int, ...]]] = []
+            for exact in (True, False):  # hits without edits leave no others, so a search for more edits is needed only where there are none
+                found = found or [(d, s, e, b) for text, b in choices for s, e, d in hits_of(op, text, seq, locs, exact) if d == 0 or not exact]
             if found:
                 least = min(f[0] for f in found)
                 new += [(min(255, dist + d), locs | {op.atom: s, op.atom + 1: e}, c) for d, s, e, c in found if d == least]

@@ -73,3 +73,21 @@ def test_fuzzy_ends_of_whole_reads(spark, reads):
                 want.append((i, e, d))
     assert got == sorted(want)
     assert {r["row_id"] for r in catalogue.QUERIES["pat_fuzzy_slice"](spark, folder).where("dist = 0").collect()} >= {8}
+
+
+def test_all_barcodes_of_whole_reads(spark, reads):
+    folder, seqs, codes = reads
+    want = []
+    for i, s in seqs.items():
+        least = {name: min((edit_distance(c, s[e - n : e]) for e in range(6, len(s) + 1) for n in range(6, 11) if e >= n), default=9) if len(s) < 1_000 else 9 * (c not in s) for name, c in codes.items()}
+        want += [(i, name, d) for name, d in least.items() if d <= 2 and d == min(least.values())]
+    assert rows(spark, folder, "whole_demux_best") == sorted(want) and any(name >= 12 for _, name, _ in want)
+    ends = [(i, a, b) for i, s in seqs.items() if len(s) >= 6 for a, x in codes.items() for b, y in codes.items() if s[:3] == x[:3] and s[-3:] == y[:3]]
+    assert rows(spark, folder, "whole_demux_two_params") == sorted(ends)
+
+
+def test_repeated_terms_are_described(spark, reads):
+    folder, seqs, _ = reads
+    shapes = dict(rows(spark, folder, "whole_describe_exact"))
+    assert shapes == {i: "[ _ " + "".join("a _ " if m[0] == "ACGACG" else "b _ " for m in re.finditer("ACGACG|GGTT", s)) + "]" for i, s in seqs.items()}
+    assert shapes[9] == "[ _ a _ a _ b _ ]"
