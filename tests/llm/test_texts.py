@@ -204,3 +204,31 @@ def test_licence_scores_equal_a_plain_computation(spark):
 def test_held_out_is_never_learnt(speech):
     seen = toxicity.train(speech.select("doc_id", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, "secret secret").otherwise(F.col("text")).alias("text")), speech.select("doc_id", "toxic"))
     assert "secret" not in seen.ids
+
+
+def test_all_labelled_texts_are_counted(spark, speech):
+    rows = speech.unionByName(spark.createDataFrame([(i, "quux corge grault", 0) for i in range(1000, 1200)] + [(2000 + i, "quux unlabelled", None) for i in range(40)], "doc_id long, text string, toxic int"))
+    labels = speech.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in rows.select("doc_id", "toxic").where("toxic is not null").collect()], "doc_id long, toxic int")
+    got = toxicity.count(rows.where("doc_id < 2000").select(F.col("doc_id").alias("id"), "text", F.col("toxic").alias("y")))
+    want = toxicity.Counts.of(*([toxicity.words(r["text"]) for r in rows.where(F.col("toxic") == y).collect()] for y in (1, 0)))
+    assert got.ids == want.ids and all((getattr(got, k) == getattr(want, k)).all() for k in ("texts_of", "keys", "toxic", "ordinary", "other", "follows"))
+    model = toxicity.train(rows.select("doc_id", "text"), labels, sample=10)
+    assert {"quux", "corge", "zonk", "blarg", "fnord"} <= set(model.ids)
+    every = toxicity.count(rows.select(F.col("doc_id").alias("id"), "text", F.col("toxic").alias("y")))
+    assert every.follows.sum() > got.follows.sum()
+
+
+def test_counts_without_some_texts():
+    import numpy as np
+
+    toxic, ordinary = [["a", "b", "c"], ["a", "c"], ["b", "a", "rareone"]] * 2, [["d", "a"], ["d", "c"], ["rareone", "d"]] * 2
+    left = toxicity.Counts.of(toxic, ordinary).without(toxic[:1] + toxic[2:3], ordinary[2:3])
+    want = toxicity.Counts.of(toxic[1:2] + toxic[3:], ordinary[:2] + ordinary[3:])
+    assert set(left.ids) == set(want.ids) and "rareone" not in left.ids
+    names = lambda n: {i: w for w, i in n.ids.items()} | {0: ""}
+
+    def pairs(n):
+        v = len(n.texts_of)
+        return {(names(n)[k // v], names(n)[k % v]): (t, o) for k, t, o in zip(n.keys.tolist(), n.toxic.tolist(), n.ordinary.tolist())}
+
+    assert pairs(left) == pairs(want) and np.isfinite(toxicity.Model.from_counts(left).ratios).all()
