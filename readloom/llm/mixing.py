@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from readloom.llm.common import each_batch, kept_as, record_batch, small_batches, table
 
-#: Labelled texts to learn from at most; buckets of hashed words; passes at most and the relative error that ends them.
-SAMPLE, BUCKETS = 4_000, 1 << 11
+#: Labelled texts to learn from at most, and of a domain at least; buckets of hashed words; passes at most and the relative error that ends them.
+SAMPLE, FEWEST, BUCKETS = 4_000, 20, 1 << 11
 PASSES, CLOSE = 40, 1e-4
 SHAPES = 6
 
@@ -78,16 +78,37 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], steps: int = 120, penalt
     return Domains(names, w.astype(np.float64))
 
 
+def shares_of(counts: dict[str, int], sample: int) -> int:
+    """The most rows of a domain with which all domains have about ``sample`` rows in all, FEWEST at least."""
+    left, most = sample, max(counts.values(), default=0)
+    for k, n in enumerate(sorted(counts.values())):
+        if n * (len(counts) - k) > left:
+            most = left // (len(counts) - k)
+            break
+        left -= n
+    return max(FEWEST, most)
+
+
 def learn(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample: int = SAMPLE) -> Domains:
-    """A classifier from at most about ``sample`` rows of ``labelled`` (id, domain), those with the smallest hashes of ids."""
+    """A classifier of all domains of ``labelled`` (id, domain), from at most about ``sample`` of its rows in all or FEWEST of each domain, those with the smallest hashes of ids.
+
+    Constants are corrected for how much more of a domain was drawn.
+    """
     own = labelled.where(F.col(domain_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(domain_col).cast("string").alias("domain")).dropDuplicates(["id"])
-    own = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, own.count())) * (1 << 30)))  # a bounded number of rows
+    counts = {r["domain"]: r["n"] for r in own.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # a row a domain
+    names, most = sorted(counts) or ["all"], shares_of(counts, sample)
+    bounds = docs.sparkSession.createDataFrame([(d, int(min(1.0, most / n) * (1 << 30))) for d, n in counts.items()], "domain string, most long")
+    own = own.join(F.broadcast(bounds), "domain").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("most")).select("id", "domain")  # a bounded number of rows
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), "id")
     got = sorted((r["id"], r["domain"], r["text"]) for r in rows.toLocalIterator())
-    names = sorted({d for _, d, _ in got}) or ["all"]
     if not got:
-        return Domains(names, np.zeros((BUCKETS + SHAPES + 1, 1)))
-    return fit(np.stack([features(t)[0] for _, _, t in got]).astype(np.float32), np.array([names.index(d) for _, d, _ in got]), names)
+        return Domains(names, np.zeros((BUCKETS + SHAPES + 1, len(names))))
+    y = np.array([names.index(d) for _, d, _ in got])
+    out = fit(np.stack([features(t)[0] for _, _, t in got]).astype(np.float32), y, names)
+    drawn = np.bincount(y, minlength=len(names)) / len(y)
+    share = np.array([counts[d] for d in names]) / sum(counts.values())
+    out.weights[-1] += np.where(drawn > 0, np.log(share / np.where(drawn > 0, drawn, 1.0)), 0.0)
+    return out
 
 
 def members(docs: DataFrame, domains: Domains, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,6 +176,8 @@ def mix(rows: DataFrame, names: list[str], targets: Callable[[np.ndarray, list[s
         got = _summed(rows, k, own, k + k * k)
         return got[:k], got[k:].reshape(k, k)
 
+    if isinstance(targets, dict) and (unknown := sorted(set(targets) - set(names))):
+        raise ValueError(f"targets of unknown domains: {', '.join(unknown)}")
     natural, gram = sums([])
     weights = np.array([targets.get(x, 0.0) for x in names]) if isinstance(targets, dict) else targets(natural / max(natural.sum(), 1e-300), names)
     weights = np.where(natural > 0, weights, 0.0)

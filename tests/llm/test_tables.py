@@ -177,6 +177,17 @@ def test_mixing_edge_cases(spark, docs, rows, nothing):
     assert {r["rate"] for r in unlabelled.collect()} == {1.0}
 
 
+def test_rare_domains_are_learnt(spark):
+    rows = [(i, "common words here and there", "big") for i in range(3000)] + [(5000 + i, "odd strange things", "rare") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string").repartition(3)
+    domains = mixing.learn(docs, docs.select("doc_id", "domain"), sample=40)
+    assert domains.names == ["big", "rare"]
+    assert {r["doc_id"] for r in mixing.rated(mixing.members(docs, domains), domains.names, []).where("domain = 'rare'").collect()} == {5000, 5001, 5002}
+    with pytest.raises(ValueError, match="nowhere"):
+        mixing.mixed(docs, docs.select("doc_id", "domain"), {"big": 0.5, "nowhere": 0.5})
+    assert mixing.shares_of({"a": 10, "b": 3000, "c": 5000}, 4000) == 1995 and mixing.shares_of({"a": 10, "b": 30}, 4000) == 30
+
+
 # ---- archives ----
 
 PAGES = [(1, "http://a/\r\nX: y", "<p>one</p>"), (2, "u", "two\r\n\r\nWARC/1.1\r\n"), (3, "u", "<p>one</p>"), (4, None, None), (5, "u", ""), (6, "u", "é" * 5000), (7, "u", "<p>one</p>"), (3, "u", "<p>one</p>"), (None, "u", "<p>one</p>"), (8, "u", "z" * 300_000)]
