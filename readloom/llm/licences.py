@@ -2,7 +2,9 @@
 
 A multinomial logistic regression over word n-grams of known notices tells licence families apart and from ordinary
 text, whose class is ``unknown``; a temperature fitted on paragraphs that training didn't see calibrates its
-probabilities.  A prediction counts if its paragraph also holds most n-grams of a template of that family.
+probabilities.  A family counts if its text also holds most n-grams of one of its templates.  Notices are sought in
+each line and in overlapping windows of words of each paragraph, since they are wrapped over lines as often as several share one;
+of families confirmed together, one that less is found of stays if the templates of the others don't explain what it is known by.
 
 Scoring runs inside the JVM row by row: no explode, join or shuffle.  Weights and templates travel as one constant.
 Paragraphs are first searched for anchors: words chosen so that every template has more n-grams with an anchor than a
@@ -44,6 +46,11 @@ UNKNOWN = "unknown"
 CONTAINED, LEAST = 0.7, 0.5
 #: Paragraphs of the corpus that teach ordinary text, at most; variants of a template to learn from.
 BACKGROUND, VARIANTS = 400, 30
+#: Words of a window and from one to the next: with no more than the difference, a notice falls into one window whole.
+WINDOW, STEP = 48, 24
+#: Words that don't tell families apart.
+PLAIN = {"this", "work", "with", "that", "under", "terms", "following", "available", "made", "part", "software", "person", "purpose", "without", "provided", "source", "subject"}
+_STOP = {"a", "and", "any", "are", "be", "for", "in", "is", "may", "met", "no", "of", "or", "the", "to", "v"}
 _TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -62,10 +69,9 @@ def anchors() -> list[str]:
     for _, gs in every:
         for w in {w for g in gs for w in g.split()}:
             used[w] = used.get(w, 0) + 1
-    plain = {"this", "work", "with", "that", "under", "terms", "following", "available", "made", "part", "software", "person", "purpose", "without", "provided", "source", "subject"}
     chosen: set[str] = set()
     for _, gs in every:
-        for w in sorted({w for g in gs for w in g.split()}, key=lambda w: (w not in chosen, len(w) < 4 and w not in ("gnu", "cc0", "mit", "bsd"), w in plain, -used[w], w)):
+        for w in sorted({w for g in gs for w in g.split()}, key=lambda w: (w not in chosen, len(w) < 4 and w not in ("gnu", "cc0", "mit", "bsd"), w in PLAIN, -used[w], w)):
             if sum(any(x in chosen for x in g.split()) for g in gs) > (1 - CONTAINED) * len(gs):
                 break
             chosen.add(w)
@@ -85,8 +91,8 @@ class Scanner:
     def constant(self) -> Column:
         """Everything the expression needs, as one literal."""
         templates = [[grams(terms(t)) for t in TEMPLATES[f]] for f in self.families]
-        data = {"families": self.families, "known": self.known, "weights": [[round(float(x), 4) for x in w] for w in self.weights], "bias": [round(float(x), 4) for x in self.bias], "templates": templates}
-        return F.from_json(F.lit(json.dumps(data)), "families array<string>, known array<string>, weights array<array<double>>, bias array<double>, templates array<array<array<string>>>")
+        data = {"families": self.families, "known": self.known, "weights": [[round(float(x), 4) for x in w] for w in self.weights], "bias": [round(float(x), 4) for x in self.bias], "templates": templates, "marks": [sorted({g for t in ts for g in t if not (PLAIN | _STOP) & set(g.split())}) for ts in templates]}
+        return F.from_json(F.lit(json.dumps(data)), "families array<string>, known array<string>, weights array<array<double>>, bias array<double>, templates array<array<array<string>>>, marks array<array<string>>")
 
 
 def train(paragraphs: list[str], seed: int = 5) -> Scanner:
@@ -146,7 +152,11 @@ def scan(docs: DataFrame, scanner: Scanner, *, id_col: str = "doc_id", text_col:
     k = scanner.constant()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = f"(?i)(?<![a-z0-9])(?:{'|'.join(re.escape(a) for a in anchors())})(?![a-z0-9])"
-    paragraphs = F.when(text.rlike(found), F.filter(F.split(text, "\n"), lambda p: p.rlike(found))).otherwise(F.array().cast("array<string>"))
+    paragraphs = F.when(text.rlike(found), F.filter(F.split(text, r"\n(?:[^\p{L}\p{N}\n]*\n)+"), lambda p: p.rlike(found))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<struct<score:double,family:string>>")
+
+    def let(value: Column, fn) -> Column:
+        return F.element_at(F.transform(F.array(value), fn), 1)
 
     def grams_of(words: Column) -> Column:
         pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(F.element_at(words, i + 1), F.lit(" "), w))
@@ -157,14 +167,48 @@ def scan(docs: DataFrame, scanner: Scanner, *, id_col: str = "doc_id", text_col:
         rows = F.filter(F.transform(g, lambda x: F.array_position(k["known"], x)), lambda i: i > 0)
         logits = F.aggregate(rows, k["bias"], lambda acc, i: F.zip_with(acc, F.element_at(k["weights"], i.cast("int")), lambda a, b: a + b))
         powers = F.transform(logits, lambda z: F.exp(F.lit(scanner.scale) * F.least(z, F.lit(200.0))))
-        total = F.aggregate(powers, F.lit(1.0), lambda a, b: a + b)
-        best = F.array_max(powers)
-        at = F.array_position(powers, best).cast("int")
-        confirmed = F.exists(F.element_at(k["templates"], at), lambda t: F.size(F.array_intersect(t, g)) >= F.lit(CONTAINED) * F.size(t))
-        return F.struct((best / total).alias("score"), F.element_at(k["families"], at).alias("family"), confirmed.alias("confirmed"))
-
-    words = F.transform(paragraphs, lambda p: F.regexp_extract_all(F.lower(p), F.lit(_TERM), F.lit(0)))
-    notices = F.filter(F.transform(F.transform(words, grams_of), judged), lambda n: n["confirmed"] & (n["score"] >= least))
+        confirmed = F.filter(F.sequence(F.lit(1), F.lit(len(scanner.families))), lambda i: F.exists(F.element_at(k["templates"], i), lambda t: F.size(F.array_intersect(t, g)) >= F.lit(CONTAINED) * F.size(t)))
+        return let(confirmed, lambda c: F.when(F.size(c) > 0, let(powers, lambda p: standing(g, c, p))).otherwise(none))
+
+    def standing(g: Column, confirmed: Column, powers: Column) -> Column:
+        at = lambda i: F.element_at(powers, i)
+
+        marks = lambda i: F.array_intersect(F.element_at(k["marks"], i), g)
+
+        def stays(i: Column) -> Column:
+            more = lambda a, b: (F.size(marks(a)) > F.size(marks(b))) | ((F.size(marks(a)) == F.size(marks(b))) & ((at(a) > at(b)) | ((at(a) == at(b)) & (a < b))))
+            better = F.filter(confirmed, lambda j: more(j, i))
+            known_by = marks(i)
+            return (F.size(better) == 0) | (F.size(F.array_except(known_by, F.flatten(F.flatten(F.transform(better, lambda j: F.element_at(k["templates"], j)))))) > 0)
+
+        def judge(kept: Column) -> Column:
+            total = lambda of: F.aggregate(of, F.lit(1.0), lambda a, j: a + at(j))
+            every = F.sequence(F.lit(1), F.lit(len(scanner.families)))
+            # Templates and marks decide between families, so only ordinary text can refute one; the score still counts those not kept as rivals.
+            likely = F.filter(kept, lambda i: at(i) >= F.lit(least) * (at(i) + 1.0))
+            return F.transform(likely, lambda i: F.struct((at(i) / (at(i) + total(F.array_except(every, kept)))).alias("score"), F.element_at(k["families"], i).alias("family")))
+
+        return let(F.filter(confirmed, stays), judge)
+
+    def words_of(p: Column) -> Column:
+        return F.regexp_extract_all(F.lower(p), F.lit(_TERM), F.lit(0))
+
+    def in_windows(words: Column) -> Column:
+        """A family found in windows in a row counts once."""
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(words) - WINDOW) / STEP), F.lit(0)).cast("int"))
+        windows = F.transform(starts, lambda i: F.slice(words, i * STEP + 1, WINDOW))
+        each = F.transform(windows, lambda w: F.when(F.array_join(w, " ").rlike(found), let(grams_of(w), judged)).otherwise(none))
+        return let(each, lambda e: F.flatten(F.transform(e, lambda own, i: F.filter(own, lambda n: (i == 0) | ~F.exists(F.element_at(e, F.greatest(i, F.lit(1))), lambda m: m["family"] == n["family"])))))
+
+    def in_paragraph(p: Column) -> Column:
+        """By family, what lines by themselves or all lines together hold, whichever is more."""
+        lines = F.filter(F.split(p, "\n"), lambda x: x.rlike(found))
+        one = F.flatten(F.transform(F.transform(lines, words_of), in_windows))
+        times = lambda among, n: F.size(F.filter(among, lambda m: m["family"] == n["family"]))
+        both = lambda a, b: F.concat(F.filter(a, lambda n: times(a, n) >= times(b, n)), F.filter(b, lambda n: times(b, n) > times(a, n)))
+        return let(one, lambda a: F.when(F.instr(p, "\n") == 0, a).otherwise(let(let(words_of(p), in_windows), lambda b: both(a, b))))
+
+    notices = F.flatten(F.transform(paragraphs, in_paragraph))
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), notices.alias("notices"))
     top = F.array_max(F.transform("notices", lambda n: n["score"]))
     best = F.element_at(F.filter("notices", lambda n: n["score"] == top), 1)

@@ -232,3 +232,21 @@ def test_counts_without_some_texts():
         return {(names(n)[k // v], names(n)[k % v]): (t, o) for k, t, o in zip(n.keys.tolist(), n.toxic.tolist(), n.ordinary.tolist())}
 
     assert pairs(left) == pairs(want) and np.isfinite(toxicity.Model.from_counts(left).ratios).all()
+
+
+def scanned(spark, texts):
+    scanner = licences.train(["an ordinary paragraph of words", "and another one of them"])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r["n_notices"], r["families"]) for r in sorted(licences.scan(df, scanner).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_wrapped_notices(spark):
+    import textwrap
+
+    long = {f: max(licences.TEMPLATES[f], key=len) for f in ("bsd-3-clause", "mit", "isc")}
+    texts, want = [], []
+    for f, t in long.items():
+        for width, mark in ((80, ""), (72, " * "), (60, "# "), (40, "// ")):
+            texts.append("int x;\n\n" + "\n".join(mark + line for line in textwrap.wrap(t, width)) + f"\n{mark}\n{mark}Other words follow.\n")
+            want.append((1, f))
+    assert scanned(spark, texts) == want
