@@ -250,3 +250,11 @@ def test_wrapped_notices(spark):
             texts.append("int x;\n\n" + "\n".join(mark + line for line in textwrap.wrap(t, width)) + f"\n{mark}\n{mark}Other words follow.\n")
             want.append((1, f))
     assert scanned(spark, texts) == want
+
+
+def test_several_notices_in_a_line(spark):
+    filler = "ordinary words go on and on here " * 20
+    mit, apache, gpl, nc = NOTICES["mit"], NOTICES["apache-2.0"], NOTICES["gpl-3.0"], NOTICES["cc-by-nc-4.0"]
+    texts = [f"{mit} {apache}", f"{filler}{mit} {filler}{gpl} {filler}{nc}", f"{mit} {filler}{mit}", f"{mit}\n{mit}", "This work is licensed under the GNU Lesser General Public License version 3", *(t for f, ts in sorted(licences.TEMPLATES.items()) for t in ts)]
+    want = [(2, "apache-2.0,mit"), (3, "cc-by-nc-4.0,gpl-3.0,mit"), (2, "mit"), (2, "mit"), (1, "lgpl-3.0"), *((1, f) for f, ts in sorted(licences.TEMPLATES.items()) for _ in ts)]
+    assert scanned(spark, texts) == want
