@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,9 +87,27 @@ def each_batch(fn: Callable[[pa.RecordBatch], dict | None], schema: pa.Schema) -
             if batch.num_rows and (columns := fn(batch)) is not None:
                 yield record_batch(columns, schema if "kept" not in columns else schema.append(pa.field("kept", columns["kept"].type)))
 
+    return tidy(run)
+
+
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function that gives freed memory back to the system when a task ends, as workers wait for the next task and an executor's memory counts them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
     return run
 
 
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
+
+
 def kept_as(docs: DataFrame, keep: list[str] | None) -> tuple[list[Column], str]:
     """For operators that may keep columns of their input beside their own: a struct ``kept`` to select, and its part of the schema."""
     if not keep:
@@ -98,3 +118,36 @@ def kept_as(docs: DataFrame, keep: list[str] | None) -> tuple[list[Column], str]
 
 def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, type=f.type) for f in schema], schema=schema)
+
+
+#: Bits for each id in a filter, and how many in all at most; with more ids it lets more rows pass.
+FILTER_BITS, FILTER_MOST = 16, 1 << 28
+
+
+def sieve(ids: DataFrame) -> np.ndarray:
+    """A filter with the bits of all ``ids(id)`` set, put together by pages on executors: a power of two of bits, FILTER_MOST at most."""
+    bits = min(FILTER_MOST, max(1 << 16, 1 << (FILTER_BITS * ids.count()).bit_length()))
+    schema = pa.schema([("page", pa.int64()), ("bits", pa.binary())])
+    slot = F.col("id").bitwiseAND(bits - 1)
+
+    def page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slots = np.asarray(batch.column(0))
+            for p in np.unique(slots >> 16):
+                pages.setdefault(int(p), np.zeros(1 << 16, bool))[slots[slots >> 16 == p] & 0xFFFF] = True
+        if pages:
+            yield record_batch({"page": list(pages), "bits": [np.packbits(x).tobytes() for x in pages.values()]}, schema)
+
+    n = min(partitions(ids.sparkSession), bits >> 16)
+    found = ids.select(slot.alias("slot")).distinct().repartition(n, F.shiftright("slot", 16)).mapInArrow(tidy(page), "page long, bits binary").collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for p, own in found:
+        out[p * 8192 : (p + 1) * 8192] = np.frombuffer(own, np.uint8)
+    return out
+
+
+def may_be_in(filled: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places of the ids that a :func:`sieve` doesn't rule out."""
+    slot = ids & (8 * len(filled) - 1)
+    return np.flatnonzero(filled[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
