@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``id, component`` for every node of ``edges(a, b)``: component is the smallest id of the node's component.
+    """``id, component``, a table, for every node of ``edges(a, b)``: component is the smallest id of the node's component.
 
     No node's neighbours are ever gathered: a step takes a minimum by node, combined before the shuffle, and joins it back.
     Loops, repeated edges and null ends are ignored.
@@ -30,4 +30,6 @@ def components(edges: DataFrame) -> DataFrame:
         now, before, state = small, state, _state(small)
         if state == before:
             break
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = table(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
+    drop(now)
+    return out
