@@ -1,13 +1,12 @@
 """The queries over the driver's tables, by name, with the same in SQL.
 
-The tables hold no sequencing data, so reads are derived from text: letters become bases by a fixed table.  Where the SQL
-of a query takes the first 150 letters of a text only, ``whole_`` and its name is the same query over whole texts.
+The tables hold no sequencing data, so reads are derived from text: letters become bases by a fixed table, and all of a
+text's letters are cut into reads of 150 bases, the last of what is left.  A text without letters is one empty read.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -19,13 +18,12 @@ from readloom.functions.display import display
 from readloom.lang.compile import compile_script
 from readloom.operators import matching
 from readloom.operators.aggregates import count_effect, mean_effect
-
+from readloom.operators.bank import find_all_in
 from readloom.operators.relations import as_read, demultiplex, members, with_reverse_complement, zip_pairs
-from readloom.operators.search import find_all
 from readloom.plans.regions import Hole, Term, compile_regions, named, sized
 from readloom.sinks import files
 from readloom.sources import bam, text
-from readloom.sources.scratch import scratch
+from readloom.sources.scratch import mounted, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,8 +33,8 @@ ORACLES: dict[str, str] = {}
 LETTERS, TO_BASES, TO_QUALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTNACGTACGTACGTACGTA", "@BDFHJKLMNOPQRSTUVWXYZabcd"
 
 
-class Prefix(str):
-    """A folder of tables, of whose texts reads get the first 150 letters, as the SQL has it."""
+#: Bases of a read; reads that a text may have, as row ids count them.
+BASES, MOST = 150, 1 << 20
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -44,11 +42,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = sql
-        if sql is not None and (FQ in sql or PG in sql):
-            QUERIES[name] = lambda spark, d: fn(spark, Prefix(d))
-            QUERIES[f"whole_{name}"] = fn
-            if "range(1, 1" not in sql and "na <= 1" not in sql and _CODON not in sql:  # the others enumerate so many positions at most, or take quadratic time; tests hold them against brute force
-                ORACLES[f"whole_{name}"] = sql.replace(FQ, WHOLE_FQ).replace(PG, WHOLE_PG).replace("substring(fq.seq, 1, 8)", "fq.seq").replace("name < 12 AND ", "")
         return fn
 
     return register
@@ -57,17 +50,24 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # Derived reads, in both languages.
 
 
-def _letters(column: str, first: int, n: int | None, table: str):
-    letters = F.upper(F.regexp_replace(column, "[^A-Za-z]", ""))
-    return F.translate(letters if n is None else F.substring(letters, first, n), LETTERS, table)
+def _letters(column: str):
+    return F.upper(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), "[^A-Za-z]", ""))
+
 
+def _sql_letters(column: str) -> str:
+    return f"upper(regexp_replace(coalesce({column}, ''), '[^A-Za-z]', '', 'g'))"
 
-def _most(d: str) -> int | None:
-    return 150 if isinstance(d, Prefix) else None
 
+def _pieces(df: DataFrame, key: str, prefix: str, desc: str, text_col: str) -> DataFrame:
+    """All reads of each text: ``row_id, id, desc, letters``."""
+    i = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("letters") / BASES).cast("int") - 1, F.lit(0)))).alias("i")
+    rows = df.select(F.col(key).alias("key"), F.col(desc).alias("desc"), _letters(text_col).alias("letters")).select("key", "desc", "letters", i)
+    return rows.select((F.col("key") * MOST + F.col("i")).alias("row_id"), F.concat(F.lit(prefix), "key", F.lit("_"), "i").alias("id"), "desc", F.substring("letters", F.col("i") * BASES + 1, F.lit(BASES)).alias("letters"))
 
-def _sql_letters(column: str, first: int, n: int, table: str) -> str:
-    return f"translate(substring(upper(regexp_replace({column}, '[^A-Za-z]', '', 'g')), {first}, {n}), '{LETTERS}', '{table}')"
+
+def _sql_pieces(table_: str, key: str, prefix: str, desc: str, text_col: str, more: str = "") -> str:
+    cut = f"substring(letters, CAST(i * {BASES} + 1 AS BIGINT), {BASES})"
+    return f"""(SELECT key * {MOST} + i AS row_id, concat('{prefix}', key, '_', i) AS id, "desc", translate({cut}, '{LETTERS}', '{TO_BASES}') AS seq{more.format(cut=cut)} FROM (SELECT key, "desc", letters, unnest(range(0, greatest(1, CAST(ceil(length(letters) / {BASES}.0) AS BIGINT)))) AS i FROM (SELECT {key} AS key, {desc} AS "desc", {_sql_letters(text_col)} AS letters FROM {table_})))"""
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -75,11 +75,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def fq(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.concat(F.lit("read"), F.col("doc_id")).alias("id"), F.col("lang").alias("desc"), _letters("text", 1, _most(d), TO_BASES).alias("seq"), _letters("text", 1, _most(d), TO_QUALS).alias("qual"))
+    rows = _pieces(table(spark, d, "documents"), "doc_id", "read", "lang", "text")
+    return rows.select("row_id", "id", "desc", F.translate("letters", LETTERS, TO_BASES).alias("seq"), F.translate("letters", LETTERS, TO_QUALS).alias("qual"))
 
 
 def pg(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select(F.col("page_id").alias("row_id"), F.concat(F.lit("page"), F.col("page_id")).alias("id"), F.col("url").alias("desc"), _letters("html", 1, _most(d), TO_BASES).alias("seq"))
+    rows = _pieces(table(spark, d, "pages"), "page_id", "page", "url", "html")
+    return rows.select("row_id", "id", "desc", F.translate("letters", LETTERS, TO_BASES).alias("seq"))
 
 
 def sam(spark: SparkSession, d: str) -> DataFrame:
@@ -88,14 +90,13 @@ def sam(spark: SparkSession, d: str) -> DataFrame:
 
 
 def barcodes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("name"), _letters("text", 11, 8, TO_BASES).alias("seq"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("name"), F.translate(F.substring(_letters("text"), 11, 8), LETTERS, TO_BASES).alias("seq"))
 
 
-FQ = f"""fq AS (SELECT doc_id AS row_id, concat('read', doc_id) AS id, lang AS "desc", {_sql_letters("text", 1, 150, TO_BASES)} AS seq, {_sql_letters("text", 1, 150, TO_QUALS)} AS qual FROM documents)"""
-PG = f"""pg AS (SELECT page_id AS row_id, concat('page', page_id) AS id, url AS "desc", {_sql_letters("html", 1, 150, TO_BASES)} AS seq FROM pages)"""
-WHOLE_FQ, WHOLE_PG = (re.sub(r"substring\((upper\(.*?'g'\)\)), 1, 150\)", r"\1", x) for x in (FQ, PG))
+FQ = f"fq AS {_sql_pieces('documents', 'doc_id', 'read', 'lang', 'text', f', translate({{cut}}, {chr(39)}{LETTERS}{chr(39)}, {chr(39)}{TO_QUALS}{chr(39)}) AS qual')}"
+PG = f"pg AS {_sql_pieces('pages', 'page_id', 'page', 'url', 'html')}"
 SAM = "sam AS (SELECT concat('q', l_orderkey, '_', l_linenumber) AS qname, CAST((l_orderkey * 37 + l_linenumber * 211) % 4096 AS INT) AS flag, concat('chr', l_suppkey % 24 + 1) AS rname, CAST(l_partkey AS INT) AS pos, CAST(l_quantity AS INT) AS mapq, concat('NM:i:', l_linenumber) AS tags FROM lineitem)"
-BC = f"bc AS (SELECT item_id AS name, {_sql_letters('text', 11, 8, TO_BASES)} AS seq FROM benchmark)"
+BC = f"bc AS (SELECT item_id AS name, translate(substring({_sql_letters('text')}, 11, 8), '{LETTERS}', '{TO_BASES}') AS seq FROM benchmark)"
 RC = f"reverse(translate(seq, '{S.BASES}', '{S.COMPLEMENTS}'))"
 
 
@@ -168,8 +169,7 @@ def _(spark, d):
 def _(spark, d):
     """Files of alignments by reference, written and read back as BAM."""
     r = _alignments(spark, d)
-    folder = scratch(spark, "bam").removeprefix("file://")
-    os.makedirs(folder)
+    folder = mounted(spark, "bam")
     header = "".join(f"@SQ\tSN:chr{i}\tLN:100000000\n" for i in range(1, 25))
     kind = r.select(F.struct(*r.columns)).schema[0].dataType
     files.write_files(r.select(F.concat("rname", F.lit(".bam")).alias("filename"), F.col("qname").alias("_row_id"), files.as_sam(F.struct(*r.columns), kind).alias("body")), folder, header)
@@ -201,7 +201,8 @@ def _(spark, d):
 
 @query("paired_zip", f"WITH {FQ}, {PG} SELECT a.id AS r1_id, b.id AS r2_id, a.seq AS r1_seq, b.seq AS r2_seq FROM (SELECT *, row_number() OVER (ORDER BY row_id) AS n FROM fq) a JOIN (SELECT *, row_number() OVER (ORDER BY row_id) AS n FROM pg) b ON a.n = b.n")
 def _(spark, d):
-    a, b = (x.withColumnRenamed("row_id", "_row_id") for x in (fq(spark, d), pg(spark, d)))
+    """Two folders of files in the order of the rows, read back and paired by position."""
+    a, b = (text.fasta(spark, _written(spark, x.repartitionByRange(4, "row_id").sortWithinPartitions("row_id").select(files.as_fasta(F.struct("id", "desc", "seq"))), "pair")) for x in (fq(spark, d), pg(spark, d)))
     return zip_pairs(a, b).select(F.col("r1.id").alias("r1_id"), F.col("r2.id").alias("r2_id"), F.col("r1.seq").alias("r1_seq"), F.col("r2.seq").alias("r2_seq"))
 
 
@@ -260,7 +261,7 @@ def _(spark, d):
     return _line(spark, d, (a & b).alias("both"), (a | b).alias("either"), (~a).alias("neither"))
 
 
-@query("any_equality", "SELECT doc_id AS row_id, lang = 'en' AS same, false AS mixed, false AS lists, true AS records FROM documents")
+@query("any_equality", f"WITH {FQ} SELECT row_id, \"desc\" = 'en' AS same, false AS mixed, false AS lists, true AS records FROM fq")
 def _(spark, d):
     code = "'{read.desc == 'en'} {read.id == 1} {[read.id] == [read.id]} { {a = read.id, b = 2} == {b = 2, a = read.id} }'.stdout!()"
     got = F.split(F.col("value"), " ")
@@ -296,7 +297,7 @@ def _(spark, d):
 
 @query("str_slice", f"WITH {FQ} SELECT id, substring(seq, 2, 2) AS part FROM fq")
 def _(spark, d):
-    return fq(spark, d).select("id", S.slice_(F.col("seq"), F.lit(1), F.lit(3)).alias("part"))
+    return fq(spark, d).select("id", S.slice_(F.col("seq"), F.least(F.lit(1), F.length("seq")), F.least(F.lit(3), F.length("seq"))).alias("part"))
 
 
 @query("str_case", f"WITH {FQ} SELECT id, lower(seq) AS low, upper(\"desc\") AS high FROM fq")
@@ -349,12 +350,12 @@ def _(spark, d):
     return fq(spark, d).select("id", S.translate(F.col("seq")).alias("protein"))
 
 
-@query("edit_distance", f"WITH {FQ}, {BC} SELECT fq.id, bc.name, CAST(levenshtein(substring(fq.seq, 1, 8), bc.seq) AS BIGINT) AS d FROM fq JOIN bc ON fq.row_id % (SELECT count(*) FROM bc) = bc.name")
+@query("edit_distance", f"WITH {FQ}, {BC} SELECT fq.id, bc.name, CAST(levenshtein(fq.seq, bc.seq) AS BIGINT) AS d FROM fq JOIN bc ON fq.row_id % (SELECT count(*) FROM bc) = bc.name")
 def _(spark, d):
     bc = barcodes(spark, d)
     n = bc.count()
     both = fq(spark, d).withColumn("name", F.col("row_id") % n).join(bc.withColumnRenamed("seq", "code"), "name")
-    return both.select("id", "name", S.distance(F.substring("seq", 1, 8) if isinstance(d, Prefix) else F.col("seq"), F.col("code")).cast("bigint").alias("d"))
+    return both.select("id", "name", S.distance(F.col("seq"), F.col("code")).cast("bigint").alias("d"))
 
 
 @query("to_str_num", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity / 4 = floor(l_quantity / 4) THEN CAST(CAST(l_quantity / 4 AS BIGINT) AS VARCHAR) ELSE rtrim(CAST(CAST(l_quantity / 4 AS DECIMAL(18, 4)) AS VARCHAR), '0') END AS shown FROM lineitem")
@@ -381,7 +382,7 @@ def _(spark, d):
     return fq(spark, d).select("id", F.array_join(F.transform(S.to_qscores(F.col("qual")), lambda x: x.cast("int").cast("string")), ",").alias("scores"))
 
 
-@query("list_contains", "SELECT doc_id AS row_id, lang IN ('fr', 'de') AS there FROM documents")
+@query("list_contains", f"WITH {FQ} SELECT row_id, \"desc\" IN ('fr', 'de') AS there FROM fq")
 def _(spark, d):
     return reads(spark, d).select(F.col("_row_id").alias("row_id"), S.contains(F.array(F.lit("fr"), F.lit("de")), F.col("read.desc")).alias("there"))
 
@@ -418,9 +419,9 @@ def _(spark, d):
     return _printed(spark, d, "if read.desc == 'en' { 'english'.stdout!() } else if read.seq.len() > 100 { 'long'.stdout!() } else { 'other'.stdout!() }")
 
 
-@query("match_first_branch", f"WITH {FQ} SELECT row_id, CASE WHEN substring(seq, 1, 3) = 'ACG' THEN 'head' WHEN instr(seq, 'ACG') > 0 THEN 'inner' ELSE 'none' END AS value FROM fq WHERE length(seq) > 3")
+@query("match_first_branch", f"WITH {FQ} SELECT row_id, CASE WHEN substring(seq, 1, 3) = 'ACG' THEN 'head' WHEN instr(seq, 'ACG') > 0 THEN 'inner' ELSE 'none' END AS value FROM fq")
 def _(spark, d):
-    return _printed(spark, d, "if read.seq.len() > 3 { if read matches { [ACG _] => 'head'.stdout!()\n [_ ACG _] => { 'inner'.stdout!() }\n _ => 'none'.stdout!() } }", mode="all-best")
+    return _printed(spark, d, "if read matches { [ACG _] => 'head'.stdout!()\n [_ ACG _] => { 'inner'.stdout!() }\n _ => 'none'.stdout!() }", mode="all-best")
 
 
 @query("stmt_after_if", f"WITH {FQ} SELECT row_id, 'a' AS value FROM fq WHERE \"desc\" = 'de' UNION ALL SELECT row_id, 'b' AS value FROM fq")
@@ -511,31 +512,36 @@ def _(spark, d):
     return _match(spark, d, [Hole(), Term.of("ACG"), Hole()], F.col("locs")[1].cast("bigint").alias("start"), mode="one-best")
 
 
-@query("pat_fuzzy_enddist", f"""WITH {FQ} SELECT row_id, CAST(e AS BIGINT) AS e, CAST(min(levenshtein('ACGTGCAA', substring(seq, CAST(e - l + 1 AS INT), CAST(l AS INT)))) AS BIGINT) AS dist FROM fq, (SELECT range AS e FROM range(1, 151)) p, (SELECT range AS l FROM range(6, 11)) q
-WHERE e <= length(seq) AND e - l + 1 >= 1 GROUP BY row_id, e HAVING min(levenshtein('ACGTGCAA', substring(seq, CAST(e - l + 1 AS INT), CAST(l AS INT)))) <= 2""")
+#: All parts of a read that a pattern of 8 bases may match with two edits at most, by where they end.
+_PARTS = "parts AS (SELECT row_id, e, l, substring(seq, CAST(e - l + 1 AS BIGINT), l) AS part FROM (SELECT row_id, seq, unnest(range(1, length(seq) + 1)) AS e FROM fq), (SELECT range AS l FROM range(6, 11)) WHERE e - l + 1 >= 1)"
+#: Hits of ACGTGCAA: where each ends, its distance, and its length, that nearest to 8, the shorter of two as near.
+_FUZZY = f"WITH RECURSIVE {FQ}, {_PARTS}, u AS (SELECT part, levenshtein('ACGTGCAA', part) AS dist FROM (SELECT DISTINCT part FROM parts)), hit AS (SELECT row_id, e, min({{'d': dist, 'a': abs(l - 8), 'l': l}}) AS h FROM parts JOIN u USING (part) WHERE dist <= 2 GROUP BY row_id, e), h AS (SELECT row_id, e, CAST(h.d AS BIGINT) AS dist, e - h.l AS s FROM hit)"
+
+
+@query("pat_fuzzy_enddist", f"{_FUZZY} SELECT row_id, CAST(e AS BIGINT) AS e, dist FROM h")
 def _(spark, d):
     @F.arrow_udf("array<struct<e:bigint,dist:bigint>>")
     def ends(seqs: pa.Array) -> pa.Array:
-        return pa.array([[{"e": e, "dist": k} for _, e, k in find_all("ACGTGCAA", s, 2)] for s in seqs.to_pylist()], pa.list_(pa.struct([("e", pa.int64()), ("dist", pa.int64())])))
+        return pa.array([[{"e": e, "dist": k} for _, e, k in hits] for hits in find_all_in("ACGTGCAA", seqs.to_pylist(), 2)], pa.list_(pa.struct([("e", pa.int64()), ("dist", pa.int64())])))
 
     return fq(spark, d).select("row_id", F.explode_outer(ends("seq")).alias("h")).where("h is not null").select("row_id", "h.e", "h.dist")
 
 
-@query("pat_fuzzy_slice")
+#: Of each read's best hits, one after the other those that begin where the one before ends, or later.
+@query("pat_fuzzy_slice", f"""{_FUZZY}, best AS (SELECT h.* FROM h JOIN (SELECT row_id, min(dist) AS least FROM h GROUP BY row_id) m ON h.row_id = m.row_id AND dist = least),
+r AS (SELECT row_id, min(e) AS e FROM best GROUP BY row_id UNION ALL (SELECT best.row_id, min(best.e) AS e FROM r JOIN best ON r.row_id = best.row_id AND best.s >= r.e GROUP BY best.row_id))
+SELECT row_id, dist, substring(seq, CAST(e + 1 AS BIGINT), 1000) AS rest_seq FROM r JOIN best USING (row_id, e) JOIN fq USING (row_id)""")
 def _(spark, d):
     return _match(spark, d, [Hole(), Term.of("ACGTGCAA", 0.26), named("rest", Hole())], "dist", "rest_seq")
 
 
-#: For each read the least distance of any barcode to a part of it, and the barcodes at that distance, up to two edits.
-_NEAR = f"""WITH {FQ}, {BC}, x AS (SELECT row_id, name, min(levenshtein(bc.seq, substring(fq.seq, CAST(e - l + 1 AS INT), CAST(l AS INT)))) AS dist FROM fq, bc, (SELECT range AS e FROM range(1, 151)) p, (SELECT range AS l FROM range(6, 11)) q
-WHERE e <= length(fq.seq) AND e - l + 1 >= 1 AND bc.name < 12 AND length(bc.seq) = 8 GROUP BY row_id, name)"""
+#: For each read and barcode the least distance to a part of it, up to two edits.
+_NEAR = f"WITH {FQ}, {BC}, {_PARTS}, u AS (SELECT part, name, levenshtein(bc.seq, part) AS dist FROM (SELECT DISTINCT part FROM parts), bc WHERE length(bc.seq) = 8), x AS (SELECT row_id, name, min(dist) AS dist FROM (SELECT * FROM u WHERE dist <= 2) JOIN parts USING (part) GROUP BY row_id, name)"
 
 
 def _codes(spark, d) -> list[dict]:
-    """All barcodes; as the SQL of a prefix has it, those of a name below 12."""
-    codes = barcodes(spark, d).where(F.length("seq") == 8)
-    codes = codes.where("name < 12") if isinstance(d, Prefix) else codes
-    return [{"name": r["name"], "seq": r["seq"]} for r in codes.orderBy("name").collect()]  # a reference table
+    """All barcodes of 8 bases."""
+    return [{"name": r["name"], "seq": r["seq"]} for r in barcodes(spark, d).where(F.length("seq") == 8).orderBy("name").collect()]  # a reference table
 
 
 @query("demux_best", f"{_NEAR} SELECT row_id, name, CAST(dist AS BIGINT) AS dist FROM x WHERE dist <= 2 AND dist = (SELECT min(dist) FROM x y WHERE y.row_id = x.row_id)")
@@ -545,12 +551,12 @@ def _(spark, d):
     return demultiplex(fq(spark, d), plan, codes).select("row_id", "name", F.col("dist").cast("bigint").alias("dist")).distinct()
 
 
-@query("demux_two_params", f"WITH {FQ}, {BC}, c AS (SELECT name, substring(seq, 1, 3) AS k FROM bc WHERE name < 12 AND length(seq) = 8) SELECT row_id, a.name AS first, b.name AS second FROM fq JOIN c a ON substring(fq.seq, 1, 3) = a.k JOIN c b ON substring(fq.seq, length(fq.seq) - 2, 3) = b.k WHERE length(fq.seq) >= 6")
+@query("demux_two_params", f"WITH {FQ}, {BC}, c AS (SELECT name, substring(seq, 1, 3) AS k FROM bc WHERE length(seq) = 8) SELECT row_id, a.name AS first, b.name AS second FROM fq JOIN c a ON substring(fq.seq, 1, 3) = a.k JOIN c b ON right(fq.seq, 3) = b.k")
 def _(spark, d):
     codes = _codes(spark, d)
     head, tail = (Term(tuple(((i,), c["seq"][:3]) for i, c in enumerate(codes)), 0.0, (v,)) for v in (0, 1))
     names = F.array(*(F.lit(c["name"]) for c in codes))
-    found = matching.match(fq(spark, d).where(F.length("seq") >= 6), compile_regions([head, Hole(), tail], 2))
+    found = matching.match(fq(spark, d), compile_regions([head, Hole(), tail], 2))
     return found.select("row_id", F.element_at(names, F.col("ctx")[0] + 1).alias("first"), F.element_at(names, F.col("ctx")[1] + 1).alias("second"))
 
 
@@ -559,16 +565,21 @@ def _(spark, d):
     return fq(spark, d).select("id", matching.count_matches(F.col("seq"), "ACG").cast("bigint").alias("n"))
 
 
-@query("count_matches_fuzzy")
+#: Hits by distance, then place, each taken if it overlaps none that was taken before.
+@query("count_matches_fuzzy", f"""{_FUZZY}, o AS (SELECT row_id, s, e, row_number() OVER (PARTITION BY row_id ORDER BY dist, e) AS i FROM h),
+r AS (SELECT row_id, i, [{{'s': s, 'e': e}}] AS taken FROM o WHERE i = 1 UNION ALL SELECT o.row_id, o.i, CASE WHEN len(list_filter(taken, lambda t: o.s < t.e AND o.e > t.s)) = 0 THEN list_append(taken, {{'s': o.s, 'e': o.e}}) ELSE taken END FROM r JOIN o ON r.row_id = o.row_id AND o.i = r.i + 1)
+SELECT id, CAST(coalesce(n, 0) AS BIGINT) AS n FROM fq LEFT JOIN (SELECT row_id, max(len(taken)) AS n FROM r GROUP BY row_id) USING (row_id)""")
 def _(spark, d):
     return fq(spark, d).select("id", matching.count_matches(F.col("seq"), "ACGTGCAA", 0.2).cast("bigint").alias("n"))
 
 
-@query("describe_exact", f"""WITH {FQ}, m AS (SELECT row_id, instr(seq, 'ACGACG') AS a, instr(seq, 'GGTT') AS b, (length(seq) - length(replace(seq, 'ACGACG', ''))) / 6 AS na, (length(seq) - length(replace(seq, 'GGTT', ''))) / 4 AS nb FROM fq)
-SELECT row_id, CASE WHEN a = 0 AND b = 0 THEN '[ _ ]' WHEN b = 0 THEN '[ _ a _ ]' WHEN a = 0 THEN '[ _ b _ ]' WHEN a < b THEN '[ _ a _ b _ ]' ELSE '[ _ b _ a _ ]' END AS shape FROM m WHERE na <= 1 AND nb <= 1""")
+#: Where the hits of a term begin, for two terms.
+_BOTH = " UNION ALL ".join(f"SELECT row_id, '{name}' AS name, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) AS BIGINT) + {len(term)} * (i - 1) AS start FROM (SELECT row_id, string_split(seq, '{term}') AS s FROM fq), range(1, 100) t(i) WHERE i < len(s)" for name, term in (("a", "ACGACG"), ("b", "GGTT")))
+
+
+@query("describe_exact", f"WITH {FQ}, h AS ({_BOTH}) SELECT row_id, concat('[ _ ', coalesce(string_agg(name || ' _ ', '' ORDER BY start, name), ''), ']') AS shape FROM fq LEFT JOIN h USING (row_id) GROUP BY row_id")
 def _(spark, d):
-    once = (matching.count_matches(F.col("seq"), "ACGACG") <= 1) & (matching.count_matches(F.col("seq"), "GGTT") <= 1)
-    return (fq(spark, d).where(once) if isinstance(d, Prefix) else fq(spark, d)).select("row_id", matching.describe(F.col("seq"), {"a": "ACGACG", "b": "GGTT"}).alias("shape"))
+    return fq(spark, d).select("row_id", matching.describe(F.col("seq"), {"a": "ACGACG", "b": "GGTT"}).alias("shape"))
 
 
 # ---- effects ----
@@ -589,8 +600,7 @@ def _(spark, d):
 @query("out_fanout", f"WITH {FQ} SELECT concat(\"desc\", '.fa') AS filename, count(*) AS records, CAST(sum(length(seq)) AS BIGINT) AS bases FROM fq GROUP BY 1")
 def _(spark, d):
     """One file a language, written and read back."""
-    folder = scratch(spark, "fanout").removeprefix("file://")
-    os.makedirs(folder)
+    folder = mounted(spark, "fanout")
     files.write_files(script(spark, d, "read.out!('{read.desc}.fa')").out.select("filename", "_row_id", "_seq", "body"), folder)
     rows = text.fasta(spark, f"file://{folder}").select(F.concat("desc", F.lit(".fa")).alias("filename"), "seq")
     return rows.groupBy("filename").agg(F.count("*").alias("records"), F.sum(F.length("seq")).cast("bigint").alias("bases"))

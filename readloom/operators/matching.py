@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.operators.bank import best_hits, disjoint_in, fits
 from readloom.operators.search import Hit, allowed_edits, edit_distance, find_disjoint
 from readloom.plans import native
 from readloom.plans.regions import Let, MatchPlan, Restrict
@@ -34,36 +35,91 @@ def hits_of(op: Restrict, pattern: str, seq: str, locs: dict[int, int], exact: b
     return [(s + lo, e + lo, d) for s, e, d in find_disjoint(pattern, seq[lo:hi], 0 if exact else k)]
 
 
-def worlds_of(plan: MatchPlan, seq: str, strict: bool = False) -> list[World]:
-    """All worlds of one read, in order.  Of the hits of a term in a world only those with fewest edits go on."""
-    worlds: list[World] = [(0, {0: 0, plan.size: len(seq)}, (-1,) * plan.variables)]
+Found = list[tuple[int, int, int, tuple[int, ...]]]  # distance, start, end, bound variables
+
+
+def choices_of(op: Restrict, ctx: tuple[int, ...]) -> list[tuple[str, tuple[int, ...]]]:
+    """The strings that variables bound so far leave, each with what it binds."""
+    choices = []
+    for choice, text in op.term.choices:
+        bound = list(ctx)
+        for variable, value in zip(op.term.uses, choice):
+            if bound[variable] not in (-1, value):
+                break
+            bound[variable] = value
+        else:
+            choices.append((text.upper(), tuple(bound)))
+    return choices
+
+
+def searched(op: Restrict, seq: str, locs: dict[int, int], choices: list[tuple[str, tuple[int, ...]]]) -> Found:
+    """Hits of a term in one world: with hits without edits no others count, so a search for more is needed only where there are none."""
+    found: Found = []
+    for exact in (True, False):
+        found = found or [(d, s, e, b) for text, b in choices for s, e, d in hits_of(op, text, seq, locs, exact) if d == 0 or not exact]
+    return found
+
+
+def open_window(op: Restrict) -> bool:
+    return not (op.fixed_start or op.fixed_end)
+
+
+def searched_together(op: Restrict, seqs: list[str], worlds: list[tuple[int, World]]) -> list[Found]:
+    """Hits of a term in the worlds of many reads.
+
+    Strings of one length are searched in all windows at once where neither end of the window is pinned and some edits are
+    allowed; windows with a hit without edits need no such search.
+    """
+    out: list[Found] = []
+    slow: dict[tuple[int, ...], list[int]] = {}
+    given: dict[tuple[int, ...], list] = {}
+    for i, (dist, locs, ctx) in worlds:
+        choices = given[ctx] = given.get(ctx) or choices_of(op, ctx)
+        texts = [t for t, _ in choices]
+        k = allowed_edits(len(texts[0]), op.term.rate) if texts else 0
+        if k <= 0 or not open_window(op) or not fits(texts):
+            out.append(searched(op, seqs[i], locs, choices))
+            continue
+        lo, hi = locs[op.lo], locs[op.hi]
+        exact = [(d, s, e, b) for text, b in choices for s, e, d in hits_of(op, text, seqs[i], locs, True)] if 0 <= lo <= hi <= len(seqs[i]) else []
+        if not exact:
+            slow.setdefault(ctx, []).append(len(out))
+        out.append(exact)
+    for ctx, places in slow.items():
+        choices = given[ctx]
+        k = allowed_edits(len(choices[0][0]), op.term.rate)
+        windows = [(worlds[p][1][1][op.lo], seqs[worlds[p][0]][worlds[p][1][1][op.lo] : worlds[p][1][1][op.hi]]) for p in places]
+        for p, (lo, _), hits in zip(places, windows, best_hits([t for t, _ in choices], [w for _, w in windows], k)):
+            out[p] = [(d, s + lo, e + lo, choices[c][1]) for c, s, e, d in hits]
+    return out
+
+
+def worlds_of_all(plan: MatchPlan, seqs: list[str], strict: bool = False) -> list[list[World]]:
+    """All worlds of each read, in order.  Of the hits of a term in a world only those with fewest edits go on."""
+    worlds: list[tuple[int, World]] = [(i, (0, {0: 0, plan.size: len(s)}, (-1,) * plan.variables)) for i, s in enumerate(seqs)]
     for op in plan.ops:
-        new: list[World] = []
-        for dist, locs, ctx in worlds:
-            if isinstance(op, Let):
+        new: list[tuple[int, World]] = []
+        if isinstance(op, Let):
+            for i, (dist, locs, ctx) in worlds:
                 at = locs[op.base] + op.offset
                 if locs[op.lo] < at < locs[op.hi]:
-                    new.append((dist, locs | {op.loc: at}, ctx))
-                continue
-            choices = []
-            for choice, text in op.term.choices:
-                bound = list(ctx)
-                for variable, value in zip(op.term.uses, choice):
-                    if bound[variable] not in (-1, value):
-                        break
-                    bound[variable] = value
-                else:
-                    choices.append((text.upper(), tuple(bound)))
-            found: list[tuple[int, int, int, tuple[int, ...]]] = []
-            for exact in (True, False):  # hits without edits leave no others, so a search for more edits is needed only where there are none
-                found = found or [(d, s, e, b) for text, b in choices for s, e, d in hits_of(op, text, seq, locs, exact) if d == 0 or not exact]
-            if found:
-                least = min(f[0] for f in found)
-                new += [(min(255, dist + d), locs | {op.atom: s, op.atom + 1: e}, c) for d, s, e, c in found if d == least]
+                    new.append((i, (dist, locs | {op.loc: at}, ctx)))
+        else:
+            for (i, (dist, locs, _)), found in zip(worlds, searched_together(op, seqs, worlds)):
+                if found:
+                    least = min(f[0] for f in found)
+                    new += [(i, (min(255, dist + d), locs | {op.atom: s, op.atom + 1: e}, c)) for d, s, e, c in found if d == least]
         worlds = new
-    if strict:
-        worlds = [w for w in worlds if all(w[1][hi] - w[1][lo] == size for lo, hi, size in plan.checks)]
-    return worlds
+    out: list[list[World]] = [[] for _ in seqs]
+    for i, w in worlds:
+        if not strict or all(w[1][hi] - w[1][lo] == size for lo, hi, size in plan.checks):
+            out[i].append(w)
+    return out
+
+
+def worlds_of(plan: MatchPlan, seq: str, strict: bool = False) -> list[World]:
+    """All worlds of one read."""
+    return worlds_of_all(plan, [seq], strict)[0]
 
 
 def _lists(flat: list, lengths: list[int], kind: pa.DataType) -> pa.ListArray:
@@ -80,8 +136,7 @@ def search_udf(plan: MatchPlan, strict: bool = False):
         ctx: list[int] = []
         ctx_n: list[int] = []
         worlds_n: list[int] = []
-        for seq in seqs.to_pylist():
-            found = worlds_of(plan, seq or "", strict)
+        for found in worlds_of_all(plan, [x or "" for x in seqs.to_pylist()], strict):
             worlds_n.append(len(found))
             for d, at, c in found:
                 dist.append(d)
@@ -144,7 +199,7 @@ def count_matches(seq: Column, pattern: str, rate: float = 0.0) -> Column:
 
     @F.arrow_udf("float")
     def count(seqs: pa.Array) -> pa.Array:
-        return pa.array([float(len(find_disjoint(pattern, s or "", k))) for s in seqs.to_pylist()], pa.float32())
+        return pa.array([float(len(hits)) for hits in disjoint_in(pattern, [s or "" for s in seqs.to_pylist()], k)], pa.float32())
 
     return count(seq)
 
@@ -159,10 +214,11 @@ def describe(seq: Column, terms: dict[str, str], reverse_complement: bool = Fals
 
     @F.arrow_udf("string")
     def described(seqs: pa.Array) -> pa.Array:
-        out = []
-        for s in seqs.to_pylist():
-            hits = sorted((h[0], i, name) for i, (name, text) in enumerate(patterns) for h in find_disjoint(text, s or "", rounded_edits(len(text), rate)))
-            out.append("[ _ " + "".join(f"{name} _ " for _, _, name in hits) + "]")
-        return pa.array(out, pa.string())
+        texts = [s or "" for s in seqs.to_pylist()]
+        found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        for i, (name, text) in enumerate(patterns):
+            for own, hits in zip(found, disjoint_in(text, texts, rounded_edits(len(text), rate))):
+                own += [(h[0], i, name) for h in hits]
+        return pa.array(["[ _ " + "".join(f"{name} _ " for _, _, name in sorted(own)) + "]" for own in found], pa.string())
 
     return described(seq)

@@ -105,34 +105,31 @@ def round_half_away(x: float) -> int:
 
 
 def compile_regions(regions, variables: int = 0) -> MatchPlan:
-    """Terms from left to right; before each, and at the end, whatever sizes tell from a known boundary is placed."""
+    """Terms from left to right; before each, and at the end, whatever sizes tell from a known boundary is placed.
+
+    Sizes are applied in rounds: one round places the other end of every region of which just one end was known before it, anywhere
+    between the boundaries around the region that were known then.  So regions of one round don't limit each other, and may overlap.
+    """
     atoms: list = []
     names: list = []
     sizes: list = []
     n = _flatten(regions, 0, atoms, names, sizes)
-    known, ops, checks, open_ = {0, n}, [], [], list(sizes)
+    known, ops, checks = {0, n}, [], []
 
     def around(lo: int, hi: int) -> tuple[int, int]:
         return max(k for k in known if k <= lo), min(k for k in known if k >= hi)
 
     def settle() -> None:
-        moved = True
-        while moved:
-            moved = False
-            for s in list(open_):
-                start, end, size = s
-                if start in known and end in known:
-                    checks.append(s)
-                elif start in known:
-                    ops.append(Let(end, start, size, *around(end, end)))
-                    known.add(end)
-                elif end in known:
-                    ops.append(Let(start, end, -size, *around(start, start)))
-                    known.add(start)
-                else:
-                    continue
-                open_.remove(s)
-                moved = True
+        nonlocal sizes
+        while True:
+            ends = [(start in known, end in known) for start, end, _ in sizes]
+            checks.extend(s for s, both in zip(sizes, ends) if all(both))
+            placed = [Let(*((end, start, size) if left else (start, end, -size)), *around(start, end)) for (start, end, size), (left, right) in zip(sizes, ends) if left != right]
+            sizes = [s for s, both in zip(sizes, ends) if not any(both)]
+            if not placed:
+                return
+            ops.extend(placed)
+            known.update(p.loc for p in placed)
 
     for i, atom in enumerate(atoms):
         if isinstance(atom, Term):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -22,3 +23,13 @@ def scratch(spark: SparkSession, label: str) -> str:
         _own.append(tempfile.mkdtemp(prefix="readloom-"))
         atexit.register(shutil.rmtree, _own[0], True)
     return f"file://{_own[0]}/{label}-{uuid.uuid4().hex}"
+
+
+def mounted(spark: SparkSession, label: str) -> str:
+    """A new folder, as a plain path, for what writes files by path: the shared folder has to be mounted everywhere."""
+    path = scratch(spark, label)
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"{path}: files by name need a folder that is mounted on all machines")
+    path = path.removeprefix("file://").removeprefix("file:")
+    os.makedirs(path)
+    return path

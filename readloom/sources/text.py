@@ -1,6 +1,7 @@
 """FASTA, FASTQ, SAM, CSV, TSV and plain text as DataFrames, compressed or not, from any file system Spark reads.
 
-Each scan gives ``_row_id``, the record's number from 0 in the order of the file, and the fields of its format.
+Each scan gives ``_row_id``, the record's number from 0 in the order of the file, and the fields of its format.  A folder is
+read as its files by name.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.sources.rows import numbered, offsets
+from readloom.sources.rows import numbered
 
 #: The columns of an alignment, and those that are numbers.
 SAM_COLUMNS = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "tags"]
@@ -38,7 +39,7 @@ RECORD = pa.schema([("_row_id", pa.int64()), ("header", pa.string()), ("seq", pa
 
 
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Four lines a record; records that begin in one partition and end in another aren't among the lines."""
+    """Four lines a record; records that a block's end cuts aren't among the lines."""
     lines: list[tuple[int, str]] = []
     for batch in batches:
         lines += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
@@ -61,22 +62,20 @@ def _frame(lines: list[tuple[int, str]]) -> tuple[int, str, str, str]:
 def fastq(spark: SparkSession, path: str) -> DataFrame:
     """``seq, id, desc, qual``.
 
-    Lines are numbered first, so a partition knows where its records begin.  Records are put together where they lie; of
-    those that a partition's end cuts, at most one a partition, the lines are brought together by a shuffle.
+    Lines are numbered first, so a task knows where the records of a block begin.  Records are put together where they lie;
+    of those that a block's end cuts, at most one a block, the lines are brought together by a shuffle.
     """
-    lines = spark.read.text(path)
-    at = offsets(lines)
-    rows = numbered(lines, "n", at).select("n", F.regexp_replace("value", "\r$", "").alias("value"))
-    cut = sorted({start // 4 for start in at.values() if start % 4})
+    rows = numbered(spark.read.text(path), "n", keep=True).withColumn("value", F.regexp_replace("value", "\r$", ""))
     own = F.floor(F.col("n") / 4).cast("long")
-    whole, broken = rows, None
-    if cut:
-        whole, broken = rows.where(~own.isin(cut)), rows.where(own.isin(cut))
-    records = whole.mapInArrow(_frames, "_row_id long, header string, seq string, qual string")
-    if broken is not None:
-        line = lambda k: F.max(F.when(F.col("n") % 4 == k, F.col("value")))
-        rest = broken.groupBy(own.alias("_row_id")).agg(F.substring(line(0), 2, 1 << 30).alias("header"), line(1).alias("seq"), line(3).alias("qual"))
-        records = records.unionByName(rest)
+    inside = (own * 4 >= F.col("_start")) & (own * 4 + 4 <= F.col("_start") + F.col("_n"))
+    whole, broken = rows.where(inside), rows.where(~inside)
+    records = whole.select("n", "value").mapInArrow(_frames, "_row_id long, header string, seq string, qual string")
+    line = lambda k: F.max(F.when(F.col("n") % 4 == k, F.col("value")))
+    parts = broken.groupBy(own.alias("_row_id")).agg(*(line(k).alias(f"l{k}") for k in range(4)))
+    right = F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length("l1") == F.length("l3"))
+    wrong = F.raise_error(F.concat(F.lit("no FASTQ record at line "), F.col("_row_id") * 4 + 1)).cast("string")
+    rest = parts.select("_row_id", F.when(F.coalesce(right, F.lit(False)), F.substring("l0", 2, 1 << 30)).otherwise(wrong).alias("header"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
+    records = records.unionByName(rest)
     ident, desc = _split_header(F.col("header"))
     return records.select("_row_id", "seq", ident.alias("id"), desc.alias("desc"), "qual")
 

@@ -39,6 +39,46 @@ def test_fastq_over_many_partitions(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
 
 
+def split_small(spark, size):
+    for key, value in (("spark.sql.files.maxPartitionBytes", size), ("spark.sql.files.openCostInBytes", "1b")):
+        spark.conf.set(key, value)
+
+
+def test_a_folder_of_split_files_is_read_in_order(spark, tmp_path):
+    """Files of unlike sizes, whose splits Spark would take by size."""
+    want, n = [], 0
+    for k, records in enumerate((300, 900, 40, 500)):
+        own = [(f"r{n + i}", "ACGTN"[: (n + i) % 6] * 7, "@+>I#"[: (n + i) % 6] * 7) for i in range(records)]
+        (tmp_path / f"part-{k}.fq").write_text("".join(f"@{i}\n{s}\n+\n{q}\n" for i, s, q in own))
+        want += own
+        n += records
+    (tmp_path / "a.fa").write_text("".join(f">{i}\n{s}\n" for i, s, _ in want))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    split_small(spark, "9000b")
+    try:
+        df = text.fastq(spark, f"{tmp_path}/*.fq")
+        assert rows(df, "_row_id", "id", "seq", "qual") == [(i, *w) for i, w in enumerate(want)]
+        pair = text.fasta(spark, f"{tmp_path}/a.fa")
+        assert [tuple(r) for r in df.alias("x").join(pair.alias("y"), "_row_id").where("x.id <> y.id or x.seq <> y.seq").collect()] == []
+        stale = text.lines(spark, f"{tmp_path}/*.fq")
+        split_small(spark, "5000b")  # splits that weren't counted are an error, not another number
+        with pytest.raises(Exception, match="split otherwise"):
+            stale.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_splits_do_not_follow_the_parallelism(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"{i}\n" for i in range(5000)))
+    df = text.lines(spark, str(tmp_path / "a.txt"))
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "37")
+    try:
+        assert rows(df, "seq") == [(str(i),) for i in range(5000)] and spark.conf.get("spark.sql.files.minPartitionNum")
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
 def test_a_broken_fastq_aborts(spark, tmp_path):
     (tmp_path / "a.fq").write_text("@r\nACG\n+\nII\n")
     with pytest.raises(Exception, match="no FASTQ record"):

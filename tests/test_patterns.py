@@ -1,11 +1,13 @@
 """Patterns: plans, both ways to run them, and match modes."""
 
+import random
+
 import pytest
 
-from readloom.operators import matching
+from readloom.operators import bank, matching, search
 from readloom.operators.matching import match, worlds_of
 from readloom.plans import native
-from readloom.plans.regions import Hole, Term, compile_regions, named, sized
+from readloom.plans.regions import Hole, Let, Term, compile_regions, named, sized
 
 SEQ = "A" * 9 + "G" * 4 + "C" * 12
 
@@ -109,3 +111,52 @@ def test_count_and_describe(spark):
     assert n("ACGT", 0.25)[0] >= 1
     got = [r[0] for r in df.select(matching.describe(df["seq"], {"a": "GTT", "b": "CGA"}, True)).collect()]
     assert got == ["[ _ b _ a _ ]", "[ _ ]", "[ _ ]"]
+
+
+def test_sizes_of_one_round_do_not_limit_each_other():
+    """Both ends of the read place a boundary at once, so the regions may overlap; the next round sees both."""
+    pattern = [named("a", sized(3)), Hole(), named("b", sized(4))]
+    assert cut(pattern, "ACGTTG") == [("ACG", "GTTG")]
+    assert cut(pattern, "ACGT") == []  # b would begin where the read does
+    assert cut([named("a", sized(3)), named("c", sized(1)), Hole(), named("b", sized(4))], "ACGTTGA") == []  # c ends beyond where b begins
+    assert cut([named("a", sized(3)), named("c", sized(1)), Hole(), named("b", sized(4))], "ACGTTGAAA") == [("ACG", "T", "GAAA")]
+
+
+def test_a_bank_of_patterns_finds_what_one_search_each_does():
+    rng = random.Random(1)
+    for _ in range(200):
+        letters, m, k = rng.choice(["AC", "ACGT", "ACGTNé"]), rng.randint(1, rng.choice([3, 9, 20, 64])), rng.randint(1, 4)
+        patterns = ["".join(rng.choice(letters[:4]) for _ in range(m)) for _ in range(4)]
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(5)]
+        assert bank.find_all_in(patterns[0], texts, k) == [search.find_all(patterns[0], t, k) for t in texts]
+        for t, got in zip(texts, bank.best_hits(patterns, texts, k)):
+            every = [(i, s, e, d) for i, p in enumerate(patterns) for s, e, d in search.find_disjoint(p, t, k)]
+            assert got == sorted(h for h in every if h[3] == min(x[3] for x in every))
+
+
+def test_many_reads_at_once_give_each_read_its_worlds():
+    rng = random.Random(6)
+    codes = tuple(((i,), "".join(rng.choice("ACGT") for _ in range(8))) for i in range(30))
+    reads = ["".join(rng.choice("ACGT") for _ in range(rng.randint(0, 80))) for _ in range(60)]
+    one = Term(codes, 0.26, (0,))
+    for regions, variables in (([Hole(), one, Hole()], 1), ([Hole(), one, named("mid", sized(3)), Term(codes, 0.13, (0,)), Hole()], 1), ([Hole(), Term.of("ACGTGCAA", 0.3), Hole(), Term.of("GG", 0.0), named("r", Hole())], 0)):
+        plan = compile_regions(regions, variables)
+        together = matching.worlds_of_all(plan, reads)
+        for seq, found in zip(reads, together):
+            assert found == plainly(plan, seq)
+
+
+def plainly(plan, seq):
+    """Worlds one read, one world and one string at a time."""
+    worlds = [(0, {0: 0, plan.size: len(seq)}, (-1,) * plan.variables)]
+    for op in plan.ops:
+        new = []
+        for dist, locs, ctx in worlds:
+            if isinstance(op, Let):
+                at = locs[op.base] + op.offset
+                new += [(dist, locs | {op.loc: at}, ctx)] if locs[op.lo] < at < locs[op.hi] else []
+                continue
+            found = [(d, s, e, b) for text, b in matching.choices_of(op, ctx) for s, e, d in matching.hits_of(op, text, seq, locs)]
+            new += [(dist + d, locs | {op.atom: s, op.atom + 1: e}, b) for d, s, e, b in found if d == min(f[0] for f in found)]
+        worlds = new
+    return worlds
