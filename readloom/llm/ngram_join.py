@@ -12,16 +12,19 @@ separate a linked pair: under any common order of shingles, two sets that link s
 prefix shingle form a neighbourhood.
 
 1. Texts become sets; equal sets are one class from there on.
-2. Prefixes go to their shingle's partition; shingles of a single class end there.
-3. Contraction: each class is compared with the one other class of its neighbourhoods with which it shares most prefix
-   shingles.  Links found make first components.
-   In neighbourhoods larger than a leaf each class is also held against a few others, and the one or two whose count
-   vectors promise most are verified, as a large group of copies is searched cheaply once it is connected.
-4. Search: neighbourhoods that lie in one component are done.  In every other one each class's vector is searched in
-   the tree of that neighbourhood.  A neighbourhood of a few classes has no tree: its pairs are counted over all such
-   neighbourhoods, and those that share fewer prefix shingles than a link takes end there.  Pairs of two components
-   that survive, and whose summed minima allow a link, are verified on their whole sets.  No pair that may link two
-   components is left out, so the components that result are exact.
+2. Prefixes go to their shingle's partition; shingles of a single class end there.  A neighbourhood of a few classes has
+   no tree: its pairs are counted over all such neighbourhoods, as pairs that share fewer prefix shingles than a link
+   takes can't link.
+3. Contraction: each class is compared with the one other class with which it shares most prefix shingles.  Links found
+   make first components.  In large neighbourhoods each class is also held against a few others, and the one or two
+   whose count vectors promise most are verified, as a large group of copies is searched cheaply once it is connected.
+4. Search: large neighbourhoods that lie in one component are done.  In every other one each class's vector is searched
+   in the tree of that neighbourhood.  Pairs of two components that survive there, or have met often enough in small
+   ones, are bounded by the summed minima of their vectors and then verified on their whole sets.  No pair that may link
+   two components is left out, so the components that result are exact.
+
+Tasks read their rows in the order of their shingles and keep no more than a neighbourhood: of a large one its rows leave
+as they come.  Sets move twice for each pair that is verified, whatever the size of the corpus: to their id and to the pair's partner.
 """
 
 from __future__ import annotations
@@ -31,27 +34,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import each_batch, partitions, record_batch, small_batches, table
+from readloom.llm.common import drop, each_batch, may_be_in, partitions, record_batch, sieve, small_batches, table, tidy
 from readloom.llm.graph import components
 
 WORDS = 5
-#: One in how many documents frequent shingles are learnt from, and how many shingles at most go last.  Any order gives the same result.
-SAMPLED, FREQUENT = 16, 1 << 18
+#: One in how many documents frequent shingles are learnt from; how many of those have to hold one, and how many go last at most.  Any order gives the same result.
+SAMPLED, OFTEN, FREQUENT = 4, 3, 1 << 20
 #: Points to a leaf of the tree; classes of a neighbourhood that a task searches at once.
-LEAF, BLOCK = 32, 8_000
+LEAF, BLOCK = 32, 4_000
 #: Neighbourhoods up to this size have no tree: their pairs are counted, at most (FEW - 1) / 2 for each class that is in one.
 FEW = 12
-#: Other classes of a large neighbourhood that each is held against to connect it before the search.
-GLANCES = 32
-#: Large neighbourhoods of a class in which this is done.
-GLANCED = 3
+#: Other classes of a large neighbourhood that each is held against to connect it before the search; in how many neighbourhoods of a class.
+GLANCES, GLANCED = 32, 3
 #: Pairs with one partner that a task verifies, on average at most.
 SHARE = 500
-#: Bits of the filter of wanted ids.
-FILTER_BITS = 26
+#: Slices of shingles in all, and of a partition, at least: a task takes them one after the other.  Rows of a slice after which large neighbourhoods are sent on.
+SLICES, SLICED, HELD = 1 << 11, 8, 1 << 20
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -244,16 +246,72 @@ def survivors(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, packed: lis
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("items", pa.binary())])
 
 
+def slices_of(parts: int) -> int:
+    return parts * max(SLICED, SLICES // parts)
+
+
+def by_slice(items: np.ndarray, slices: int) -> tuple[np.ndarray, Iterator[tuple[int, int, int]]]:
+    """An order by slice; and slice, start and end of the items of each slice in that order."""
+    q = (items % np.uint64(slices)).astype(np.int64)
+    order = np.argsort(q, kind="stable")
+    q = q[order]
+    cut = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
+    return order, zip(q[cut].tolist(), cut.tolist(), np.r_[cut[1:], len(q)].tolist())
+
+
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shortened hashes, sorted, of at most FREQUENT shingles that occur in three or more of one in SAMPLED documents; and their ranks from rare to common."""
-    schema = pa.schema([("item", pa.int64())])
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
-    rows = some.select("text").mapInArrow(each_batch(lambda b: {"item": np.concatenate([np.empty(0, np.uint64), *(shorten(shingles(x)) for x in b.column(0).to_pylist())]).astype(np.int64)}, schema), "item long")
-    found = rows.groupBy("item").count().where("count >= 3").orderBy(F.desc("count"), "item").limit(FREQUENT).collect()
-    items, counts = np.array([r[0] for r in found], np.uint64), np.array([r[1] for r in found], np.int64)
+    """Shortened hashes, sorted, of at most FREQUENT shingles that occur in OFTEN or more of one in SAMPLED documents; and their ranks from rare to common."""
+    spark = docs.sparkSession
+    parts = partitions(spark)
+    n = slices_of(parts)
+    dealt, schema = pa.schema([("q", pa.int32()), ("items", pa.binary())]), pa.schema([("item", pa.int64()), ("times", pa.int64())])
+
+    def deal(batch: pa.RecordBatch) -> dict:
+        items = np.concatenate([np.empty(0, np.uint64), *(shorten(shingles(x)) for x in batch.column(0).to_pylist())])
+        order, cuts = by_slice(items, n)
+        items, out = items[order], [(q, lo, hi) for q, lo, hi in cuts]
+        return {"q": [q for q, _, _ in out], "items": [to_bytes(items[lo:hi]) for _, lo, hi in out]}
+
+    def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        items, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return [items], [np.bincount(at, np.concatenate(counts)).astype(np.int64)]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, counts = -1, [], []
+
+        def done() -> pa.RecordBatch:
+            (items,), (times,) = summed(keys, counts)
+            return record_batch({"item": items[times >= OFTEN].astype(np.int64), "times": times[times >= OFTEN]}, schema)
+
+        for batch in batches:
+            for q, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if q != now and keys:
+                    yield done()
+                    keys, counts = [], []
+                now = q
+                keys.append(from_bytes(x))
+                counts.append(np.ones(len(keys[-1]), np.int64))
+                if sum(map(len, keys)) > 4 * HELD:
+                    keys, counts = summed(keys, counts)
+        if keys:
+            yield done()
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(each_batch(deal, dealt), "q int, items binary")
+    found = table(some.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(tidy(counted), "item long, times long"), "frequent")
+    # So many of the most frequent ones, by whole counts, as there is room for.
+    least, room = OFTEN, FREQUENT
+    for times, m in sorted(map(tuple, found.groupBy(F.least("times", F.lit(10_000)).alias("times")).count().collect()), reverse=True):
+        room -= m
+        least = times if room >= 0 else least
+        if room < 0:
+            least = times + 1
+            break
+    rows = found.where(F.col("times") >= least).toArrow()
+    drop(found)
+    items, times = rows.column("item").to_numpy().astype(np.uint64), rows.column("times").to_numpy()
     order = np.argsort(items)
     rank = np.empty(len(items), np.int64)
-    rank[np.lexsort((items, counts))] = np.arange(len(items))
+    rank[np.lexsort((items, times))] = np.arange(len(items))
     return items[order], rank[order]
 
 
@@ -269,8 +327,8 @@ def in_order(items: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.nda
     return np.concatenate([items[~last], items[last][np.argsort(rank[at[last]], kind="stable")]])
 
 
-def sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, n, sig, items``: size, hash and shortened items in the common order; a task gives the items of equal sets once."""
+def sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, Broadcast]:
+    """``doc_id, n, sig, items``: size, hash and shortened items in the common order, of equal sets about once a task; and the broadcast of that order."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # FREQUENT items at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,115 +341,144 @@ def sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 sig = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) if len(h) else None
                 sigs.append(sig)
                 items.append(to_bytes(in_order(shorten(h), shared.value)) if len(h) and sig not in seen else None)
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(sig)
             yield record_batch({"doc_id": batch.column(0), "n": n, "sig": sigs, "items": items}, SETS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig long, items binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, sig long, items binary"), shared
 
 
 BLOBS = pa.schema([("q", pa.int32()), ("items", pa.binary()), ("sigs", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary())])
 
 
-def _prefixes(parts: int):
-    """Prefix items of a batch of sets, packed by the partition they go to."""
+def _prefixes(slices: int):
+    """Prefix items of a batch of sets, packed by the slice they go to."""
 
     def run(batch: pa.RecordBatch) -> dict | None:
         data = [(s, n, from_bytes(x[: 6 * prefix(n)])) for s, n, x in zip(*(c.to_pylist() for c in batch.columns))]
         items = np.concatenate([x for _, _, x in data])
         row = np.repeat(np.arange(len(data)), [len(x) for _, _, x in data])
-        q = (items % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(q, kind="stable")
-        items, row, q = items[order], row[order], q[order]
-        cut = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
+        order, cuts = by_slice(items, slices)
+        items, row = items[order], row[order]
         sigs, sizes = np.array([s for s, _, _ in data], np.int64), np.array([n for _, n, _ in data], np.int64)
         out: dict[str, list] = {k: [] for k in BLOBS.names}
-        for lo, hi in zip(cut, np.r_[cut[1:], len(q)]):
+        for q, lo, hi in cuts:
             docs, times = np.unique(row[lo:hi], return_counts=True)
-            for k, v in zip(BLOBS.names, (int(q[lo]), to_bytes(items[lo:hi]), sigs[docs].tobytes(), sizes[docs].tobytes(), times.astype(np.int32).tobytes())):
+            for k, v in zip(BLOBS.names, (q, to_bytes(items[lo:hi]), sigs[docs].tobytes(), sizes[docs].tobytes(), times.astype(np.int32).tobytes())):
                 out[k].append(v)
         return out
 
     return each_batch(run, BLOBS)
 
 
-RUNS = pa.schema([("item", pa.int64()), ("sig", pa.int64()), ("n", pa.int64())])
+#: Pairs that met in small neighbourhoods, rows of large ones (``a`` the item, ``b`` the class, ``n`` its size), and pairs of large ones to connect them by.
+SMALL, LARGE, HUB = 0, 1, 2
+MET = pa.schema([(c, pa.int64()) for c in ("kind", "a", "b", "shared", "n", "least")])
 
 
-def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the items that more than one class has."""
-    items, sigs, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for batch in batches:
-        for _, x, s, n, k in zip(*(c.to_pylist() for c in batch.columns)):
-            times = np.frombuffer(k, np.int32)
-            items.append(from_bytes(x))
-            sigs.append(np.repeat(np.frombuffer(s, np.int64), times))
-            sizes.append(np.repeat(np.frombuffer(n, np.int64), times))
-    x, s, n = np.concatenate(items), np.concatenate(sigs), np.concatenate(sizes)
-    del items, sigs, sizes
-    order = np.argsort(x, kind="stable")
-    x = x[order]
-    same = np.zeros(len(x) + 1, bool)
-    same[1:-1] = x[1:] == x[:-1]
-    often = same[1:] | same[:-1]  # the item is that of the row before or after
-    x, order = x[often], order[often]
-    s, n = s[order], n[order]
-    order = np.lexsort((s, x))
-    x, s, n = x[order], s[order], n[order]
-    once = np.r_[True, (x[1:] != x[:-1]) | (s[1:] != s[:-1])] if len(x) else np.empty(0, bool)  # a class may come from several tasks
-    x, s, n = x[once], s[once], n[once]
-    first = np.r_[True, x[1:] != x[:-1]] if len(x) else np.empty(0, bool)
-    times = np.diff(np.r_[np.flatnonzero(first), len(x)])
-    keep = np.repeat(times > 1, times)
-    x, s, n = x[keep].astype(np.int64), s[keep], n[keep]
-    for at in range(0, len(x), 200_000):
-        yield record_batch({"item": x[at : at + 200_000], "sig": s[at : at + 200_000], "n": n[at : at + 200_000]}, RUNS)
-
-
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("n", pa.int64())])
-
-
-def _near_in_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row of a neighbourhood, itself with the class before it by size and with that of the smallest id, with the number of items they share here."""
-    for batch in batches:
-        x, s, n = (np.asarray(c) for c in batch.columns)
+def _starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
+
+
+def _pair_rows(kind: int, s: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Rows of MET for the pairs of places whose sizes allow a link."""
+    keep = (s[p] != s[q]) & (4 * np.minimum(n[p], n[q]) >= 3 * np.maximum(n[p], n[q]))
+    p, q = p[keep], q[keep]
+    a, b, na, nb = s[p], s[q], n[p], n[q]
+    return np.stack([np.full(len(p), kind, np.int64), np.minimum(a, b), np.maximum(a, b), np.ones(len(p), np.int64), np.maximum(na, nb), least_common(na, nb)], axis=1)
+
+
+def _pairs_of(s: np.ndarray, n: np.ndarray, starts: np.ndarray, times: np.ndarray) -> Iterator[np.ndarray]:
+    """All pairs of neighbourhoods of FEW classes at most."""
+    for m in np.unique(times):
+        own = starts[times == m]
+        i, j = np.triu_indices(int(m), 1)
+        for at in range(0, len(own), max(1, HELD // len(i))):
+            first = own[at : at + max(1, HELD // len(i)), None]
+            yield _pair_rows(SMALL, s, n, (first + i).ravel(), (first + j).ravel())
+
+
+def _summed_rows(parts: list[np.ndarray]) -> np.ndarray:
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort(rows[:, 2::-1].T)]
+    starts = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]) if len(rows) else np.empty(0, np.int64)
+    out = rows[starts]
+    if len(out):
+        out[:, 3] = np.add.reduceat(rows[:, 3], starts)
+    return out
+
+
+class _Slice:
+    """The neighbourhoods of one slice: rows come in parts, and those of large neighbourhoods don't stay."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.hubs: dict[int, tuple[int, int]] = {}  # items with a large neighbourhood, and the class that others are held against
+
+    def rows(self, last: bool) -> Iterator[np.ndarray]:
+        x, s, n = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((s, x))
+        x, s, n = x[order], s[order], n[order]
+        once = np.r_[True, (x[1:] != x[:-1]) | (s[1:] != s[:-1])] if len(x) else np.empty(0, bool)  # a class may come from several tasks
+        x, s, n = x[once], s[once], n[once]
+        starts = _starts(x)
+        times = np.diff(np.r_[starts, len(x)])
+        big = times > FEW
+        if self.hubs:
+            big |= np.isin(x[starts].astype(np.int64), np.array(list(self.hubs), np.int64))
+        gone = np.repeat(big, times)
+        if gone.any():
+            yield from self.large(x[gone].astype(np.int64), s[gone], n[gone])
+        if last:
+            few = ~big & (times > 1)
+            yield from _pairs_of(s, n, starts[few], times[few])
+        self.parts = [] if last else [(x[~gone], s[~gone], n[~gone])]
+
+    def large(self, x: np.ndarray, s: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+        zero = np.zeros(len(x), np.int64)
+        yield np.stack([zero + LARGE, x, s, zero, n, zero], axis=1)
+        starts = _starts(x)
+        for item, sig, size in zip(x[starts].tolist(), s[starts].tolist(), n[starts].tolist()):
+            self.hubs.setdefault(item, (sig, size))
+        hubs = np.repeat(np.array([self.hubs[i] for i in x[starts].tolist()], np.int64), np.diff(np.r_[starts, len(x)]), axis=0)
+        # Each class with the hub, and with the one before it by size.
+        yield _pair_rows(HUB, np.r_[s, hubs[:, 0]], np.r_[n, hubs[:, 1]], np.arange(len(x)), np.arange(len(x)) + len(x))
         order = np.lexsort((s, n, x))
         x, s, n = x[order], s[order], n[order]
-        pairs = []
         inner = np.flatnonzero(x[1:] == x[:-1]) + 1
-        pairs.append((s[inner], s[inner - 1], n[inner], n[inner - 1]))
-        starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
-        if len(starts):
-            by_id = np.lexsort((s, x))
-            head = np.repeat(by_id[starts], np.diff(np.r_[starts, len(x)]))
-            pairs.append((s, s[head], n, n[head]))
-        a, b, na, nb = (np.concatenate(p) for p in zip(*pairs))
-        keep = (a != b) & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb))
-        pair, at, times = np.unique(np.stack([a[keep], b[keep]], axis=1), axis=0, return_index=True, return_counts=True)
-        yield record_batch({"a": np.ascontiguousarray(pair[:, 0]), "b": np.ascontiguousarray(pair[:, 1]), "shared": times.astype(np.int64), "n": na[keep][at]}, PAIRS)
-
-
-def wanted(ids: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits with the bits of all ``ids(id)`` set: of fixed size, put together by pages on executors."""
-    schema = pa.schema([("page", pa.int64()), ("bits", pa.binary())])
-    slot = F.col("id").bitwiseAND((1 << FILTER_BITS) - 1)
-
-    def page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pages: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slots = np.asarray(batch.column(0))
-            for p in np.unique(slots >> 16):
-                pages.setdefault(int(p), np.zeros(1 << 16, bool))[slots[slots >> 16 == p] & 0xFFFF] = True
-        if pages:
-            yield record_batch({"page": list(pages), "bits": [np.packbits(x).tobytes() for x in pages.values()]}, schema)
-
-    n = min(partitions(ids.sparkSession), 1 << (FILTER_BITS - 16))
-    found = ids.select(slot.alias("slot")).distinct().repartition(n, F.shiftright("slot", 16)).mapInArrow(page, "page long, bits binary").collect()
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for p, bits in found:
-        out[p * 8192 : (p + 1) * 8192] = np.frombuffer(bits, np.uint8)
-    return out
+        yield _pair_rows(HUB, s, n, inner, inner - 1)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of MET from BLOBS, which come slice by slice; pairs are summed before they leave."""
+    now, own, size = -1, _Slice(), 0
+    out, held = [np.empty((0, 6), np.int64)], 0
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        rows = _summed_rows(out)
+        for at in range(0, len(rows), 200_000):
+            yield record_batch(dict(zip(MET.names, map(np.ascontiguousarray, rows[at : at + 200_000].T))), MET)
+        out[:] = [rows[:0]]
+
+    for batch in batches:
+        for q, x, s, n, k in zip(*(c.to_pylist() for c in batch.columns)):
+            if (q != now or size > HELD) and own.parts:
+                for rows in own.rows(q != now):
+                    out.append(rows)
+                    held += len(rows)
+                size = sum(len(p[0]) for p in own.parts)
+            if q != now:
+                now, own, size = q, _Slice(), 0
+            times = np.frombuffer(k, np.int32)
+            own.parts.append((from_bytes(x), np.repeat(np.frombuffer(s, np.int64), times), np.repeat(np.frombuffer(n, np.int64), times)))
+            size += len(own.parts[-1][0])
+        if held > 2 * HELD:
+            yield from sent()
+            held = 0
+    if own.parts:
+        out.extend(own.rows(True))
+    yield from sent()
 
 
 def ranks_in(items: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -403,15 +490,14 @@ def ranks_in(items: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.nda
     return rank[at[known[at] == items]]
 
 
-def pick(kept: DataFrame, ids: DataFrame, common=None) -> DataFrame:
+def pick(kept: DataFrame, ids: DataFrame, spent: list[Broadcast], common: Broadcast | None = None) -> DataFrame:
     """``sig, n, items`` (with the broadcast of frequent items, count vectors and the ranks of the prefix as ``items``) of the classes in ``ids`` and a few others, each once; only those are shuffled."""
-    shared = kept.sparkSession.sparkContext.broadcast(wanted(ids))
+    shared = kept.sparkSession.sparkContext.broadcast(sieve(ids))  # of bounded size
+    spent.append(shared)
     schema = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("items", pa.binary())])
 
     def run(batch: pa.RecordBatch) -> dict | None:
-        sig = np.asarray(batch.column(0))
-        slot = sig & ((1 << FILTER_BITS) - 1)
-        keep = np.flatnonzero(shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+        keep = may_be_in(shared.value, np.asarray(batch.column(0)))
         if not len(keep):
             return None
         batch = batch.take(pa.array(keep))
@@ -448,101 +534,61 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield record_batch(found, LINKS)
 
 
-def verify(pairs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link.  The pairs of one ``b`` are split over parts that each get its set."""
-    pairs = table(pairs.select("a", "b").distinct(), "pairs")
+def verify(pairs: DataFrame, kept: DataFrame, spent: list[Broadcast]) -> DataFrame:
+    """Those of ``pairs(a, b)``, a table, that link.  The pairs of one ``b`` are split over parts that each get its set."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    chosen = table(pick(kept, ids), "chosen")
     degree = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).alias("parts"))
     dealt = pairs.join(degree, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-    mine = dealt.join(chosen.withColumnRenamed("sig", "a"), "a").select("b", "part", "a", "n", "items")
-    own = dealt.select("b", "part").distinct().join(chosen.withColumnRenamed("sig", "b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "n", "items")
-    rows = own.unionByName(mine).repartition(partitions(pairs.sparkSession), "b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    return rows.mapInArrow(_verified, "a long, b long")
+    # Each set goes wherever it is asked for, as one of a pair or as the partner that a part's sets are compared with.
+    asked = dealt.select(F.col("a").alias("sig"), "b", "part", "a").unionByName(dealt.select(F.col("b").alias("sig"), "b", "part", F.lit(None).cast("long").alias("a")).distinct())
+    rows = pick(kept, ids, spent).join(asked, "sig").select("b", "part", "a", "n", "items")
+    rows = rows.repartition(partitions(pairs.sparkSession), "b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return rows.mapInArrow(tidy(_verified), "a long, b long")
 
 
 OPEN = pa.schema([("item", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("block", pa.int32()), ("sig", pa.int64()), ("n", pa.int64()), ("comp", pa.int64())])
 
 
-def _pairs_of(s: np.ndarray, n: np.ndarray, c: np.ndarray, starts: np.ndarray, times: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows a, b, number of neighbourhoods they share here, least number that a link takes: of pairs of two components in neighbourhoods of FEW classes at most."""
-    for m in np.unique(times):
-        own = starts[times == m]
-        i, j = np.triu_indices(int(m), 1)
-        for at in range(0, len(own), max(1, 1_000_000 // len(i))):
-            first = own[at : at + max(1, 1_000_000 // len(i)), None]
-            p, q = (first + i).ravel(), (first + j).ravel()
-            keep = (c[p] != c[q]) & (4 * np.minimum(n[p], n[q]) >= 3 * np.maximum(n[p], n[q]))
-            p, q = p[keep], q[keep]
-            p, q = np.where(s[p] < s[q], p, q), np.where(s[p] < s[q], q, p)
-            yield np.stack([s[p], s[q], np.ones(len(p), np.int64), least_common(n[p], n[q])], axis=1)
-
-
-def _summed_pairs(parts: list[np.ndarray]) -> np.ndarray:
-    rows = np.concatenate(parts)
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]) if len(rows) else np.empty(0, np.int64)
-    out = rows[starts]
-    if len(out):
-        out[:, 2] = np.add.reduceat(rows[:, 2], starts)
-    return out
-
-
-def _unfinished(pairs: bool):
-    """Rows of neighbourhoods of more than one component.
-
-    Those of more than LEAF classes (FEW, if pairs are asked for) are given with each class's row, those of very many classes in blocks, a class once for
-    each other block.  Of smaller ones, if asked for, pairs are: with ``lo`` -1, the ids as ``sig`` and ``comp``, the
-    number of neighbourhoods as ``item`` and the least number that a link takes as ``n``.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [[np.asarray(c) for c in batch.columns] for batch in batches]
-        if not cols:
-            return
-        x, s, n, c = (np.concatenate(v) for v in zip(*cols))
-        # A row whose neighbours by size are all too large or too small to link has nothing to search.
-        order = np.lexsort((n, x))
-        x, s, n, c = x[order], s[order], n[order], c[order]
-        close = (x[1:] == x[:-1]) & (3 * n[1:] <= 4 * n[:-1])
-        keep = np.r_[close, False] | np.r_[False, close]
-        x, s, n, c = x[keep], s[keep], n[keep], c[keep]
-        order = np.lexsort((s, c, x))
-        x, s, n, c = x[order], s[order], n[order], c[order]
-        starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
-        times = np.diff(np.r_[starts, len(x)])
-        mixed = c[starts] != c[starts + times - 1] if len(x) else np.empty(0, bool)
-        if pairs:
-            few, parts, size = mixed & (times <= FEW), [np.empty((0, 4), np.int64)], 0
-            for part in _pairs_of(s, n, c, starts[few], times[few]):
-                parts.append(part)
-                size += len(part)
-                if size > 4_000_000:
-                    parts, size = [_summed_pairs(parts)], 0
-            found = _summed_pairs(parts)
-            for at in range(0, len(found), 200_000):
-                a, b, times_, least = found[at : at + 200_000].T
-                none = np.zeros(len(a), np.int32)
-                yield record_batch(dict(zip(OPEN.names, (np.ascontiguousarray(times_), none - 1, none, none, np.ascontiguousarray(a), np.ascontiguousarray(least), np.ascontiguousarray(b)))), OPEN)
-        mixed &= times > (FEW if pairs else LEAF)
-        small = np.repeat(mixed & (times <= BLOCK), times)
-        zero = np.zeros(int(small.sum()), np.int32)
-        for at in range(0, len(zero), 200_000):
-            to = slice(at, at + 200_000)
-            yield record_batch(dict(zip(OPEN.names, (x[small][to], zero[to], zero[to], zero[to], s[small][to], n[small][to], c[small][to]))), OPEN)
-        for start, m in zip(starts[mixed & (times > BLOCK)], times[mixed & (times > BLOCK)]):
-            rows = slice(start, start + m)
-            k = int(-(-m // (BLOCK // 2)))
-            block = np.arange(m, dtype=np.int64) * k // m  # rows are sorted by component, so a block has few
-            single = [len(np.unique(c[rows][block == i][[0, -1]])) == 1 for i in range(k)]
-            for other in range(k):
-                alike = np.array([single[i] and single[other] and c[rows][block == i][0] == c[rows][block == other][0] for i in range(k)])
-                keep = ~alike[block]
-                lo, hi = np.minimum(block, other)[keep].astype(np.int32), np.maximum(block, other)[keep].astype(np.int32)
-                if keep.any():
-                    yield record_batch(dict(zip(OPEN.names, (x[rows][keep], lo, hi, block[keep].astype(np.int32), s[rows][keep], n[rows][keep], c[rows][keep]))), OPEN)
-
-    return run
+def _open_rows(x: int, s: np.ndarray, n: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of a neighbourhood that hold more than one component; those of very many classes in blocks, a class once for each other block."""
+    # A row whose neighbours by size are all too large or too small to link has nothing to search.
+    order = np.argsort(n, kind="stable")
+    s, n, c = s[order], n[order], c[order]
+    close = 3 * n[1:] <= 4 * n[:-1]
+    keep = np.r_[close, False] | np.r_[False, close]
+    s, n, c = s[keep], n[keep], c[keep]
+    if not len(s) or (c == c[0]).all():
+        return
+    order = np.lexsort((s, c))
+    s, n, c = s[order], n[order], c[order]
+    m = len(s)
+    k = max(1, -(-m // (BLOCK // 2))) if m > BLOCK else 1
+    block = np.arange(m, dtype=np.int64) * k // m  # rows are sorted by component, so a block has few
+    cuts = np.searchsorted(block, np.arange(k + 1))
+    only = [c[lo] if c[lo] == c[hi - 1] else None for lo, hi in zip(cuts, cuts[1:])]
+    for other in range(k):
+        alike = np.array([k > 1 and only[i] is not None and only[i] == only[other] for i in range(k)])
+        at = np.flatnonzero(~alike[block])
+        for part in range(0, len(at), 200_000):
+            to = at[part : part + 200_000]
+            lo, hi = np.minimum(block[to], other).astype(np.int32), np.maximum(block[to], other).astype(np.int32)
+            yield record_batch(dict(zip(OPEN.names, (np.full(len(to), x), lo, hi, block[to].astype(np.int32), s[to], n[to], c[to]))), OPEN)
+
+
+def _unfinished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of large neighbourhoods of more than one component, from rows ``item, sig, n, comp`` that come by item; holds 24 bytes a class of one neighbourhood."""
+    now, parts = None, []
+    for batch in batches:
+        x, *rest = (np.asarray(c) for c in batch.columns)
+        starts = _starts(x)
+        for lo, hi in zip(starts.tolist(), np.r_[starts[1:], len(x)].tolist()):
+            if x[lo] != now and parts:
+                yield from _open_rows(now, *(np.concatenate(c) for c in zip(*parts)))
+                parts = []
+            now = int(x[lo])
+            parts.append([c[lo:hi] for c in rest])
+    if parts:
+        yield from _open_rows(now, *(np.concatenate(c) for c in zip(*parts)))
 
 
 def glances(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, packed: list[bytes]) -> np.ndarray:
@@ -571,7 +617,7 @@ def glances(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, packed: list[
     return np.unique(np.concatenate(pairs), axis=0)
 
 
-def _searched(common, glance: bool):
+def _searched(common: Broadcast, glance: bool):
     """Rows come by neighbourhood and pair of blocks; one at a time is glanced at or searched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -615,47 +661,61 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    common = frequent(docs)
-    kept = table(sets(docs, common), "sets")
-    blobs = kept.where("items is not null").select("sig", "n", "items").mapInArrow(_prefixes(4 * parts), "q int, items binary, sigs binary, sizes binary, counts binary")
-    runs = table(blobs.repartition(parts, "q").mapInArrow(_neighbourhoods, "item long, sig long, n long"), "runs")
-
-    shared = spark.sparkContext.broadcast(common)  # FREQUENT items at most
-    open_ = "item long, lo int, hi int, block int, sig long, n long, comp long"
-
-    def looked_through(large: DataFrame, glance: bool) -> DataFrame:
-        vectors = pick(kept, large.select(F.col("sig").alias("id")), shared).select("sig", "items")
-        rows = large.join(vectors, "sig").select("item", "lo", "hi", "block", "sig", "n", "comp", "items")
-        return rows.repartition(parts, "item", "lo", "hi").sortWithinPartitions("item", "lo", "hi").mapInArrow(_searched(shared, glance), "a long, b long")
+    made, common = sets(docs, frequent(docs))
+    kept, spent = table(made, "sets"), [common]
+    blobs = kept.where("items is not null").select("sig", "n", "items").mapInArrow(_prefixes(slices_of(parts)), "q int, items binary, sigs binary, sizes binary, counts binary")
+    met = table(blobs.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(tidy(_met), ", ".join(f"{c} long" for c in MET.names)), "met")
+    large = table(met.where(F.col("kind") == LARGE).select(F.col("a").alias("item"), F.col("b").alias("sig"), "n").distinct(), "large")
+    pairs = table(met.where(F.col("kind") != LARGE).groupBy("kind", "a", "b").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"), F.max("least").alias("least")), "counted")
+    drop(met)
+
+    def looked_through(rows: DataFrame, glance: bool) -> DataFrame:
+        vectors = pick(kept, rows.select(F.col("sig").alias("id")), spent, common).select("sig", "items")
+        rows = rows.join(vectors, "sig").select("item", "lo", "hi", "block", "sig", "n", "comp", "items")
+        return rows.repartition(parts, "item", "lo", "hi").sortWithinPartitions("item", "lo", "hi").mapInArrow(tidy(_searched(common, glance)), "a long, b long")
+
+    def ordered(rows: DataFrame) -> DataFrame:
+        return rows.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
     # Contraction: the partner with most shared items, by id among equals, if they are a good part of the prefix; and glances at large neighbourhoods.
-    near = runs.mapInArrow(_near_in_run, "a long, b long, shared long, n long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("n").alias("n")).where(F.col("shared") * 12 >= F.col("n"))
-    best = near.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    large = runs.withColumn("comp", F.col("sig")).repartition(parts, "item").mapInArrow(_unfinished(False), open_)
-    # A few neighbourhoods a class do for glances; classes that share many take the same ones.
-    place = F.row_number().over(Window.partitionBy("sig").orderBy("item", "lo", "hi"))
-    large = table(large.withColumn("place", place).where(F.col("place") <= GLANCED).drop("place"), "large")
-    ordered = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = table(verify(ordered.unionByName(looked_through(large, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), kept), "links")
-    comps = table(components(links), "components")
+    near = pairs.where(F.col("shared") * 12 >= F.col("n")).select("a", "b", "shared")
+    best = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared")).groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    # A few neighbourhoods a class do for glances, in parts of BLOCK classes; classes that share many take the same ones.
+    blocks = large.groupBy("item").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    place = F.row_number().over(Window.partitionBy("sig").orderBy("item"))
+    some = large.withColumn("place", place).where(F.col("place") <= GLANCED).join(blocks, "item")
+    dealt = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    some = table(some.select("item", dealt.alias("lo"), dealt.alias("hi"), F.lit(0).alias("block"), "sig", "n", F.col("sig").alias("comp")), "some")
+    tried = table(ordered(best).unionByName(ordered(looked_through(some, True))).distinct(), "pairs")
+    first = table(verify(tried, kept, spent), "links")
+    comps = components(first)
+    drop(some)
 
     # Search of all that is still apart.
-    labelled = runs.join(comps.withColumnRenamed("id", "sig"), "sig", "left").select("item", "sig", "n", F.coalesce("component", "sig").alias("comp"))
-    unfinished = table(labelled.repartition(parts, "item").mapInArrow(_unfinished(True), open_), "open")
-    large = unfinished.where("lo >= 0")
+    of = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"comp_{c}"))
+    labelled = large.join(of("sig"), "sig", "left").select("item", "sig", "n", F.coalesce("comp_sig", "sig").alias("comp"))
+    open_ = table(labelled.repartition(parts, "item").sortWithinPartitions("item").mapInArrow(tidy(_unfinished), "item long, lo int, hi int, block int, sig long, n long, comp long"), "open")
     # Pairs of small neighbourhoods, by how many they share; of large ones they may share as many as either is in.
-    of = table(large.select("item", "sig").distinct().groupBy("sig").agg(F.count("*").alias("more")), "large")
-    met = unfinished.where("lo < 0").groupBy(F.col("sig").alias("a"), F.col("comp").alias("b")).agg(F.sum("item").alias("met"), F.max("n").alias("least"))
+    rooms = table(open_.select("item", "sig").distinct().groupBy("sig").agg(F.count("*").alias("more")), "rooms")
+    rest = pairs.where(F.col("kind") == SMALL)
+    for side in ("a", "b"):
+        rest = rest.join(rooms.select(F.col("sig").alias(side), F.col("more").alias(f"more_{side}")), side, "left")
+    rest = rest.where(F.col("shared") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))) >= F.col("least"))
     for side in ("a", "b"):
-        met = met.join(of.select(F.col("sig").alias(side), F.col("more").alias(f"more_{side}")), side, "left")
-    room = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
-    pairs = looked_through(large, False).unionByName(met.where(F.col("met") + room >= F.col("least")).select("a", "b"))
-    links = links.unionByName(verify(pairs, kept))
-    comps = table(components(table(links, "links")), "components")
+        rest = rest.join(of(side), side, "left")
+    rest = rest.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+    late = table(ordered(looked_through(open_, False).unionByName(rest)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    drop(open_, rooms, pairs, large, tried)
+    links = table(first.unionByName(verify(late, kept, spent)), "links")
+    comps_after = components(links)
 
     firsts = kept.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"))
-    named = firsts.join(comps.withColumnRenamed("id", "sig"), "sig", "left").select("sig", "first", F.coalesce("component", "sig").alias("comp"))
+    named = firsts.join(comps_after.withColumnRenamed("id", "sig"), "sig", "left").select("sig", "first", F.coalesce("component", "sig").alias("comp"))
     named = table(named, "named")
+    ids = table(kept.select("doc_id", "n", "sig"), "ids")
+    drop(kept, late, first, links, comps, comps_after)
+    for shared in spent:
+        shared.destroy()
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     by_sig = named.join(least, "comp").select("sig", "component_id")
-    return kept.select("doc_id", "n", "sig").join(by_sig, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return ids.join(by_sig, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
