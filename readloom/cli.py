@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.lang.compile import compile_script
+from readloom.lang.compile import compile_script, of_kind
 from readloom.lang.syntax import ScriptError, parse
 from readloom.operators.aggregates import count_effect, mean_effect, report_counts, report_means
 from readloom.operators.matching import MODES
@@ -94,24 +94,23 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
 
 
 def finish(program, folder: str, header: str = "", command: str = "", out=None) -> None:
-    """Run the effects: lines in input order, then files, counts and means.  Effects that share their input share its scan when there are several kinds."""
+    """Run the effects: lines in input order, then files, counts and means.  Several kinds are evaluated together, once a frame of the script, and kept until the last has been written."""
     out = out or sys.stdout
     kinds = [k for k in ("stdout", "out", "count", "mean") if getattr(program, k) is not None]
-    shared = next((e.frame.rows for e in program.effects), None) if len(kinds) > 1 else None
-    if shared is not None:
-        shared.persist(StorageLevel.MEMORY_AND_DISK)
+    events = program.events.persist(StorageLevel.MEMORY_AND_DISK) if len(kinds) > 1 else None
+    rows = {k: getattr(program, k) if events is None else of_kind(events, k) for k in kinds}
     try:
-        if program.stdout is None or not print_lines(program.stdout, ["_row_id", "_seq"], out):
+        if "stdout" not in rows or not print_lines(rows["stdout"], ["_row_id", "_seq"], out):
             out.write("\n")
-        if program.out is not None:
-            write_files(program.out.select("filename", "_row_id", "_seq", "body"), folder, header, command)
-        if program.count is not None:
-            report_counts(count_effect(program.count), folder, out)
-        if program.mean is not None:
-            report_means(mean_effect(program.mean), folder, out)
+        if "out" in rows:
+            write_files(rows["out"].select("filename", "_row_id", "_seq", "body"), folder, header, command)
+        if "count" in rows:
+            report_counts(count_effect(rows["count"]), folder, out)
+        if "mean" in rows:
+            report_means(mean_effect(rows["mean"]), folder, out)
     finally:
-        if shared is not None:
-            shared.unpersist()
+        if events is not None:
+            events.unpersist()
 
 
 if __name__ == "__main__":

@@ -99,13 +99,17 @@ class Effect:
 
 @dataclass
 class Program:
-    """Effects by kind: ``stdout`` (value), ``out`` (filename, body), ``count`` (name, value), ``mean`` (name, value), each with ``_row_id`` and ``_seq``."""
+    """Effects by kind: ``stdout`` (value), ``out`` (filename, body), ``count`` (name, value), ``mean`` (name, value), each with ``_row_id`` and ``_seq``.
+
+    ``events`` has all of them in one pass over each frame of the script, for :func:`of_kind`.
+    """
 
     stdout: DataFrame | None = None
     out: DataFrame | None = None
     count: DataFrame | None = None
     mean: DataFrame | None = None
     effects: list[Effect] = field(default_factory=list)
+    events: DataFrame | None = None
 
 
 
@@ -434,7 +438,7 @@ def equal(a: Value, b: Value) -> Value:
 
 
 def natives(c: Compiler) -> dict[str, Value]:
-    """The functions that scripts start with, by name."""
+    """The functions that scripts start with.  Fixed values: their names and parameters, by which scripts know them."""
     out: dict[str, Value] = {}
 
     def add(name: str, params: list, result: Any, build: Callable, fold: Callable | None = None, /, **opts: tuple[Any, Any]) -> None:
@@ -554,18 +558,49 @@ def compile_script(spark: SparkSession, script: str, reads: DataFrame, *, args:
         env["args"] = c.term(parse_term("{" + args + "}"), {})
     first = [F.col("_strand")] if "_strand" in reads.columns else []
     c.run(parse(script).stmts, Frame(reads, None, first), env)
-    kinds: dict[str, list[DataFrame]] = {"stdout": [], "out": [], "count": [], "mean": []}
+    frames: dict[int, list[Effect]] = {}
     for e in c.effects:
-        rows = e.frame.filtered()
-        order = [F.col("_row_id"), F.array(*(x.cast("int") if isinstance(x, Column) else F.lit(x) for x in e.frame.path)).alias("_seq")]
-        v = e.parts["value"]
+        frames.setdefault(id(e.frame.rows), []).append(e)
+    views = {}
+    for kind in ("stdout", "out", "count", "mean"):
+        own = [some for every in frames.values() if (some := [e for e in every if e.kind == kind])]
+        views[kind] = reduce(DataFrame.unionByName, (evaluated(c, some).select("_row_id", "_seq", *_columns(kind)) for some in own)) if own else None
+    events = reduce(DataFrame.unionByName, (evaluated(c, every) for every in frames.values())) if frames else None
+    return Program(**views, effects=c.effects, events=events)
+
+
+def _columns(kind: str) -> list[Column]:
+    """The columns of an effect's rows, from those that all effects share."""
+    name, text, number = F.col("name"), F.col("text"), F.col("number")
+    return {"stdout": [text.alias("value")], "out": [name.alias("filename"), text.alias("body")], "count": [name, text.alias("value")], "mean": [name, number.alias("value")]}[kind]
+
+
+def of_kind(events: DataFrame, kind: str) -> DataFrame:
+    """The rows of one kind of effect among all."""
+    return events.where(F.col("kind") == kind).select("_row_id", "_seq", *_columns(kind))
+
+
+def evaluated(c: Compiler, effects: list[Effect]) -> DataFrame:
+    """``kind, _row_id, _seq, name, text, number`` of effects over one frame: each row of it is looked at once, and gives a row for each effect whose guard it meets."""
+
+    def parts(e: Effect) -> list[Column]:
+        v, name, text, number = e.parts["value"], F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("float")
         if e.kind == "out":
             name = e.parts["filename"].col()
-            rows = rows.select(*order, name.alias("filename"), body_for(v.col(), spark_type(v.known), name).alias("body"))
+            text = body_for(v.col(), spark_type(v.known), name)
         elif e.kind == "mean":
-            rows = rows.select(*order, e.parts["name"].col().alias("name"), v.col().alias("value"))
+            name, number = e.parts["name"].col(), v.col().cast("float")
         else:
-            named = [e.parts["name"].col().alias("name")] if e.kind == "count" else []
-            rows = rows.select(*order, *named, c.shown(v).col().alias("value"))
-        kinds[e.kind].append(rows)
-    return Program(**{k: reduce(DataFrame.unionByName, v) if v else None for k, v in kinds.items()}, effects=c.effects)
+            text = c.shown(v).col()
+            name = e.parts["name"].col() if e.kind == "count" else name
+        path = F.array(*(x.cast("int") if isinstance(x, Column) else F.lit(x) for x in e.frame.path))
+        return [F.lit(e.kind).alias("kind"), path.alias("_seq"), name.alias("name"), text.alias("text"), number.alias("number")]
+
+    rows = effects[0].frame.rows
+    if len(effects) == 1:
+        return effects[0].frame.filtered().select("_row_id", *parts(effects[0]))
+    each = [F.struct(*parts(e)) if e.frame.guard is None else F.when(e.frame.guard, F.struct(*parts(e))) for e in effects]
+    if all(e.frame.guard is not None for e in effects):
+        rows = rows.where(reduce(lambda a, b: a | b, (e.frame.guard for e in effects)))
+    some = F.filter(F.array(*each), lambda x: x.isNotNull())
+    return rows.select("_row_id", F.explode(some).alias("_e")).select("_row_id", "_e.kind", "_e._seq", "_e.name", "_e.text", "_e.number")

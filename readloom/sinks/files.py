@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Iterator
+from itertools import groupby
 from typing import TextIO
 
 from pyspark.sql import Column, DataFrame, Row
@@ -86,7 +87,8 @@ def write_files(rows: DataFrame, folder: str, header: str = "", command: str = "
     """Write ``rows(filename, order..., body)``, a file a name, in the order of the columns between.
 
     The rows of a name come to one task, as one file has one writer; it streams them to a hidden file that takes the name
-    at the end, so a task that is run again leaves no half-written file.  The folder must exist wherever tasks run.
+    at the end, so a task that is run again leaves no half-written file.  The folder must exist wherever tasks run.  A name
+    that would leave it aborts.
     """
     if not os.path.isdir(folder):
         raise FileNotFoundError(f"the output folder {folder} doesn't exist")
@@ -94,31 +96,21 @@ def write_files(rows: DataFrame, folder: str, header: str = "", command: str = "
     top = program_line(header, command)
 
     def write(part: Iterator[Row]) -> None:
-        name, f, pending = None, None, None
-
-        def close() -> None:
-            if f is not None:
-                if pending is not None:
-                    bam.write(f, top, pending)
-                f.close()
-                os.replace(hidden, os.path.join(folder, name))
-
-        for row in part:
-            if row["filename"] != name:
-                close()
-                name, pending = row["filename"], None
-                hidden = os.path.join(folder, f".{name.replace('/', '_')}.part")
-                os.makedirs(os.path.dirname(os.path.join(folder, name)), exist_ok=True)
-                f = open(hidden, "wb")
-                if writer_of(name) == "sam":
-                    f.write(top.encode())
-                elif writer_of(name) == "bam":
-                    pending = []
-            if pending is not None:
-                pending.append(_bam_row(row["body"]))
-            else:
-                f.write(row["body"].encode() + b"\n")
-        close()
+        for name, own in groupby(part, key=lambda row: row["filename"]):
+            target = os.path.normpath(os.path.join(folder, name))
+            if os.path.commonpath([os.path.abspath(folder), os.path.abspath(target)]) != os.path.abspath(folder) or not os.path.basename(name):
+                raise ValueError(f"{name!r} isn't the name of a file within the output folder")
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            hidden = os.path.join(os.path.dirname(target), f".{os.path.basename(target)}.part")
+            with open(hidden, "wb") as f:
+                if writer_of(name) == "bam":
+                    bam.write(f, top, (_bam_row(row["body"]) for row in own))
+                else:
+                    if writer_of(name) == "sam":
+                        f.write(top.encode())
+                    for row in own:
+                        f.write(row["body"].encode() + b"\n")
+            os.replace(hidden, target)
 
     rows.repartition("filename").sortWithinPartitions("filename", *order).foreachPartition(write)
 

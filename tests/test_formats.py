@@ -158,3 +158,14 @@ def test_streamed_counts(spark, tmp_path):
     got = []
     route(stream, str(tmp_path / "ck"), lambda df, _: got.extend(r["id"] for r in df.collect())).awaitTermination()
     assert sorted(got) == ["a", "b", "c"]
+
+
+def test_names_stay_in_the_folder(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    put = lambda name: files.write_files(spark.createDataFrame([(name, 0, "x")], "filename string, _row_id long, body string"), str(tmp_path / "out"))
+    put("a/../b.txt")
+    put("sub/c.txt")
+    for bad in ("../x.txt", "a/../../x.txt", "/x.txt", "", "sub/"):
+        with pytest.raises(Exception, match="isn't the name of a file"):
+            put(bad)
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.txt")) == ["out/b.txt", "out/sub/c.txt"]

@@ -5,9 +5,10 @@ import io
 import pytest
 
 from readloom.cli import main
-from readloom.lang.compile import compile_script
+from readloom.lang.compile import compile_script, of_kind
 from readloom.lang.syntax import ScriptError, parse
 
+#: A read and its qualities, scripts with the lines they print, and errors with their places and texts.
 SEQ = "AAAAAAAAAGGGGCCCCCCCCCCCC"
 QUAL = "!@#$%^&*&^%$#@#$%^&*^%^&*"
 
@@ -41,6 +42,9 @@ GOLDEN = [
     ("f = (n: Num = 7) => n; if f(n = 1) > 5 { 'greater'.stdout!() }", []),
     ("f = (n: Num = 3) => n; if f() > 5 { 'greater'.stdout!() }", []),
     ("\n        if read matches [_] => 'a' |> stdout!()\n        'b' |> stdout!()\n        ", ["a", "b"]),
+]
+#: Cases of our own.
+OWN = [
     ("2 * 3 ^ 2 |> to_str() |> stdout!()", ["36"]),
     ("[1, 2.5].stdout!(); { b = 1, a = 'x' }.stdout!(); (0 / 0).stdout!(); (1 == 'a').stdout!(); ([1] == [1]).stdout!()", ["[1, 2.5]", "{ a = x, b = 1 }", "NaN", "false", "false"]),
     ("if read matches { [ACGT _] => 'x'.stdout!()\n [AAA r:|2| _] => r.seq.stdout!() }", ["AA"]),
@@ -56,7 +60,7 @@ GOLDEN = [
 ]
 
 
-@pytest.mark.parametrize("code,want", GOLDEN)
+@pytest.mark.parametrize("code,want", [*GOLDEN, *OWN])
 def test_lines(spark, fasta, code, want):
     assert printed(spark, fasta, code) == want
 
@@ -67,6 +71,7 @@ def test_a_trimmed_read_and_its_reverse_complement(spark, fastq):
     assert body("if read matches [start:|10| _] => (-start).out!('trimmed.fq')") == [("trimmed.fq", f"@read1\nCTTTTTTTTT\n+\n{QUAL[:10][::-1]}")]
 
 
+#: Fixed values, as above.
 ERRORS = [
     ("f = (n: Num = 3) => n; if f(m = 1) > 5 { 'greater'.stdout!() }", 26, 34, "found optional argument named 'm'; only expected optional arguments { n: Num }"),
     ("f = (n: Num = 3) => n; if f(n = true) > 5 { 'greater'.stdout!() }", 32, 36, "mismatched types: expected Num, found Bool"),
@@ -129,3 +134,16 @@ def test_command_line_strands_pairs_and_errors(spark, tmp_path, capsys):
     assert "expected Num, found Bool" in capsys.readouterr().err
     assert main([str(tmp_path / "a.fa"), "-s", "x.txt"], spark, out) == 1
     assert main([str(tmp_path / "a.fa"), "-p", str(tmp_path / "b.fa"), "--with-reverse-complement", "-r", "1.stdout!()"], spark, out) == 1
+
+
+def test_effects_of_a_frame_share_one_search(spark):
+    """Three effects in a match body: one scan and one Arrow search for all of them, and the same rows as one by one."""
+    rows = spark.createDataFrame([(i, (s, f"r{i}", "")) for i, s in enumerate(["AAGATTACACC", "CCGATAACATT", "TTTT", "GATTACAGATTACA"])], "_row_id long, read struct<seq: string, id: string, desc: string>")
+    code = "if read matches [_ GATTACA~0.2 rest:_] => { rest.seq.stdout!(); if rest.seq.len() > 2 { rest.seq.count!(name = 'tails') }; read.id.stdout!(); rest.seq.len().mean!(name = 'n'); rest.out!('{read.id}.fa') }"
+    program = compile_script(spark, code, rows)
+    plan = program.events._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Scan ") == 1
+    for kind, alone in (("stdout", "rest.seq.stdout!(); read.id.stdout!()"), ("count", "if rest.seq.len() > 2 { rest.seq.count!(name = 'tails') }"), ("mean", "rest.seq.len().mean!(name = 'n')"), ("out", "rest.out!('{read.id}.fa')")):
+        own = getattr(compile_script(spark, f"if read matches [_ GATTACA~0.2 rest:_] => {{ {alone} }}", rows), kind)
+        plain = lambda df: sorted(repr(tuple(r)) for r in df.drop("_seq").collect())
+        assert plain(of_kind(program.events, kind)) == plain(getattr(program, kind)) == plain(own) != []

@@ -1,4 +1,4 @@
-"""Queries over whole texts against brute force, with reads far over 150 letters."""
+"""Reads hold all letters of all texts, and operators take reads of any length."""
 
 import random
 import re
@@ -6,88 +6,58 @@ import re
 import pytest
 
 from readloom import catalogue
-from readloom.functions import scalar as S
-from readloom.operators.search import edit_distance
+from readloom.operators import matching
+from readloom.operators.relations import demultiplex
+from readloom.operators.search import edit_distance, find_disjoint
+from readloom.plans.regions import Hole, Term, compile_regions, named, sized
 
 LONG = 30_000
 
 
-def read(text):
-    return "".join(dict(zip(catalogue.LETTERS, catalogue.TO_BASES))[c] for c in re.sub("[^A-Z]", "", text.upper()))
+def read(text, to=catalogue.TO_BASES):
+    return "".join(dict(zip(catalogue.LETTERS, to))[c] for c in re.sub("[^A-Z]", "", (text or "").upper()))
 
 
 @pytest.fixture(scope="module")
-def reads(spark, tmp_path_factory):
+def texts():
     rng = random.Random(6)
-    texts = ["".join(rng.choice("ABCDEFGH ,.I") for _ in range(n)) for n in (0, 5, 149, 150, 151, 400, 700, LONG)]
-    texts.append("I" * 300 + "abcdcbaa" + "I" * 9)  # nothing in the first 150 letters
-    texts.append("I" * 200 + "abcabc" + "I" * 9 + "abcabc" + "I" * 3 + "ccdd" + "I")
-    folder = str(tmp_path_factory.mktemp("whole"))
-    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, t, "u") for i, t in enumerate(texts[::-1])], "page_id long, html string, url string").write.parquet(f"{folder}/pages.parquet")
-    codes = ["".join(rng.choice("ABCD") for _ in range(8)) for _ in range(40)] + ["abcdcbaa"]
-    spark.createDataFrame([(i, "x" * 10 + c) for i, c in enumerate(codes)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    return folder, {i: read(t) for i, t in enumerate(texts)}, {i: read(c) for i, c in enumerate(codes)}
-
-
-def rows(spark, folder, name):
-    return sorted(map(tuple, catalogue.QUERIES[name](spark, folder).collect()))
-
-
-def hits(seq):
-    return [m.start() for m in re.finditer("ACG", seq)]
-
-
-def test_reads_keep_all_letters(spark, reads):
-    folder, seqs, _ = reads
-    assert rows(spark, folder, "whole_str_len") == sorted((f"read{i}", len(s)) for i, s in seqs.items())
-    assert {(r["id"], r["seq"], len(r["qual"])) for r in catalogue.QUERIES["whole_fastq_scan"](spark, folder).collect()} == {(f"read{i}", s, len(s)) for i, s in seqs.items()}
-    assert rows(spark, folder, "whole_paired_zip") == sorted((f"read{i}", f"page{i}", s, seqs[len(seqs) - 1 - i]) for i, s in seqs.items())
-    acids = {a + b + c: S.AMINO[16 * i + 4 * j + k] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
-    assert rows(spark, folder, "whole_translate_codons") == sorted((f"read{i}", "".join(acids.get(s[k : k + 3], "?") for k in range(0, len(s) - 2, 3))) for i, s in seqs.items())
-    assert max(map(len, seqs.values())) > LONG / 2
-
-
-def test_hits_of_whole_reads(spark, reads):
-    folder, seqs, _ = reads
-    every = [(i, s, at) for i, s in seqs.items() for at in hits(s)]
-    assert rows(spark, folder, "whole_mode_all") == sorted((i, at) for i, s, at in every)
-    assert rows(spark, folder, "whole_mode_first_best") == sorted((i, hits(s)[0]) for i, s in seqs.items() if hits(s))
-    assert rows(spark, folder, "whole_mode_unique_best") == sorted((i, hits(s)[0]) for i, s in seqs.items() if len(hits(s)) == 1)
-    assert rows(spark, folder, "whole_pat_term_rest") == sorted((i, s[at + 3 :]) for i, s, at in every)
-    assert rows(spark, folder, "whole_pat_sized_mid") == sorted((i, s[at + 3 : at + 7]) for i, s, at in every if at + 7 < len(s))
-    assert rows(spark, folder, "whole_pat_two_terms") == sorted((i, s[at + 3 : at + 5]) for i, s, at in every if s[at + 5 : at + 7] == "AA")
-    assert rows(spark, folder, "whole_pat_named_group") == sorted((i, s[at : at + 5], s[at + 3 : at + 5]) for i, s, at in every if at + 5 < len(s))
-    after = [s[at + 3 : at + 5] for _, s, at in every if at + 5 <= len(s)]
-    assert rows(spark, folder, "whole_count_effect") == sorted(("after", v, after.count(v)) for v in set(after))
-
-
-def test_fuzzy_ends_of_whole_reads(spark, reads):
-    folder, seqs, _ = reads
-    got = [r for r in rows(spark, folder, "whole_pat_fuzzy_enddist") if len(seqs[r[0]]) < 1_000]
-    want = []
+    out = ["".join(rng.choice("ABCDEFGH ,.I") for _ in range(n)) for n in (0, 5, 149, 150, 151, 400, 700, LONG)]
+    return [*out, None, "I" * 300 + "abcdcbaa" + "I" * 9, "I" * 200 + "abcabc" + "I" * 9 + "abcabc" + "I" * 3 + "ccdd" + "I"]
+
+
+def test_reads_hold_all_letters(spark, texts, tmp_path):
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r["row_id"], r["id"], r["seq"], r["qual"]) for r in catalogue.fq(spark, str(tmp_path)).collect())
+    assert len({r[0] for r in found}) == len(found)
+    for i, t in enumerate(texts):
+        own = [r for r in found if r[0] // catalogue.MOST == i]
+        assert [r[1] for r in own] == [f"read{i}_{k}" for k in range(len(own))] and "".join(r[2] for r in own) == read(t) and "".join(r[3] for r in own) == read(t, catalogue.TO_QUALS)
+        assert all(len(r[2]) == catalogue.BASES for r in own[:-1]) and (len(own[-1][2]) > 0 or not read(t))
+
+
+def test_long_reads_match_as_short_ones_do(spark, texts):
+    seqs = {i: read(t) for i, t in enumerate(texts)}
+    df = spark.createDataFrame(list(seqs.items()), "row_id long, seq string").repartition(3)
+    every = [(i, s, m.start()) for i, s in seqs.items() for m in re.finditer("ACG", s)]
+    got = lambda regions, *columns: sorted((r["row_id"], *(r[c] for c in columns)) for r in matching.match(df, compile_regions(regions)).collect())
+    assert got([Hole(), Term.of("ACG"), named("rest", Hole())], "rest_seq") == sorted((i, s[at + 3 :]) for i, s, at in every)
+    assert got([Hole(), Term.of("ACG"), named("mid", sized(2)), Term.of("AA"), Hole()], "mid_seq") == sorted((i, s[at + 3 : at + 5]) for i, s, at in every if s[at + 5 : at + 7] == "AA")
+    hits = {i: find_disjoint("ACGTGCAA", s, 2) for i, s in seqs.items()}
+    fuzzy = {i: [h for h in own if h[2] == min(x[2] for x in own)] for i, own in hits.items()}
+    assert got([Hole(), Term.of("ACGTGCAA", 0.26), named("rest", Hole())], "dist", "rest_seq") == sorted((i, d, seqs[i][e:]) for i, hits in fuzzy.items() for _, e, d in hits)
+    counted = {r["row_id"]: r["n"] for r in df.select("row_id", matching.count_matches(df["seq"], "ACGTGCAA", 0.2).alias("n")).collect()}
+    assert counted == {i: len(own) for i, own in hits.items()}
+
+
+def test_all_barcodes_are_tried(spark, texts):
+    rng = random.Random(3)
+    codes = [{"name": i, "seq": "".join(rng.choice("ACGT") for _ in range(8))} for i in range(60)]
+    seqs = {i: read(t) for i, t in enumerate(texts) if len(t or "") < LONG}
+    plan = compile_regions([Hole(), Term(tuple(((i,), c["seq"]) for i, c in enumerate(codes)), 0.26, (0,)), Hole()], 1)
+    got = {(r["row_id"], r["name"], r["dist"]) for r in demultiplex(spark.createDataFrame(list(seqs.items()), "row_id long, seq string"), plan, codes).collect()}
+    want = set()
     for i, s in seqs.items():
-        for e in range(1, len(s) + 1) if len(s) < 1_000 else ():
-            d = min(edit_distance("ACGTGCAA", s[e - n : e]) for n in range(6, 11) if e >= n) if e >= 6 else 9
-            if d <= 2:
-                want.append((i, e, d))
-    assert got == sorted(want)
-    assert {r["row_id"] for r in catalogue.QUERIES["pat_fuzzy_slice"](spark, folder).where("dist = 0").collect()} >= {8}
-
-
-def test_all_barcodes_of_whole_reads(spark, reads):
-    folder, seqs, codes = reads
-    want = []
-    for i, s in seqs.items():
-        least = {name: min((edit_distance(c, s[e - n : e]) for e in range(6, len(s) + 1) for n in range(6, 11) if e >= n), default=9) if len(s) < 1_000 else 9 * (c not in s) for name, c in codes.items()}
-        want += [(i, name, d) for name, d in least.items() if d <= 2 and d == min(least.values())]
-    assert rows(spark, folder, "whole_demux_best") == sorted(want) and any(name >= 12 for _, name, _ in want)
-    ends = [(i, a, b) for i, s in seqs.items() if len(s) >= 6 for a, x in codes.items() for b, y in codes.items() if s[:3] == x[:3] and s[-3:] == y[:3]]
-    assert rows(spark, folder, "whole_demux_two_params") == sorted(ends)
-
-
-def test_repeated_terms_are_described(spark, reads):
-    folder, seqs, _ = reads
-    shapes = dict(rows(spark, folder, "whole_describe_exact"))
-    assert shapes == {i: "[ _ " + "".join("a _ " if m[0] == "ACGACG" else "b _ " for m in re.finditer("ACGACG|GGTT", s)) + "]" for i, s in seqs.items()}
-    assert shapes[9] == "[ _ a _ a _ b _ ]"
+        near = {c["name"]: min((edit_distance(c["seq"], s[a:b]) for a in range(len(s)) for b in range(a + 6, min(len(s), a + 10) + 1)), default=9) for c in codes}
+        least = min(near.values())
+        want |= {(i, name, d) for name, d in near.items() if d == least and d <= 2}
+    assert got == want
