@@ -20,19 +20,23 @@ SAM_NUMBERS = {"flag", "pos", "mapq", "pnext", "tlen"}
 SAM_ORDER = ["qname", "id", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "tags", "desc"]
 
 
-def _split_header(header: Column) -> tuple[Column, Column]:
+def split_header(header: Column) -> tuple[Column, Column]:
     """Id and description, which the first run of blanks parts."""
     return F.regexp_extract(header, r"^(\S*)", 1), F.regexp_extract(header, r"^\S*[ \t]+(.*)$", 1)
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """``seq, id, desc``; lines of a sequence are joined.  Records are split where a line begins with ``>``."""
-    rows = numbered(spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != ""))
+    return fasta_records(numbered(spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")))
+
+
+def fasta_records(rows: DataFrame) -> DataFrame:
+    """The fields of ``value``, the text between two ``\\n>``; other columns stay."""
     record = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "")
     header = F.substring_index(record, "\n", 1)
-    ident, desc = _split_header(header)
+    ident, desc = split_header(header)
     seq = F.regexp_replace(F.substring(record, F.length(header) + 2, F.length(record)), r"\s", "")
-    return rows.select("_row_id", seq.alias("seq"), ident.alias("id"), desc.alias("desc"))
+    return rows.select(*(c for c in rows.columns if c != "value"), seq.alias("seq"), ident.alias("id"), desc.alias("desc"))
 
 
 RECORD = pa.schema([("_row_id", pa.int64()), ("header", pa.string()), ("seq", pa.string()), ("qual", pa.string())])
@@ -76,23 +80,28 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
     wrong = F.raise_error(F.concat(F.lit("no FASTQ record at line "), F.col("_row_id") * 4 + 1)).cast("string")
     rest = parts.select("_row_id", F.when(F.coalesce(right, F.lit(False)), F.substring("l0", 2, 1 << 30)).otherwise(wrong).alias("header"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
     records = records.unionByName(rest)
-    ident, desc = _split_header(F.col("header"))
+    ident, desc = split_header(F.col("header"))
     return records.select("_row_id", "seq", ident.alias("id"), desc.alias("desc"), "qual")
 
 
 HEADER_LINE = r"^@[A-Z]{2}(\t|$)"
+IS_RECORD = f"value <> '' and not value rlike '{HEADER_LINE.replace(chr(92), chr(92) * 2)}'"
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
     """The 11 fixed columns, all tags as one string, and ``id`` and ``desc`` for the first and the last."""
-    rows = numbered(spark.read.text(path).where(~F.col("value").rlike(HEADER_LINE) & (F.col("value") != "")))
+    return sam_records(numbered(spark.read.text(path).where(IS_RECORD)))
+
+
+def sam_records(rows: DataFrame) -> DataFrame:
+    """The fields of ``value``, a line that is no header line; other columns stay."""
     cells = F.split(F.regexp_replace("value", "\r$", ""), "\t", 12)
     own = {c: F.coalesce(F.get(cells, i), F.lit("")) for i, c in enumerate(SAM_COLUMNS)}
     own = {c: x.cast("float") if c in SAM_NUMBERS else x for c, x in own.items()}
     # A mapping quality of 255 means that there is none.
     own["mapq"] = F.when(own["mapq"] == 255, F.lit(-1.0).cast("float")).otherwise(own["mapq"])
     own |= {"id": own["qname"], "desc": own["tags"]}
-    return rows.select("_row_id", *(own[c].alias(c) for c in SAM_ORDER))
+    return rows.select(*(c for c in rows.columns if c != "value"), *(own[c].alias(c) for c in SAM_ORDER))
 
 
 def sam_header(spark: SparkSession, path: str) -> str:

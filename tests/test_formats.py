@@ -169,3 +169,22 @@ def test_names_stay_in_the_folder(spark, tmp_path):
         with pytest.raises(Exception, match="isn't the name of a file"):
             put(bad)
     assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.txt")) == ["out/b.txt", "out/sub/c.txt"]
+
+
+def test_streams_of_all_text_formats(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from readloom.streaming import watch
+
+    for kind, first, second in (("fq", "@a x\nACG\n+\nIII\n@b\n\n+\n\n", "@c y z\r\nTT\r\n+\r\n@@\r\n"), ("sam", SAM, "q9\t0\tchr1\t1\t9\t1M\t*\t0\t0\tA\tI\n"), ("fa", ">a x\nAC\nGT\n>b\nT\n", ">c\nG\n")):
+        folder = tmp_path / kind
+        folder.mkdir()
+        (folder / "1").write_bytes(first.encode())
+        (folder / "2").write_bytes(second.encode())
+        stream = {"fq": watch.fastq_stream, "sam": watch.sam_stream, "fa": watch.fasta_stream}[kind](spark, str(folder), 1)
+        got = []
+        watch.route(stream, str(tmp_path / f"{kind}-state"), lambda df, n, got=got: got.extend(map(tuple, df.select("id", "seq").collect()))).awaitTermination()
+        assert sorted(got) == {"fq": [("a", "ACG"), ("b", ""), ("c", "TT")], "sam": [("q1", "ACGTNACG"), ("q2", "*"), ("q9", "A")], "fa": [("a", "ACGT"), ("b", "T"), ("c", "G")]}[kind]
+    stream = watch.fasta_stream(spark, str(tmp_path / "fa"), 1).select(F.concat("id", F.lit(".txt")).alias("filename"), F.lit(0).alias("_row_id"), F.col("seq").alias("body"))
+    watch.route(stream, str(tmp_path / "out-state"), watch.files_of_batches(str(tmp_path / "out"))).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*.txt")) == ["a.txt", "b.txt", "c.txt"] and len(list((tmp_path / "out").iterdir())) == 2
