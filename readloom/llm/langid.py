@@ -1,6 +1,6 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
-One table of words serves all languages: bit ``l`` of a slot says that language ``l`` set it, so the AND of an n-gram's
+One table of masks serves all languages, however many: bit ``l`` of a slot says that language ``l`` set it, so the AND of an n-gram's
 slots is the mask of all languages whose filter contains it.  A text's n-grams are counted by language; as a filter
 with fill ``f`` and ``k`` hashes answers wrongly with probability ``f ** k``, each count is corrected for that, and the
 language with the largest corrected count wins.
@@ -20,7 +20,7 @@ from readloom.llm.common import each_batch, held_out, kept_as, small_batches
 GRAM = 4
 HASHES = 2
 SLOTS_BITS = 20
-#: Training texts to a language at most, those with the smallest hashes; characters of a training text that are read.
+#: Training texts to a language at most, about: those with the smallest hashes.
 SAMPLE = 3_000
 #: A language's filter takes the n-grams that make up this share of its n-grams at least, and whose share is this part of the largest share any language has.
 LEAST_SHARE, LEAST_PART = 1e-5, 0.2
@@ -69,14 +69,12 @@ def slots(hashes: np.ndarray) -> list[np.ndarray]:
 @dataclass
 class Filters:
     languages: list[str]
-    masks: np.ndarray  # a word a slot
+    masks: np.ndarray  # a slot's words, as many as its bits take
     wrong: np.ndarray  # of each language, how often an n-gram that it lacks is found
 
     @classmethod
     def of(cls, texts: dict[str, list[str]]) -> Filters:
         languages = sorted(texts)
-        if len(languages) > 64:
-            raise ValueError("a slot has bits for 64 languages")
         grams, shares = [], []
         for name in languages:
             found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *map(gram_hashes, texts[name])]), return_counts=True)
@@ -86,14 +84,15 @@ class Filters:
         most = np.zeros(len(everything))
         np.maximum.at(most, at, np.concatenate(shares or [np.empty(0)]))
         width = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint64
-        masks = np.zeros(1 << SLOTS_BITS, width)
+        bits = 8 * np.dtype(width).itemsize
+        masks = np.zeros((1 << SLOTS_BITS, -(-len(languages) // bits) or 1), width)
         wrong, start = [], 0
         for i, (found, share) in enumerate(zip(grams, shares)):
             top = most[at[start : start + len(found)]]
             start += len(found)
             for where in slots(found[(share >= LEAST_SHARE) & (share >= LEAST_PART * top)]):
-                masks[where] |= width(1 << i)
-            wrong.append((np.count_nonzero(masks >> width(i) & width(1)) / len(masks)) ** HASHES)
+                masks[where, i // bits] |= width(1 << i % bits)
+            wrong.append((np.count_nonzero(masks[:, i // bits] >> width(i % bits) & width(1)) / len(masks)) ** HASHES)
         return cls(languages, masks, np.array(wrong))
 
     def counts(self, text: str) -> tuple[np.ndarray, int]:
@@ -104,10 +103,11 @@ class Filters:
         for x in where[1:]:
             mask &= self.masks[x]
         if mask.dtype == np.uint8:
-            by_mask = np.bincount(mask, minlength=256)
+            by_mask = np.bincount(mask[:, 0], minlength=256)
             hits = np.array([by_mask[_with_bit(i)].sum() for i in range(len(self.languages))], np.float64)
         else:
-            hits = np.array([np.count_nonzero(mask >> mask.dtype.type(i) & mask.dtype.type(1)) for i in range(len(self.languages))], np.float64)
+            word, bits = mask.dtype.type, 8 * mask.dtype.itemsize
+            hits = np.array([np.count_nonzero(mask[:, i // bits] >> word(i % bits) & word(1)) for i in range(len(self.languages))], np.float64)
         return np.maximum(0.0, (hits - len(hashes) * self.wrong) / (1 - self.wrong)), len(hashes)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -133,8 +133,6 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """Filters from at most ``sample`` texts of each language: those of rows that aren't held out with the smallest hashes of text."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     counted = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    if len(counted) > 64:
-        raise ValueError("more than 64 languages")
     # The part of the hashes to take, so that about `sample` texts of a language come; where that many are few, all.
     parts = [F.when(F.col("lang") == name, F.lit(int(min(1.0, sample / n) * (1 << 30)))) for name, n in counted.items()]
     texts: dict[str, list[str]] = {name: [] for name in counted}

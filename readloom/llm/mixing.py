@@ -5,6 +5,8 @@ every domain in those proportions, and nonnegative rates are sought, one a docum
 all domains match their targets: least squares by projected gradient steps.  In a step each document's rate moves
 along its own posteriors by one vector that all share, so an iterate is known from the vectors so far: a pass computes
 rates from them and sums what they give, and no state of the size of the corpus is rewritten.
+
+Tokens are those of a tokenizers file, as the corpus is packed by it; without one they are white-space words.
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import each_batch, kept_as, record_batch, small_batches, table
+from readloom.llm.common import drop, each_batch, kept_as, record_batch, small_batches, table, tidy
+from readloom.llm.packing import ByteEncoder
 
 #: Labelled texts to learn from at most, and of a domain at least; buckets of hashed words; passes at most and the relative error that ends them.
 SAMPLE, FEWEST, BUCKETS = 4_000, 20, 1 << 11
 PASSES, CLOSE = 40, 1e-4
+#: Parts of the direct step that a pass tries.
+PARTS = (1.0, 0.5, 0.2, 0.05)
 SHAPES = 6
 
 
@@ -37,8 +42,8 @@ class _Words(dict):
 _words = _Words()
 
 
-def features(text: str | None) -> tuple[np.ndarray, int]:
-    """Square roots of the shares of hashed words, shares of kinds of characters and of repeated words and lines; and the number of words."""
+def features(text: str | None) -> np.ndarray:
+    """Square roots of the shares of hashed words, shares of kinds of characters and of repeated words and lines."""
     text = text or ""
     words = text.lower().split()
     out = np.zeros(BUCKETS + SHAPES)
@@ -48,7 +53,7 @@ def features(text: str | None) -> tuple[np.ndarray, int]:
         few = np.bincount(np.minimum(points, 127), minlength=128) / len(points)
         lines = text.split("\n")
         out[BUCKETS:] = few[65:91].sum(), few[48:58].sum(), few[33:48].sum() + few[58:65].sum() + few[91:97].sum() + few[123:127].sum(), few[127], 1 - len(set(words)) / len(words), 1 - len(set(lines)) / len(lines)
-    return out, len(words)
+    return out
 
 
 @dataclass
@@ -92,9 +97,9 @@ def shares_of(counts: dict[str, int], sample: int) -> int:
 def learn(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample: int = SAMPLE) -> Domains:
     """A classifier of all domains of ``labelled`` (id, domain), from at most about ``sample`` of its rows in all or FEWEST of each domain, those with the smallest hashes of ids.
 
-    Constants are corrected for how much more of a domain was drawn.
+    Constants are corrected for how much more of a domain was drawn.  Of several domains of one id the first by name counts.
     """
-    own = labelled.where(F.col(domain_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(domain_col).cast("string").alias("domain")).dropDuplicates(["id"])
+    own = labelled.where(F.col(domain_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(domain_col).cast("string")).alias("domain"))
     counts = {r["domain"]: r["n"] for r in own.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # a row a domain
     names, most = sorted(counts) or ["all"], shares_of(counts, sample)
     bounds = docs.sparkSession.createDataFrame([(d, int(min(1.0, most / n) * (1 << 30))) for d, n in counts.items()], "domain string, most long")
@@ -104,22 +109,31 @@ def learn(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_
     if not got:
         return Domains(names, np.zeros((BUCKETS + SHAPES + 1, len(names))))
     y = np.array([names.index(d) for _, d, _ in got])
-    out = fit(np.stack([features(t)[0] for _, _, t in got]).astype(np.float32), y, names)
+    out = fit(np.stack([features(t) for _, _, t in got]).astype(np.float32), y, names)
     drawn = np.bincount(y, minlength=len(names)) / len(y)
     share = np.array([counts[d] for d in names]) / sum(counts.values())
     out.weights[-1] += np.where(drawn > 0, np.log(share / np.where(drawn > 0, drawn, 1.0)), 0.0)
     return out
 
 
-def members(docs: DataFrame, domains: Domains, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, p``: words and posteriors of every row."""
+def members(docs: DataFrame, domains: Domains, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, p``: tokens (without the end mark of packing) and posteriors of every row."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(domains)  # a matrix of fixed size
+    spec = None
+    if tokenizer_path is not None:
+        with open(tokenizer_path, encoding="utf-8") as f:
+            spec = f.read()
+    shared = docs.sparkSession.sparkContext.broadcast((domains, spec))  # a matrix of fixed size, and as large as the vocabulary
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("p", pa.list_(pa.float64()))])
+    encoder: list[ByteEncoder] = []
 
     def described(batch: pa.RecordBatch) -> dict:
-        found = [features(x) for x in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0), "n_tokens": [n for _, n in found], "p": list(shared.value.posteriors(np.stack([x for x, _ in found])))}
+        own, file = shared.value
+        if file is not None and not encoder:
+            encoder.append(ByteEncoder(file))
+        texts = [x or "" for x in batch.column(1).to_pylist()]
+        n = [len(encoder[0].encode(x)) if file is not None else len(x.split()) for x in texts]
+        return {"doc_id": batch.column(0), "n_tokens": n, "p": list(own.posteriors(np.stack([features(x) for x in texts])))}
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each_batch(described, schema), "doc_id long, n_tokens long, p array<double>")
 
@@ -148,7 +162,7 @@ def _summed(rows: DataFrame, k: int, fn: Callable[[np.ndarray, np.ndarray], np.n
         yield record_batch({"i": np.arange(size, dtype=np.int32), "x": total}, schema)
 
     out = np.zeros(size)
-    for i, x in rows.select("n_tokens", "p").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x")).collect():
+    for i, x in rows.select("n_tokens", "p").mapInArrow(tidy(run), "i int, x double").groupBy("i").agg(F.sum("x")).collect():
         out[i] = x
     return out
 
@@ -163,30 +177,46 @@ def mix(rows: DataFrame, names: list[str], targets: Callable[[np.ndarray, list[s
     """Steps whose rates bring the expected tokens of ``rows`` (see :func:`members`) to the target weights; the totals reached and wanted.
 
     The rate of a document with ``n`` tokens and posteriors ``p`` is weighted by ``n``, so documents of like posteriors get like
-    rates whatever their lengths.  Steps are scaled by the inverse of the sum of ``n p p'`` over documents whose rate isn't 0,
-    with which a step that meets no other bound reaches the targets at once.  A domain without tokens can't be reached and gets none.
+    rates whatever their lengths.  A pass tries several steps at once and the best is taken: the plain one, over the largest
+    eigenvalue of the sum of ``n p p'``, never makes the error larger; parts of the inverse of that sum over documents whose
+    rate isn't 0 reach the targets at once where no other bound is met.  It ends when the error is CLOSE to none, when no
+    step makes it smaller (the targets can't be reached), or after ``passes``.  A domain without tokens can't be reached and gets none.
     """
     k = len(names)
 
-    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def sums(tried: list[list[np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each list of steps, the totals and the sum of ``n p p'`` over documents whose rate isn't 0: one pass."""
+
         def own(n: np.ndarray, p: np.ndarray) -> np.ndarray:
-            rate = rates_of(p, steps)
-            return np.concatenate([(n * rate) @ p, ((p * (n * (rate > 0))[:, None]).T @ p).ravel()])
+            out = []
+            before = rates_of(p, tried[0][:-1])  # all lists but their last steps are the same
+            for steps in tried:
+                rate = np.maximum(0.0, before - p @ steps[-1]) if steps else before
+                out += [(n * rate) @ p, ((p * (n * (rate > 0))[:, None]).T @ p).ravel()]
+            return np.concatenate(out)
 
-        got = _summed(rows, k, own, k + k * k)
-        return got[:k], got[k:].reshape(k, k)
+        got = _summed(rows, k, own, len(tried) * (k + k * k)).reshape(len(tried), -1)
+        return [(x[:k], x[k:].reshape(k, k)) for x in got]
 
     if isinstance(targets, dict) and (unknown := sorted(set(targets) - set(names))):
         raise ValueError(f"targets of unknown domains: {', '.join(unknown)}")
-    natural, gram = sums([])
+    ((natural, gram),) = sums([[]])
     weights = np.array([targets.get(x, 0.0) for x in names]) if isinstance(targets, dict) else targets(natural / max(natural.sum(), 1e-300), names)
     weights = np.where(natural > 0, weights, 0.0)
     wanted = weights / weights.sum() * natural.sum() if weights.sum() else natural
+    plain = 1 / max(float(np.linalg.eigvalsh(gram).max()), 1e-300)
     steps: list[np.ndarray] = []
     reached = natural
     while len(steps) < passes and np.abs(reached - wanted).sum() > CLOSE * max(wanted.sum(), 1e-300):
-        steps.append(np.linalg.pinv(gram, rcond=1e-9) @ (reached - wanted))
-        reached, gram = sums(list(steps))
+        error = reached - wanted
+        direct = np.linalg.pinv(gram, rcond=1e-9) @ error
+        tried = [*(part * direct for part in PARTS), *(part * plain * error for part in (1.0, 8.0))]
+        totals = sums([[*steps, y] for y in tried])
+        best = min(range(len(tried)), key=lambda i: float(((totals[i][0] - wanted) ** 2).sum()))
+        if float(((totals[best][0] - wanted) ** 2).sum()) >= (1 - 1e-6) * float((error**2).sum()):
+            break
+        steps.append(tried[best])
+        reached, gram = totals[best]
     return steps, reached, wanted
 
 
@@ -216,7 +246,7 @@ def drawn(docs: DataFrame, domains: Domains, steps: list[np.ndarray], keep: list
 
     def run(batch: pa.RecordBatch) -> dict:
         own, moves = shared.value
-        p = own.posteriors(np.stack([features(x)[0] for x in batch.column(1).to_pylist()]))
+        p = own.posteriors(np.stack([features(x) for x in batch.column(1).to_pylist()]))
         return {"doc_id": batch.column(0), "rate": rates_of(p, moves), "kept": batch.column(2)}
 
     kept, kind = kept_as(docs, keep)
@@ -231,13 +261,20 @@ def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where("lang is not null and quality is not null").select("doc_id", F.concat("lang", F.when(F.col("quality") > 0, "/high").otherwise("/low")).alias("domain"))
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: Callable | dict[str, float] = tempered, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """:func:`rated` of every row of ``docs``.
+def gap(reached: np.ndarray, wanted: np.ndarray) -> float:
+    """How far the totals reached are from those wanted, as a share of these."""
+    return float(np.abs(reached - wanted).sum() / max(wanted.sum(), 1e-300))
+
+
+def mixed(docs: DataFrame, labelled: DataFrame, targets: Callable | dict[str, float] = tempered, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
+    """:func:`rated` of every row of ``docs``, and ``gap``: the share of the wanted totals by which the rates miss them.
 
     A null or empty text has no tokens, doesn't count in any domain and gets the rate of its posteriors.  Repeated rows are
     rated alike; an empty table gives no rows.
     """
     domains = learn(docs, labelled, id_col=id_col, text_col=text_col)
-    rows = table(members(docs, domains, id_col=id_col, text_col=text_col), "members")
-    steps, _, _ = mix(rows, domains.names, targets)
-    return rated(rows, domains.names, steps)
+    rows = table(members(docs, domains, id_col=id_col, text_col=text_col, tokenizer_path=tokenizer_path), "members")
+    steps, reached, wanted = mix(rows, domains.names, targets)
+    out = table(rated(rows, domains.names, steps).withColumn("gap", F.lit(gap(reached, wanted))), "rated")
+    drop(rows)
+    return out

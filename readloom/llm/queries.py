@@ -54,7 +54,7 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
 
 def op8(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    return mixing.mixed(docs, mixing.labelled_domains(docs, spark.read.parquet(f"{d}/labels.parquet")))
+    return mixing.mixed(docs, mixing.labelled_domains(docs, spark.read.parquet(f"{d}/labels.parquet")), tokenizer_path=tokenizer("byte_bpe_50k.json"))
 
 
 def op9(spark: SparkSession, d: str) -> DataFrame:

@@ -66,6 +66,35 @@ def test_recall_at_the_threshold():
     assert (t.buckets(x) == t.buckets(y)).any(axis=1).mean() < 0.2
 
 
+def test_null_ids_link_and_large_neighbourhoods_are_whole(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(24)
+    rows = [(i if i % 7 else None, [float(x) for x in base + rng.standard_normal(24) * 0.1]) for i in range(1, 120)]
+    rows += [(None, [float(x) for x in rng.standard_normal(24)])]
+    rows += [(500 + i, rows[6][1]) for i in range(3)]  # copies of a vector whose first id is null
+    want = sorted(brute_vectors(rows), key=repr)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for block, small in ((4_096, 512), (16, 4)):
+        monkeypatch.setattr(near_vectors, "BLOCK", block)
+        monkeypatch.setattr(near_vectors, "SMALL", small)
+        assert sorted(map(tuple, near_vectors.near_duplicates(df).collect()), key=repr) == want
+
+
+def test_a_bucket_is_connected_as_all_its_pairs_do():
+    rng = np.random.default_rng(2)
+    heads = rng.integers(0, 1 << 62, (40, 2))
+    x = heads[rng.integers(0, 40, 900)]
+    for _ in range(12):
+        x[np.arange(900), rng.integers(0, 2, 900)] ^= np.int64(1) << rng.integers(0, 62, 900)
+    for most in (4, 12, 40):
+        near = near_vectors.alike(x, x, most)
+        find = lambda pairs, parent: [parent.__setitem__(slice(None), [a if k == b else k for k in parent]) for i, j in pairs for a, b in [(parent[i], parent[j])] if a != b]
+        got, want = list(range(900)), list(range(900))
+        find(near_vectors.connected(x, most), got)
+        find(near_vectors.spanning(near & ~np.eye(900, dtype=bool)), want)
+        assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
 # ---- packing ----
 
 
@@ -168,7 +197,7 @@ def test_rates_reach_targets_and_stay_nonnegative(spark):
 def test_mixing_edge_cases(spark, docs, rows, nothing):
     labelled = docs.where("lang is not null").select("doc_id", F.col("lang").alias("domain"))
     got = mixing.mixed(docs, labelled, {"en": 0.2, "fr": 0.4, "de": 0.4})
-    assert got.count() == len(rows) and got.columns == ["doc_id", "domain", "n_tokens", "rate", "copies"]
+    assert got.count() == len(rows) and got.columns == ["doc_id", "domain", "n_tokens", "rate", "copies", "gap"]
     by = {r["domain"]: r["t"] for r in got.where("doc_id <> 900").groupBy("domain").agg(F.sum(F.col("rate") * F.col("n_tokens")).alias("t")).collect()}
     assert set(by) <= {"en", "fr", "de"}
     assert {r["n_tokens"] for r in got.where("doc_id in (5, 6, 7)").collect()} == {0}
@@ -177,6 +206,42 @@ def test_mixing_edge_cases(spark, docs, rows, nothing):
     assert {r["rate"] for r in unlabelled.collect()} == {1.0}
 
 
+def least_squares(a, wanted, steps=20_000):
+    """Nonnegative least squares by plain projected gradient steps."""
+    r, rate = np.ones(a.shape[1]), 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(steps):
+        r = np.maximum(0, r - rate * (a.T @ (a @ r - wanted)))
+    return r
+
+
+@pytest.mark.parametrize("case", range(4))
+def test_rates_are_as_good_as_another_solver_s(spark, case):
+    """Also where targets can't be reached: documents of one mixture only, and a domain that no document is sure of."""
+    rng = np.random.default_rng(case)
+    p = [rng.dirichlet([0.3] * 4, 40), np.full((40, 4), 0.25), np.where(np.arange(40)[:, None] % 2, [[0.6, 0.4, 0, 0]], [[0.2, 0.3, 0.4, 0.1]]), rng.dirichlet([3.0] * 4, 40)][case]
+    n = rng.integers(1, 50, 40)
+    rows = spark.createDataFrame([(i, int(n[i]), [float(x) for x in p[i]]) for i in range(40)], "doc_id long, n_tokens long, p array<double>").repartition(2)
+    names = ["a", "b", "c", "d"]
+    steps, reached, wanted = mixing.mix(rows, names, {"a": 0.7, "b": 0.2, "c": 0.05, "d": 0.05}, passes=200)
+    best = (n[:, None] * p).T @ least_squares((n[:, None] * p).T, wanted)
+    scale = wanted.sum()
+    assert np.linalg.norm(reached - wanted) / scale <= np.linalg.norm(best - wanted) / scale + 0.01
+    assert mixing.gap(reached, wanted) >= 0
+
+
+def test_tokens_of_the_packed_tokenizer_are_mixed(spark, tokenizers):
+    from tokenizers import Tokenizer
+
+    path = tokenizers("byte_bpe_50k.json")
+    texts = ["two words", "中文没有空格的一句话", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = mixing.mixed(docs, docs.selectExpr("doc_id", "'x' as domain"), tokenizer_path=path).collect()
+    t = Tokenizer.from_file(path)
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    again = docs.selectExpr("doc_id", "'y' as domain").unionByName(docs.selectExpr("doc_id", "'x' as domain"))
+    assert {r["domain"] for r in mixing.mixed(docs, again).collect()} == {"x"}
+
+
 def test_rare_domains_are_learnt(spark):
     rows = [(i, "common words here and there", "big") for i in range(3000)] + [(5000 + i, "odd strange things", "rare") for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, domain string").repartition(3)
@@ -220,6 +285,40 @@ def test_payloads_come_back(spark):
     assert {r["page_id"] for r in warc.read(spark, path).where("payload is null").collect()} == {3, 5, 7}
 
 
+def test_each_record_is_a_member_of_a_rolled_archive(spark, monkeypatch, tmp_path):
+    import gzip
+
+    monkeypatch.setattr(warc, "ROLL", 2_000)
+    many = spark.createDataFrame([(i, f"u{i}", f"<p>{i % 40}</p>" * (1 + i % 3)) for i in range(300)], "page_id long, url string, html string").repartition(2)
+    warc.archive(many, f"file://{tmp_path}/a")
+    files = sorted(tmp_path.rglob("*.warc.gz"))
+    assert len(files) > 10 and not list(tmp_path.rglob("*.txt"))
+    n = 0
+    for f in files:
+        data = f.read_bytes()
+        assert len(data) <= 2_600
+        parts = list(warc.members(data))
+        assert gzip.decompress(data) == b"".join(parts)  # another library reads the whole
+        assert all(p.startswith(b"WARC/1.1") and len(list(warc.parse(p))) == 1 for p in parts)
+        n += len(parts)
+    assert n == 300
+    with pytest.raises((ValueError, Exception)):
+        list(warc.members(files[0].read_bytes()[:-9]))
+
+
+def test_large_records_and_hot_digests(spark, monkeypatch):
+    data = warc.record(1, "u", 17 << 20, "x", b"a" * (17 << 20), None)
+    packed = warc.member(data)
+    assert packed[-1] != 0 and list(warc.members(packed + b"\0" + warc.member(b"next"))) == [data, b"next"]
+    monkeypatch.setattr(warc, "HOT", (2, 0.0))
+    rows = [(i, "d" if i % 2 else f"d{i // 6}", 9) for i in range(40)] + [(None, "d", 9)]
+    got = {tuple(r) for r in warc.resolve(spark.createDataFrame(rows, "page_id long, payload_digest string, payload_bytes long")).collect()}
+    least = {}
+    for i, d, _ in rows[:-1]:
+        least[d] = min(i, least.get(d, i))
+    assert got == {(i, d, least[d]) for i, d, _ in rows[:-1] if i != least[d]}
+
+
 def test_a_damaged_archive_is_noticed():
     good = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Target-URI: u\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: 21\r\n\r\nContent-Length: 1\r\n\r\na\r\n\r\n"
     own = warc.digest(b"a").encode()

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,13 +58,72 @@ def test_toxicity_edge_cases(docs, rows, nothing, speech):
     assert toxicity.score(docs, model, keep=["text", "kept"]).where("doc_id = 3").select("kept.*").first()["kept"] == "x"
 
 
-def test_models_give_probabilities():
-    import numpy as np
-
-    texts = [["a", "b", "c"], ["a", "c"], ["b", "a", "a"]] * 4
-    m = toxicity.Model.of(texts, [["d", "a"], ["d", "c"]] * 4)
-    assert np.isfinite(m.single).all() and np.isfinite(m.ratios).all() and np.isfinite(m.after).all()
-    assert min(m.single[m.ids["b"]], m.single[m.ids["a"]]) > m.single[m.ids["d"]]
+def counted_plainly(rows, texts):
+    """Counts of (text, label, fold) and of all texts, as their definitions say."""
+    n = len(rows)
+    texts_of = {}
+    for t, _, _ in rows:
+        for w in set(toxicity.words(t)) | {w[-2:] + "$" for w in toxicity.words(t)}:
+            texts_of[w] = texts_of.get(w, 0) + 1
+    ids = {w: i for i, w in enumerate(sorted(w for w, k in texts_of.items() if k >= toxicity.least(toxicity.LEAST_WORD, n)), 1)}
+    number = lambda t: [0] + [ids.get(w) or ids.get(w[-2:] + "$", 0) for w in toxicity.words(t)]
+    pairs = lambda t: list(zip(number(t), number(t)[1:]))
+    return ids, pairs
+
+
+def plain_ratio(rows, texts, pair, fold, ids, pairs):
+    """The difference of the log-likelihoods of ``pair``, from the formulas of interpolated Kneser-Ney."""
+    v, logs = len(ids) + 1, []
+    everything = {p for t in texts for p in pairs(t)}
+    held = {}
+    for t, _, _ in rows:
+        for p in set(pairs(t)):
+            held[p] = held.get(p, 0) + 1
+    own = {p for p, k in held.items() if k >= toxicity.least(toxicity.LEAST_PAIR, len(rows))}
+    follows = lambda w: len({a for a, b in everything if b == w})
+    for y in (0, 1):
+        n = {}
+        for t, label, f in rows:
+            if label == y and f != fold:
+                for p in pairs(t):
+                    n[p] = n.get(p, 0) + 1
+        before = {}
+        for _, b in n:
+            before[b] = before.get(b, 0) + 1
+        count = lambda d, k: sum(x == k for x in d.values())
+        low_d = count(before, 1) / (count(before, 1) + 2 * count(before, 2)) if count(before, 1) else 0.5
+        d = count(n, 1) / (count(n, 1) + 2 * count(n, 2)) if count(n, 1) else 0.5
+        shared = (follows(pair[1]) + 1) / (len(everything) + v)
+        lower = max(before.get(pair[1], 0) - low_d, 0) / sum(before.values()) + sum(min(x, low_d) for x in before.values()) / sum(before.values()) * shared
+        total = sum(k for (a, _), k in n.items() if a == pair[0])
+        direct = lambda p: max(n.get(p, 0) - d, 0) / max(total, 1) if p in own else 0.0
+        left = max(1 - sum(direct((pair[0], b)) for b in {b for a, b in own if a == pair[0]}), 1e-3)
+        logs.append(np.log(direct(pair) + left * lower))
+    return logs[1] - logs[0]
+
+
+def test_models_are_those_of_the_formulas(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_PAIR", (4, 0.0))
+    monkeypatch.setattr(toxicity, "HELD", 40)
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choice("ab cab bad dab add bed rare%d cab ab" % i).replace(" ", "") + rng.choice(["", "ab"]) for _ in range(rng.randint(0, 14))), i % 2, i % toxicity.FOLDS) for i in range(60)]
+    texts = [t for t, _, _ in rows] + ["bad cab neverlabelled", "", "ab ab ab"]
+    got = toxicity.count(spark.createDataFrame(rows, "text string, y int, fold int").repartition(3), spark.createDataFrame([(t,) for t in texts], "text string").repartition(2))
+    ids, pairs = counted_plainly(rows, texts)
+    assert got.ids == ids and len(got.pairs)
+    for fold in (None, 0, 3):
+        model = toxicity.Model.of(got, fold)
+        for t in (rows[3][0], rows[10][0], "bad cab neverlabelled ab ab"):
+            want = [plain_ratio(rows, texts, p, fold, ids, pairs) for p in pairs(t)]
+            assert np.allclose(model.differences(toxicity.words(t)), want, atol=1e-4)
+
+
+def test_one_of_several_labels(spark, speech):
+    """The larger label of an id counts, and ids without one are nobody's."""
+    labels = speech.select("doc_id", "toxic")
+    more = labels.unionByName(labels.where("toxic = 1").withColumn("toxic", F.lit(0))).unionByName(spark.createDataFrame([(None, 1), (3, None), (4, 7)], labels.schema))
+    a, b = (toxicity.train(speech.select("doc_id", "text"), x) for x in (labels, more))
+    assert a.ids == b.ids and a.scale == b.scale and (a.single == b.single).all()
 
 
 # ---- fingerprints ----
@@ -86,6 +147,15 @@ def test_fingerprints_of_all_rows(docs, rows, nothing):
     assert fingerprint.fingerprints(docs.where("doc_id = 3").limit(1)).first()["near_next"] == 1.0
 
 
+def test_ranges_are_dealt_one_to_a_partition(spark):
+    df = spark.createDataFrame([(i, f"text {i}. More of it.") for i in range(800)], "doc_id long, text string").repartition(4)
+    out = fingerprint.fingerprints(df)
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) <= 2.5 * 800 / len(sizes)
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert len(rows) == 800 and rows[799]["near_next"] == fingerprint.likeness(fingerprint.digests("text 799. More of it."), fingerprint.digests("text 0. More of it."))
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 40, 700])
 def test_differences_are_recovered(n):
     rng = random.Random(n)
@@ -133,6 +203,45 @@ def test_filters_lose_no_ngram_and_count_corrections():
     assert many.masks.dtype == "uint64" and many.predict("otherc")[0] == "l02"
 
 
+def test_more_languages_than_a_word_has_bits():
+    rng = random.Random(3)
+    words = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for i in range(150)}
+    filters = langid.Filters.of({k: [" ".join(rng.choice(v) for _ in range(60)) for _ in range(3)] for k, v in words.items()})
+    assert filters.masks.shape[1] == 3
+    assert all(filters.predict(" ".join(rng.choice(v) for _ in range(30)))[0] == k for k, v in words.items())
+
+
+def test_languages_as_plain_sets_of_ngrams_tell_them(docs, rows):
+    """Filters give what sets of n-grams, made from the same texts by plain means, give, wherever the sets tell two languages apart."""
+    def grams(text):
+        out = " "
+        for c in text.lower() + " ":
+            out += c if c.isalpha() else "" if out[-1] == " " else " "
+        return [out[i : i + langid.GRAM] for i in range(len(out) - langid.GRAM + 1)]
+
+    shares = {}
+    for lang in ("en", "fr", "de"):
+        n = {}
+        for t in [r[1] for r in rows if r[2] == lang and r[1] and not held(r[0])]:
+            for g in grams(t):
+                n[g] = n.get(g, 0) + 1
+        shares[lang] = {g: k / sum(n.values()) for g, k in n.items()}
+    most = {}
+    for own in shares.values():
+        for g, x in own.items():
+            most[g] = max(x, most.get(g, 0))
+    sets = {k: {g for g, x in own.items() if x >= langid.LEAST_SHARE and x >= langid.LEAST_PART * most[g]} for k, own in shares.items()}
+    got = {(r["doc_id"], r["lang_pred"]) for r in langid.identify(docs, langid.train(docs)).collect()}
+    checked = 0
+    for doc, text, *_ in rows:
+        if text and any(map(str.isalpha, text)) and len(grams(text)) > 20:
+            hits = sorted(((sum(g in s for g in grams(text)), k) for k, s in sets.items()), reverse=True)
+            if hits[0][0] > 1.1 * hits[1][0]:
+                checked += 1
+                assert (doc, hits[0][1]) in got
+    assert checked > 30
+
+
 # ---- tokens ----
 
 
@@ -208,30 +317,9 @@ def test_held_out_is_never_learnt(speech):
 
 def test_all_labelled_texts_are_counted(spark, speech):
     rows = speech.unionByName(spark.createDataFrame([(i, "quux corge grault", 0) for i in range(1000, 1200)] + [(2000 + i, "quux unlabelled", None) for i in range(40)], "doc_id long, text string, toxic int"))
-    labels = speech.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in rows.select("doc_id", "toxic").where("toxic is not null").collect()], "doc_id long, toxic int")
-    got = toxicity.count(rows.where("doc_id < 2000").select(F.col("doc_id").alias("id"), "text", F.col("toxic").alias("y")))
-    want = toxicity.Counts.of(*([toxicity.words(r["text"]) for r in rows.where(F.col("toxic") == y).collect()] for y in (1, 0)))
-    assert got.ids == want.ids and all((getattr(got, k) == getattr(want, k)).all() for k in ("texts_of", "keys", "toxic", "ordinary", "other", "follows"))
+    labels = rows.select("doc_id", "toxic").where("toxic is not null")
     model = toxicity.train(rows.select("doc_id", "text"), labels, sample=10)
-    assert {"quux", "corge", "zonk", "blarg", "fnord"} <= set(model.ids)
-    every = toxicity.count(rows.select(F.col("doc_id").alias("id"), "text", F.col("toxic").alias("y")))
-    assert every.follows.sum() > got.follows.sum()
-
-
-def test_counts_without_some_texts():
-    import numpy as np
-
-    toxic, ordinary = [["a", "b", "c"], ["a", "c"], ["b", "a", "rareone"]] * 2, [["d", "a"], ["d", "c"], ["rareone", "d"]] * 2
-    left = toxicity.Counts.of(toxic, ordinary).without(toxic[:1] + toxic[2:3], ordinary[2:3])
-    want = toxicity.Counts.of(toxic[1:2] + toxic[3:], ordinary[:2] + ordinary[3:])
-    assert set(left.ids) == set(want.ids) and "rareone" not in left.ids
-    names = lambda n: {i: w for w, i in n.ids.items()} | {0: ""}
-
-    def pairs(n):
-        v = len(n.texts_of)
-        return {(names(n)[k // v], names(n)[k % v]): (t, o) for k, t, o in zip(n.keys.tolist(), n.toxic.tolist(), n.ordinary.tolist())}
-
-    assert pairs(left) == pairs(want) and np.isfinite(toxicity.Model.from_counts(left).ratios).all()
+    assert {"quux", "corge", "zonk", "blarg", "fnord"} <= set(model.ids) and "unlabelled" not in model.ids
 
 
 def scanned(spark, texts):
@@ -258,3 +346,59 @@ def test_several_notices_in_a_line(spark):
     texts = [f"{mit} {apache}", f"{filler}{mit} {filler}{gpl} {filler}{nc}", f"{mit} {filler}{mit}", f"{mit}\n{mit}", "This work is licensed under the GNU Lesser General Public License version 3", *(t for f, ts in sorted(licences.TEMPLATES.items()) for t in ts)]
     want = [(2, "apache-2.0,mit"), (3, "cc-by-nc-4.0,gpl-3.0,mit"), (2, "mit"), (2, "mit"), (1, "lgpl-3.0"), *((1, f) for f, ts in sorted(licences.TEMPLATES.items()) for _ in ts)]
     assert scanned(spark, texts) == want
+
+
+def plainly_scanned(text, scanner):
+    """Notices of a text by the rules that the module states, in plain Python: (family, score) in order."""
+    found = re.compile(r"(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, licences.anchors())) + ")(?![a-z0-9])")
+    templates = [[set(licences.grams(licences.terms(t))) for t in licences.TEMPLATES[f]] for f in scanner.families]
+    marks = [{g for t in ts for g in t if not (licences.PLAIN | licences._STOP) & set(g.split())} for ts in templates]
+
+    def judged(words):
+        g = set(licences.grams(words))
+        z = np.round(scanner.bias, 4) + sum((np.round(scanner.weights[i], 4) for i, k in enumerate(scanner.known) if k in g), np.zeros(len(scanner.families)))
+        power = np.exp(scanner.scale * np.minimum(z, 200))
+        sure = [i for i, ts in enumerate(templates) if any(len(t & g) >= licences.CONTAINED * len(t) for t in ts)]
+        rank = lambda i: (-len(marks[i] & g), -power[i], i)
+        kept = [i for i in sure if not (better := [j for j in sure if rank(j) < rank(i)]) or (marks[i] & g) - set().union(*(t for j in better for t in templates[j]))]
+        rivals = 1 + sum(power[i] for i in range(len(power)) if i not in kept)
+        return [(scanner.families[i], power[i] / (power[i] + rivals)) for i in kept if power[i] >= licences.LEAST * (power[i] + 1)]
+
+    def in_windows(words):
+        starts = range(0, max(1, -(-(len(words) - licences.WINDOW) // licences.STEP) + 1), 1)
+        each = [judged(w) if found.search(" ".join(w)) else [] for w in (words[i * licences.STEP : i * licences.STEP + licences.WINDOW] for i in starts)]
+        return [n for i, own in enumerate(each) for n in own if not i or n[0] not in {f for f, _ in each[i - 1]}]
+
+    out = []
+    for p in re.split(r"\n(?:[\W_]*\n)+", text or ""):
+        if found.search(p):
+            one = [n for line in p.split("\n") if found.search(line) for n in in_windows(licences.terms(line))]
+            both = in_windows(licences.terms(p)) if "\n" in p else []
+            times = lambda among, f: sum(x[0] == f for x in among)
+            out += one if "\n" not in p else [n for n in one if times(one, n[0]) >= times(both, n[0])] + [n for n in both if times(both, n[0]) > times(one, n[0])]
+    return out
+
+
+def test_all_notices_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scanner = licences.train(licences.paragraph_sample(docs))
+    more = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate([f"{NOTICES['mit']} {NOTICES['apache-2.0']}\nor\n{NOTICES['mit']}\n\n{NOTICES['gpl-3.0']}", "Licensed under the Apache\nLicense, Version 2.0\n--\nLicensed"])], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(more)
+    got = {r["doc_id"]: r for r in licences.scan(rows, scanner).collect()}
+    some = 0
+    for r in rows.collect():
+        want, have = plainly_scanned(r["text"], scanner), got[r["doc_id"]]
+        some += bool(want)
+        assert have["n_notices"] == len(want) and have["families"] == ",".join(sorted({f for f, _ in want})), r["text"]
+        assert have["score"] == pytest.approx(max((x for _, x in want), default=0.0), abs=1e-6)
+        if want:
+            assert have["family"] == next(f for f, x in want if x == max(y for _, y in want))
+    assert some > 3
+
+
+def test_ordinary_text_is_sampled_whole(spark):
+    docs = spark.createDataFrame([(i, "\n".join(f"w{i} v{j}" for j in range(200))) for i in range(50)] + [(90, None), (91, ""), (92, "short one")], "doc_id long, text string")
+    got = licences.paragraph_sample(docs, most=1000)
+    assert "short one" in got and {len(x.split()) for x in got} == {0, 2, licences.WINDOW}
+    assert len({x.split()[1] for x in got if len(x.split()) > 2}) > 20  # not all from where a text begins
+    assert len(licences.paragraph_sample(docs, most=10)) < 30
