@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from readloom.llm.common import partitions, record_batch, small_batches
+from readloom.llm.common import partitions, record_batch, small_batches, tidy
 
 CELLS = 24
 ROWS = 3
@@ -167,21 +167,25 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     The next document is that with the next larger id; equal ids go by their texts, null ids come first, and the first
     document follows the last.  A null text is empty.  A single document follows itself; an empty table gives no rows.
 
-    Documents are dealt over ranges of ids.  The first document of a range is also sent, as an end mark, to the range
-    before it, so no order over all rows in one place is needed.
+    Documents are dealt over ranges of ids, a range a partition.  The first document of a range is also sent, as an end
+    mark, to the range before it, so no order over all rows in one place is needed.
     """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))
     cuts = np.unique(np.array(rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n), np.float64).astype(np.int64)) if n > 1 else np.empty(0, np.int64)
 
+    # Ranges go by numbers of which the shuffle's hash deals one to each partition.
+    found = spark.range(0, 64 * n, numPartitions=1).select(F.col("id").cast("int").alias("x")).groupBy(F.pmod(F.hash("x"), F.lit(n)).alias("p")).agg(F.min("x").alias("x")).collect()
+    numbers = np.array(sorted(r["x"] for r in found) if len(found) == n else range(n), np.int32)
+
     @F.pandas_udf(IntegerType())
     def bucket_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(), side="right").astype(np.int32))
+        return pd.Series(numbers[np.searchsorted(cuts, k.to_numpy(), side="right")])
 
-    firsts = sorted(tuple(r) for r in rows.select("k", bucket_of("k").alias("bucket")).groupBy("bucket").agg(F.min("k")).collect())  # a row a range
-    marks = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
+    firsts = sorted(tuple(r) for r in rows.select("k", bucket_of("k").alias("bucket")).groupBy("bucket").agg(F.min("k").alias("k")).select("k", "bucket").collect())  # a row a range
+    marks = [(k, firsts[i - 1][1]) for i, (k, _) in enumerate(firsts)]
     ends = rows.join(F.broadcast(spark.createDataFrame(marks or [(0, 0)], "k long, bucket int").limit(len(marks))), "k")
     both = rows.withColumn("bucket", bucket_of("k")).withColumn("ends", F.lit(False)).unionByName(ends.withColumn("ends", F.lit(True)))
     dealt = both.repartition(n, "bucket").sortWithinPartitions("bucket", "ends", "k", "text")
-    return dealt.select("bucket", "ends", "doc_id", "text").mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.select("bucket", "ends", "doc_id", "text").mapInArrow(tidy(_compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
