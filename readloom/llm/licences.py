@@ -44,7 +44,7 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 #: Part of a template's n-grams that a paragraph has to hold; probability that a family has to reach.
 CONTAINED, LEAST = 0.7, 0.5
-#: Paragraphs of the corpus that teach ordinary text, at most; variants of a template to learn from.
+#: Windows of the corpus that teach ordinary text, at most about: one of each of the texts with the smallest hashes; variants of a template to learn from.
 BACKGROUND, VARIANTS = 400, 30
 #: Words of a window and from one to the next: with no more than the difference, a notice falls into one window whole.
 WINDOW, STEP = 48, 24
@@ -102,7 +102,7 @@ def train(paragraphs: list[str], seed: int = 5) -> Scanner:
     """
     rng = random.Random(seed)
     families = sorted(TEMPLATES)
-    ordinary = [terms(p)[:60] for p in paragraphs if not re.search("|".join(anchors()), p.lower())] or [["some", "ordinary", "words"]]
+    ordinary = [terms(p) for p in paragraphs if not re.search("|".join(anchors()), p.lower())] or [["some", "ordinary", "words"]]
     rows: list[tuple[list[str], int]] = []
     for i, family in enumerate(families):
         for t in TEMPLATES[family]:
@@ -138,9 +138,13 @@ def train(paragraphs: list[str], seed: int = 5) -> Scanner:
 
 
 def paragraph_sample(docs: DataFrame, text_col: str = "text", most: int = BACKGROUND) -> list[str]:
-    """At most ``most`` texts' first paragraphs, those with the smallest hashes."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.substring_index(F.substring(F.col(text_col).cast("string"), 1, 400), "\n", 1).alias("p"))
-    return [r["p"] for r in rows.orderBy(F.xxhash64("p"), "p").limit(most).collect()]
+    """A window of words, at a place drawn by hash, of about ``most`` texts, those with the smallest hashes; all of a shorter text."""
+    text = F.col(text_col).cast("string")
+    rows = docs.where(text.isNotNull()).select(text.alias("text"), F.xxhash64(text).alias("h"))
+    share = int(min(1.0, most / max(1, rows.count())) * (1 << 30))
+    words = rows.where(F.pmod("h", F.lit(1 << 30)) <= share).select("h", F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)).alias("w"))
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.size("w") - WINDOW, F.lit(0)) + 1).cast("int")
+    return sorted(r["p"] for r in words.select(F.array_join(F.slice("w", start + 1, WINDOW), " ").alias("p")).distinct().collect())
 
 
 def scan(docs: DataFrame, scanner: Scanner, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
