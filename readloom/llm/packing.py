@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import each_batch, small_batches, table
+from readloom.llm.common import drop, each_batch, small_batches, table
 from readloom.llm.tokens import byte_letters
 
 #: Pieces to a group, on average.  More pieces leave less slack to a group; a group has to fit a task.
@@ -57,7 +57,7 @@ class ByteEncoder:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32``: the ids of each text and then ``end_id``, in pieces of at most ``size``; of a longer text the first piece takes what is left over."""
+    """``doc_id, piece, start, length, ids_crc32``: the ids of each text and then ``end_id``, in pieces of at most ``size``; of a longer text the first piece takes what is left over.  A null text is empty: its piece is ``end_id`` alone.  A repeated row is cut again."""
     small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # as large as the vocabulary
@@ -142,18 +142,20 @@ def _run(size: int):
 
 
 def pack(parts: DataFrame, *, size: int = 2048, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to the rows of :func:`pieces`.
+    """Adds ``sequence_id``, ``offset`` and ``certified`` to the rows of :func:`pieces`.
 
     Repeated rows are packed as often as they occur; an empty table gives no rows.  After ``rounds`` exchanges a gap that
-    is left stays: the packing is then not proven to be the smallest.
+    is left stays: rows of groups that aren't proven to be in as few bins as can be aren't ``certified``.
     """
     parts = table(parts, "pieces")
+    spent = [parts]
     total = parts.count()
     groups = max(1, round(total / group))
     key = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).cast("long")
     if groups > 1:  # equal rows, were there very many of them, would meet in a group: deal them apart
         key = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long")
     open_, closed = table(parts.withColumn("grp", key).groupBy("grp").applyInPandas(_run(size), _PACKED), "packed"), []
+    spent.append(open_)
     for turn in range(1, rounds + 1):
         closed.append(open_.where("bins <= least"))
         open_ = open_.where("bins > least")
@@ -163,7 +165,11 @@ def pack(parts: DataFrame, *, size: int = 2048, group: int = GROUP, rounds: int
         # Each exchange deals the groups with a gap over half as many pools, otherwise each time; a row tells its group's gap itself.
         pool = F.pmod(F.xxhash64("grp", F.lit(turn)), F.lit(n // 2)) + F.lit(turn << 40)
         open_ = table(open_.withColumn("pool", pool).groupBy("pool").applyInPandas(_run(size), _PACKED), "packed")
+        spent.append(open_)
     done = open_
     for x in closed:
         done = done.unionByName(x)
-    return done.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("grp") * F.lit(1 << 20) + F.col("bin")).alias("sequence_id"), "offset")
+    sequence = (F.col("grp") * F.lit(1 << 20) + F.col("bin")).alias("sequence_id")
+    out = table(done.select("doc_id", "piece", "start", "length", "ids_crc32", sequence, "offset", (F.col("bins") <= F.col("least")).alias("certified")), "sequences")
+    drop(*spent)
+    return out
