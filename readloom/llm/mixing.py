@@ -11,7 +11,6 @@ Tokens are those of a tokenizers file, as the corpus is packed by it; without on
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,34 +22,29 @@ from pyspark.sql import functions as F
 from readloom.llm.common import drop, each_batch, kept_as, record_batch, small_batches, table, tidy
 from readloom.llm.packing import ByteEncoder
 
-#: Labelled texts to learn from at most, and of a domain at least; buckets of hashed words; passes at most and the relative error that ends them.
+#: Labelled texts to learn from at most, and of a domain at least; buckets of hashed runs of characters; passes at most and the relative error that ends them.
 SAMPLE, FEWEST, BUCKETS = 4_000, 20, 1 << 11
 PASSES, CLOSE = 40, 1e-4
 #: Parts of the direct step that a pass tries.
 PARTS = (1.0, 0.5, 0.2, 0.05)
-SHAPES = 6
-
-
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        n = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
-        return n
-
-
-_words = _Words()
+GRAM, SHAPES = 3, 6
 
 
 def features(text: str | None) -> np.ndarray:
-    """Square roots of the shares of hashed words, shares of kinds of characters and of repeated words and lines."""
+    """Square roots of the shares of hashed runs of GRAM characters, shares of kinds of characters and of repeated words and lines."""
     text = text or ""
-    words = text.lower().split()
     out = np.zeros(BUCKETS + SHAPES)
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) >= GRAM:
+        n = len(points) - GRAM + 1
+        with np.errstate(over="ignore"):
+            h = points[:n] * np.uint32(0x9E3779B1)
+            for i in range(1, GRAM):
+                h = (h ^ points[i : n + i]) * np.uint32(0x85EBCA6B)
+        out[:BUCKETS] = np.sqrt(np.bincount(h >> np.uint32(32 - BUCKETS.bit_length() + 1), minlength=BUCKETS) / n)
+    words = text.split()
     if words:
-        out[:BUCKETS] = np.sqrt(np.bincount([_words[w] for w in words], minlength=BUCKETS) / len(words))
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        few = np.bincount(np.minimum(points, 127), minlength=128) / len(points)
+        few = np.bincount(np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 127), minlength=128) / len(text)
         lines = text.split("\n")
         out[BUCKETS:] = few[65:91].sum(), few[48:58].sum(), few[33:48].sum() + few[58:65].sum() + few[91:97].sum() + few[123:127].sum(), few[127], 1 - len(set(words)) / len(words), 1 - len(set(lines)) / len(lines)
     return out
