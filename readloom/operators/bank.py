@@ -7,6 +7,7 @@ The results are those of :mod:`readloom.operators.search`, which also does what
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -15,6 +16,8 @@ from readloom.operators.search import Hit, disjoint, find_all
 #: Pairs that take a step at once.
 CHUNK = 1 << 17
 FAR = np.int16(1 << 14)
+#: So many patterns are found by pieces that stand in a text as they are, if pieces are so long at least.
+MANY, SEED = 256, 4
 
 
 class Texts:
@@ -48,6 +51,7 @@ class Bank:
         for p, text in enumerate(patterns):
             for i, c in enumerate(text):
                 self.masks[p, self.letters.index(c) + 1] |= self.word(1 << i)
+        self.numbers = np.array([[self.letters.index(c) + 1 for c in x] for x in patterns], np.uint8)
 
     def scores(self, codes: np.ndarray, masks: np.ndarray | None = None) -> Iterator[np.ndarray]:
         """After each letter, the least distance of a pattern to a part that ends there: of all patterns (rows) in all texts, or with ``masks``, a row a text, of one each."""
@@ -104,7 +108,7 @@ class Bank:
         if not len(some):
             return out
         p, t, e, d = pattern[some], text[some], end[some], distance[some]
-        letters = np.array([[self.letters.index(c) + 1 for c in x[::-1]] for x in self.patterns], np.uint8)[p]
+        letters = self.numbers[p, ::-1]
         row = np.repeat(np.arange(self.m + 1, dtype=np.int16)[:, None], len(some), axis=1)
         best, span = np.full(len(some), FAR, np.int64), np.zeros(len(some), np.int64)
         hit = row[self.m] == d
@@ -123,11 +127,70 @@ class Bank:
         return out
 
 
+@lru_cache(maxsize=16)
+def bank_of(patterns: tuple[str, ...]) -> Bank:
+    """Banks are made once for the batches that use them."""
+    return Bank(list(patterns))
+
+
+def exact_pairs(codes: np.ndarray, at: int, pieces: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where pieces of patterns (a row a pattern, of letters as numbers) stand in texts: pattern, text and place of each, texts numbered from ``at``."""
+    n = pieces.shape[1]
+    if len(codes) < n:
+        return (np.empty(0, np.int64),) * 3
+    weights = np.int64(base) ** np.arange(n, dtype=np.int64)
+    keys = pieces.astype(np.int64) @ weights
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    windows = np.zeros((len(codes) - n + 1, codes.shape[1]), np.int64)
+    for i in range(n):
+        windows += codes[i : len(codes) - n + 1 + i] * weights[i]
+    first, last = np.searchsorted(keys, windows, "left"), np.searchsorted(keys, windows, "right")
+    place, text = np.nonzero(last > first)
+    lo, times = first[place, text], (last - first)[place, text]
+    which = np.repeat(lo - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+    return order[which], np.repeat(text, times) + at, np.repeat(place, times)
+
+
+def _pieces(bank: Bank, texts: Texts, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`exact_pairs` of the letters ``lo`` to ``hi`` of all patterns, some texts at a time."""
+    step = max(1, CHUNK // max(1, len(texts.codes)))
+    for at in range(0, len(texts.texts), step):
+        yield exact_pairs(texts.codes[:, at : at + step], at, bank.numbers[:, lo:hi], len(bank.letters) + 1)
+
+
+def exact_hits(patterns: list[str], texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    """For each text (pattern, start, end) of all hits without edits, disjoint for each pattern, by pattern and place; the cost hardly depends on how many patterns there are."""
+    bank = bank_of(tuple(patterns))
+    held = Texts(texts, bank.letters)
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for pattern, text, place in _pieces(bank, held, 0, bank.m):
+        order = np.lexsort((place, pattern, text))
+        last, until = None, 0
+        for p, t, s in zip(pattern[order].tolist(), text[order].tolist(), place[order].tolist()):
+            if (p, t) != last:
+                last, until = (p, t), 0
+            if s >= until:
+                out[t].append((p, s, s + bank.m))
+                until = s + bank.m
+    return out
+
+
+def seeded(bank: Bank, texts: Texts, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (text, pattern), in order, that may be within ``most`` edits: of ``most + 1`` pieces of the pattern one stands in the text as it is."""
+    cuts = [bank.m * i // (most + 1) for i in range(most + 2)]
+    found = [np.empty(0, np.int64)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        found += [np.unique(text * len(bank.patterns) + pattern) for pattern, text, _ in _pieces(bank, texts, lo, hi)]
+    pairs = np.unique(np.concatenate(found))
+    return pairs // len(bank.patterns), pairs % len(bank.patterns)
+
+
 def find_all_in(pattern: str, texts: list[str], most: int) -> list[list[Hit]]:
     """:func:`search.find_all` of one pattern in each text."""
     if most <= 0 or not fits([pattern]) or not texts:
         return [find_all(pattern, t, most) for t in texts]
-    bank = Bank([pattern])
+    bank = bank_of((pattern,))
     held = Texts(texts, bank.letters)
     n = len(texts)
     at, end, distance = bank.ends(held, np.zeros(n, np.int64), np.arange(n), np.full(n, most))
@@ -140,12 +203,20 @@ def find_all_in(pattern: str, texts: list[str], most: int) -> list[list[Hit]]:
 
 def best_hits(patterns: list[str], texts: list[str], most: int) -> list[list[tuple[int, int, int, int]]]:
     """For each text the hits with fewest edits of any pattern, ``most`` at most: (pattern, start, end, distance), disjoint for each pattern, by pattern and place."""
-    bank = Bank(patterns)
+    bank = bank_of(tuple(patterns))
     held = Texts(texts, bank.letters)
-    near = bank.least(held, most)
-    least = near.min(axis=0, initial=FAR)
-    t, p = np.nonzero((near == least[None, :]).T & (least <= most)[:, None])  # by text, then pattern
-    pair, end, distance = bank.ends(held, p, t, least[t])
+    if len(patterns) >= MANY and bank.m // (most + 1) >= SEED:
+        t, p = seeded(bank, held, most)
+        pair, end, distance = bank.ends(held, p, t, np.full(len(p), most))
+        least = np.full(len(texts), FAR, np.int64)
+        np.minimum.at(least, t[pair], distance)
+        best = distance == least[t[pair]]
+        pair, end, distance = pair[best], end[best], distance[best]
+    else:
+        near = bank.least(held, most)
+        least = near.min(axis=0, initial=FAR)
+        t, p = np.nonzero((near == least[None, :]).T & (least <= most)[:, None])  # by text, then pattern
+        pair, end, distance = bank.ends(held, p, t, least[t])
     start = bank.starts(held, p[pair], t[pair], end, distance)
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     last, until = -1, 0

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.operators.bank import best_hits, disjoint_in, fits
+from readloom.operators.bank import best_hits, disjoint_in, exact_hits, fits
 from readloom.operators.search import Hit, allowed_edits, edit_distance, find_disjoint
 from readloom.plans import native
 from readloom.plans.regions import Let, MatchPlan, Restrict
@@ -16,6 +16,9 @@ WORLD = "array<struct<dist:int,locs:array<int>,ctx:array<int>>>"
 #: Match modes by their names on the command line: every world; the first of the best; the best if no other is as good.
 MODES = ("all", "all-best", "one-best")
 
+#: From so many strings on, hits without edits are sought for all strings at once.
+SEVERAL = 16
+
 World = tuple[int, dict[int, int], tuple[int, ...]]
 
 
@@ -71,22 +74,36 @@ def searched_together(op: Restrict, seqs: list[str], worlds: list[tuple[int, Wor
     allowed; windows with a hit without edits need no such search.
     """
     out: list[Found] = []
-    slow: dict[tuple[int, ...], list[int]] = {}
-    given: dict[tuple[int, ...], list] = {}
+    together: dict[tuple[int, ...], list[int]] = {}
+    given: dict[tuple[int, ...], tuple[list, bool]] = {}
     for i, (dist, locs, ctx) in worlds:
-        choices = given[ctx] = given.get(ctx) or choices_of(op, ctx)
-        texts = [t for t, _ in choices]
-        k = allowed_edits(len(texts[0]), op.term.rate) if texts else 0
-        if k <= 0 or not open_window(op) or not fits(texts):
+        if ctx not in given:
+            choices = choices_of(op, ctx)
+            texts = [t for t, _ in choices]
+            given[ctx] = choices, open_window(op) and fits(texts) and (len(texts) >= SEVERAL or allowed_edits(len(texts[0]), op.term.rate) > 0)
+        choices, many = given[ctx]
+        if many and 0 <= locs[op.lo] <= locs[op.hi] <= len(seqs[i]):
+            together.setdefault(ctx, []).append(len(out))
+            out.append([])
+        else:
             out.append(searched(op, seqs[i], locs, choices))
-            continue
-        lo, hi = locs[op.lo], locs[op.hi]
-        exact = [(d, s, e, b) for text, b in choices for s, e, d in hits_of(op, text, seqs[i], locs, True)] if 0 <= lo <= hi <= len(seqs[i]) else []
-        if not exact:
-            slow.setdefault(ctx, []).append(len(out))
-        out.append(exact)
+    slow: dict[tuple[int, ...], list[int]] = {}
+    for ctx, places in together.items():
+        choices = given[ctx][0]
+        texts = [t for t, _ in choices]
+        if len(texts) >= SEVERAL:
+            windows = [seqs[worlds[p][0]][worlds[p][1][1][op.lo] : worlds[p][1][1][op.hi]] for p in places]
+            for p, hits in zip(places, exact_hits(texts, windows)):
+                lo = worlds[p][1][1][op.lo]
+                out[p] = [(0, s + lo, e + lo, choices[c][1]) for c, s, e in hits]
+        else:
+            for p in places:
+                i, (_, locs, _) = worlds[p]
+                out[p] = [(d, s, e, b) for text, b in choices for s, e, d in hits_of(op, text, seqs[i], locs, True)]
+        if allowed_edits(len(texts[0]), op.term.rate) > 0 and (left := [p for p in places if not out[p]]):
+            slow[ctx] = left
     for ctx, places in slow.items():
-        choices = given[ctx]
+        choices = given[ctx][0]
         k = allowed_edits(len(choices[0][0]), op.term.rate)
         windows = [(worlds[p][1][1][op.lo], seqs[worlds[p][0]][worlds[p][1][1][op.lo] : worlds[p][1][1][op.hi]]) for p in places]
         for p, (lo, _), hits in zip(places, windows, best_hits([t for t, _ in choices], [w for _, w in windows], k)):

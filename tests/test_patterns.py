@@ -134,6 +134,21 @@ def test_a_bank_of_patterns_finds_what_one_search_each_does():
             assert got == sorted(h for h in every if h[3] == min(x[3] for x in every))
 
 
+def test_pieces_find_what_a_search_for_all_patterns_does(monkeypatch):
+    rng = random.Random(4)
+    for m, k in ((12, 2), (16, 1), (10, 0), (9, 1)):
+        patterns = ["".join(rng.choice("ACGT") for _ in range(m)) for _ in range(300)]
+        patterns[7] = patterns[3]
+        texts = ["".join(rng.choice("ACGT") for _ in range(rng.randint(0, 50))) for _ in range(6)] + [patterns[3] + "A" + patterns[5][:4] + "T" + patterns[5][4:] + patterns[3] * 2, "", "A"]
+        got = bank.exact_hits(patterns, texts)
+        assert got == [[(i, s, e) for i, p in enumerate(patterns) for s, e, _ in search.find_disjoint(p, t, 0)] for t in texts]
+        if k:
+            monkeypatch.setattr(bank, "MANY", 256)
+            few = bank.best_hits(patterns, texts, k)
+            monkeypatch.setattr(bank, "MANY", 1 << 30)
+            assert few == bank.best_hits(patterns, texts, k) and few[6]
+
+
 def test_many_reads_at_once_give_each_read_its_worlds():
     rng = random.Random(6)
     codes = tuple(((i,), "".join(rng.choice("ACGT") for _ in range(8))) for i in range(30))
