@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 from typing import TextIO
@@ -86,10 +87,13 @@ def _bam_row(line: str) -> dict:
 def write_files(rows: DataFrame, folder: str, header: str = "", command: str = "") -> None:
     """Write ``rows(filename, order..., body)``, a file a name, in the order of the columns between.
 
-    The rows of a name come to one task, as one file has one writer; it streams them to a hidden file that takes the name
+    A folder with a scheme other than ``file`` is written by :func:`write_anywhere`.  Elsewhere the rows of a name come to one task, as one file has one writer; it streams them to a hidden file that takes the name
     at the end, so a task that is run again leaves no half-written file.  The folder must exist wherever tasks run.  A name
     that would leave it aborts.
     """
+    if "://" in folder and not folder.startswith("file://"):
+        return write_anywhere(rows, folder, header, command)
+    folder = folder.removeprefix("file://")
     if not os.path.isdir(folder):
         raise FileNotFoundError(f"the output folder {folder} doesn't exist")
     order = [c for c in rows.columns if c not in ("filename", "body")]
@@ -115,6 +119,41 @@ def write_files(rows: DataFrame, folder: str, header: str = "", command: str = "
     rows.repartition("filename").sortWithinPartitions("filename", *order).foreachPartition(write)
 
 
+#: Names of files within a folder: no part is empty, ``.`` or ``..``.
+_NAME = r"^(?!.*(?:^|/)\.{0,2}(?:/|$))[^\x00-\x1f]+$"
+
+
+def write_anywhere(rows: DataFrame, folder: str, header: str = "", command: str = "") -> None:
+    """The files of :func:`write_files` on any file system that Spark knows, but for alignments in binary form.
+
+    Spark's writer and its protocol put each name's rows, which one task has, into a part of a hidden folder; the parts then
+    take their names, by a call to the file system each.
+    """
+    spark = rows.sparkSession
+    order = [c for c in rows.columns if c not in ("filename", "body")]
+    bad = ~F.coalesce(F.col("filename").rlike(_NAME), F.lit(False)) | F.lower("filename").endswith(".bam")
+    wrong = F.raise_error(F.concat(F.coalesce(F.col("filename"), F.lit("null")), F.lit(" isn't the name of a file within the output folder, or of one that can be written there"))).cast("string")
+    rows = rows.withColumn("filename", F.when(bad, wrong).otherwise(F.col("filename"))).withColumn("_top", F.lit(1))
+    heads = rows.where(F.col("filename").endswith(".sam")).select("filename").distinct().withColumns({"body": F.lit(program_line(header, command).removesuffix("\n")), "_top": F.lit(0)})
+    parts = f"{folder.rstrip('/')}/.parts-{uuid.uuid4().hex}"
+    every = rows.unionByName(heads, allowMissingColumns=True).repartition("filename").sortWithinPartitions("filename", "_top", *order)
+    every.select("filename", "body").write.partitionBy("filename").text(parts)
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        for held in fs.listStatus(path(parts)):
+            if held.isDirectory():
+                name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(held.getPath().getName().removeprefix("filename="))
+                (part,) = [x.getPath() for x in fs.listStatus(held.getPath()) if x.getPath().getName().startswith("part-")]
+                target = path(f"{folder.rstrip('/')}/{name}")
+                fs.mkdirs(target.getParent())
+                fs.delete(target, False)
+                fs.rename(part, target)
+    finally:
+        fs.delete(path(parts), True)
+
+
 def write_partitioned(rows: DataFrame, folder: str) -> None:
     """The same rows as folders ``filename=...`` of text parts, by any number of tasks and to any file system: for results that outgrow one writer a name."""
     order = [c for c in rows.columns if c not in ("filename", "body")]

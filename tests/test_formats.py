@@ -188,3 +188,30 @@ def test_streams_of_all_text_formats(spark, tmp_path):
     stream = watch.fasta_stream(spark, str(tmp_path / "fa"), 1).select(F.concat("id", F.lit(".txt")).alias("filename"), F.lit(0).alias("_row_id"), F.col("seq").alias("body"))
     watch.route(stream, str(tmp_path / "out-state"), watch.files_of_batches(str(tmp_path / "out"))).awaitTermination()
     assert sorted(p.name for p in (tmp_path / "out").rglob("*.txt")) == ["a.txt", "b.txt", "c.txt"] and len(list((tmp_path / "out").iterdir())) == 2
+
+
+def test_files_by_name_on_any_file_system(spark, tmp_path):
+    """By Spark's writer alone, as where tasks can't open paths; the same files as by path."""
+    rows = [(f"{'sub/' * (i % 2)}x y={i % 3}.txt", i, f"line {i}") for i in range(40)] + [("a.sam", i, f"q{i}\t0\tchr1\t1\t9\t1M\t*\t0\t0\tA\tI") for i in range(3)]
+    df = spark.createDataFrame(rows, "filename string, _row_id long, body string").repartition(3)
+    for folder, write in (("one", lambda f: files.write_files(df, f, SAM[: SAM.index("q1")])), ("two", lambda f: files.write_anywhere(df, f"file://{f}", SAM[: SAM.index("q1")]))):
+        (tmp_path / folder).mkdir()
+        write(str(tmp_path / folder))
+    content = lambda folder: {str(p.relative_to(tmp_path / folder)): p.read_text() for p in (tmp_path / folder).rglob("*") if p.is_file() and not p.name.startswith(".")}
+    assert content("one") == content("two") and len(content("two")) == 7
+    assert text.sam_header(spark, str(tmp_path / "two" / "a.sam")).endswith("PN:readloom\n")
+    for bad in ("../x.txt", "a/../x.txt", "/x", "", "b/", "c.bam", None):
+        with pytest.raises(Exception, match="isn't the name of a file"):
+            files.write_anywhere(spark.createDataFrame([(bad, 0, "x")], "filename string, _row_id long, body string"), f"file://{tmp_path}/two")
+    assert content("one") == content("two")
+
+
+def test_the_command_line_reads_standard_input(spark, monkeypatch, capsys):
+    from types import SimpleNamespace
+
+    from readloom import cli
+
+    for kind, data in (("fasta", b">r1 d\nACGT\n>r2\nGG\n"), ("fastq", b"@r1 d\nACGT\n+\nIIII\n@r2\n\n+\n\n"), ("sam", SAM.encode())):
+        monkeypatch.setattr("sys.stdin", SimpleNamespace(buffer=io.BytesIO(data)))
+        assert cli.main(["-f", kind, "-r", "read.id.stdout!()"], spark) == 0
+        assert capsys.readouterr().out.split() == {"sam": ["q1", "q2"]}.get(kind, ["r1", "r2"])
