@@ -1,18 +1,22 @@
 """BAM: alignments in blocks of gzip, after the public SAM/BAM specification.
 
-A file is decoded by one task as a stream, record by record; paths are opened by the tasks, so a folder that all
-executors mount is needed.
+Tasks decode ranges of a file's blocks.  Nothing in a file says where records begin within a block, so at the beginning of a
+range the place is sought from which several records in a row make sense; a task whose records don't lead exactly to the
+place where the next range begins aborts, so a wrong guess can't give wrong rows.  Paths are opened by the tasks, so a
+folder that all executors mount is needed.  A file of plain gzip is one range.
 """
 
 from __future__ import annotations
 
 import gzip
+import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from readloom.sources.text import SAM_COLUMNS, SAM_NUMBERS, SAM_ORDER
@@ -20,6 +24,10 @@ from readloom.sources.text import SAM_COLUMNS, SAM_NUMBERS, SAM_ORDER
 #: Packed bases, operations, and the layouts of tag values.
 PACKED, OPERATIONS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 LAYOUTS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+_BASES, _CODES = {ord(f"{i:x}"): c for i, c in enumerate(PACKED)}, {c: f"{i:x}" for i, c in enumerate(PACKED)}
+_LETTERS = bytes((i + 33) % 256 for i in range(256))
+#: Bytes of a file to a range; records in a row that have to make sense where one begins.
+RANGE, IN_A_ROW = 32 << 20, 6
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
@@ -85,10 +93,10 @@ def decode(data: bytes, names: list[str]) -> dict:
     at = 32 + l_name
     cigar = "".join(f"{x >> 4}{OPERATIONS[x & 15]}" for x in struct.unpack_from(f"<{n_ops}I", data, at))
     at += 4 * n_ops
-    seq = "".join(PACKED[b >> 4] + PACKED[b & 15] for b in data[at : at + (l_seq + 1) // 2])[:l_seq]
+    seq = data[at : at + (l_seq + 1) // 2].hex().translate(_BASES)[:l_seq]
     at += (l_seq + 1) // 2
     quals = data[at : at + l_seq]
-    qual = "*" if not l_seq or quals[0] == 255 else "".join(chr(q + 33) for q in quals)
+    qual = "*" if not l_seq or quals[0] == 255 else quals.translate(_LETTERS).decode("latin-1")
     qname, tags = data[32 : 32 + l_name - 1].decode(), _tags(data[at + l_seq :])
     row = {"qname": qname, "flag": flag, "rname": name_of(ref), "pos": pos + 1, "mapq": -1 if mapq == 255 else mapq, "cigar": cigar or "*", "rnext": name_of(next_ref), "pnext": next_pos + 1, "tlen": tlen, "seq": seq or "*", "qual": qual, "tags": tags}
     return row | {"id": qname, "desc": tags}
@@ -149,8 +157,7 @@ def encode(row: dict, ids: dict[str, int]) -> bytes:
             span += int(digits) if c in "MDN=X" else 0
             digits = ""
     seq = "" if row["seq"] == "*" else row["seq"]
-    codes = [PACKED.index(c) if c in PACKED else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
-    packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2))
+    packed = bytes.fromhex("".join(map(_CODES.get, seq.upper(), "f" * len(seq))) + "0" * (len(seq) % 2))
     qual = b"\xff" * len(seq) if row["qual"] == "*" else bytes(ord(c) - 33 for c in row["qual"])
     if len(qual) != len(seq):
         raise ValueError(f"{row['qname']}: sequence and quality differ in length")
@@ -197,25 +204,151 @@ def write(f: BinaryIO, header: str, rows: Iterable[dict]) -> None:
 
 
 def schema() -> str:
-    return "_row_id long, " + ", ".join(f"`{c}` {'float' if c in SAM_NUMBERS else 'string'}" for c in SAM_ORDER)
+    return "_part int, _place long, " + ", ".join(f"`{c}` {'float' if c in SAM_NUMBERS else 'string'}" for c in SAM_ORDER)
+
+
+Place = tuple[int, int]  # of a block in the file, and of a byte in the block
+
+
+def block_size(f: BinaryIO, at: int) -> int | None:
+    """How long the block at a place of the file is; 0 at the file's end, None if it doesn't say."""
+    f.seek(at)
+    head = f.read(12)
+    if not head:
+        return 0
+    if len(head) < 12 or head[:4] != b"\x1f\x8b\x08\x04":
+        return None
+    extra, k = f.read(struct.unpack_from("<H", head, 10)[0]), 0
+    while k + 4 <= len(extra):
+        n = struct.unpack_from("<H", extra, k + 2)[0]
+        if extra[k : k + 2] == b"BC" and n == 2:
+            return struct.unpack_from("<H", extra, k + 4)[0] + 1
+        k += 4 + n
+    return None
+
+
+class Blocks:
+    """The unpacked bytes of a file from a place on, with the place of the next byte."""
+
+    def __init__(self, f: BinaryIO, start: Place = (0, 0)):
+        self.f, self.next = f, start[0]
+        self.data, self.at, self.block = b"", 0, start[0]
+        self._load()
+        self.at = start[1]
+        self._settle()
+
+    def _load(self) -> bool:
+        self.block = self.next
+        size = block_size(self.f, self.block)
+        if size is None:
+            raise ValueError(f"no block at byte {self.block}")
+        if not size:
+            self.data, self.at = b"", 0
+            return False
+        self.f.seek(self.block)
+        self.data, self.at = zlib.decompress(self.f.read(size), 31), 0
+        self.next = self.block + size
+        return True
+
+    def _settle(self) -> None:
+        while self.at >= len(self.data) and self._load():
+            pass
+
+    @property
+    def place(self) -> Place:
+        return self.block, self.at
+
+    def read(self, n: int) -> bytes:
+        out = []
+        while n and self.data:
+            part = self.data[self.at : self.at + n]
+            out.append(part)
+            n -= len(part)
+            self.at += len(part)
+            self._settle()
+        return b"".join(out)
+
+
+def _makes_sense(data: bytes, at: int, refs: int) -> int | None:
+    """Where the record after one that may begin at ``at`` begins; None if it can't be one."""
+    size, ref, pos, l_name, _, _, n_ops, _, l_seq, next_ref, next_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    if not (-1 <= ref < refs and -1 <= next_ref < refs and pos >= -1 and next_pos >= -1 and l_name > 0 and l_seq >= 0):
+        return None
+    if size < 32 + l_name + 4 * n_ops + (l_seq + 1) // 2 + l_seq:
+        return None
+    name = data[at + 36 : at + 36 + l_name]
+    if len(name) == l_name and (name[-1] or any(not 33 <= c <= 126 for c in name[:-1])):
+        return None
+    return at + 4 + size
+
+
+def first_record(f: BinaryIO, start: int, refs: int) -> Place:
+    """The place of the first record that begins in the blocks from ``start`` on; the file's end if none does."""
+    f.seek(0, 2)
+    end = f.tell()
+    held, data, at = [], bytearray(), start
+    while at < end:
+        size = block_size(f, at)
+        if not size:
+            break
+        f.seek(at)
+        held.append((len(data), at))
+        data += zlib.decompress(f.read(size), 31)
+        at += size
+        whole = at >= end
+        for i in range(len(data) if whole else max(0, len(data) - 36)):
+            k, n = i, 0
+            while k is not None and n < IN_A_ROW and k + 36 <= len(data):
+                k, n = _makes_sense(data, k, refs), n + 1
+            if k is not None and n and (n == IN_A_ROW or whole and k == len(data)):
+                lo, block = max(x for x in held if x[0] <= i)
+                return block, i - lo
+    return end, 0
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, size: int):
+        self.path, self.size = path, size
 
     def partitions(self):
-        return [InputPartition(self.path)]
+        with open(local(self.path), "rb") as f:
+            if block_size(f, 0) is None:
+                return [InputPartition((0, None, None))]
+            top = Blocks(f)
+            _, names = read_header(top)
+            places, end = [top.place], f.seek(0, 2)
+            at, limit = 0, self.size
+            while at < end and (n := block_size(f, at)):  # block by block, by what their heads say
+                if at >= limit:
+                    if (place := first_record(f, at, len(names))) > places[-1]:
+                        places.append(place)
+                    limit = at + self.size
+                at += n
+            return [InputPartition((i, a, b)) for i, (a, b) in enumerate(zip(places, [*places[1:], None]))]
 
     def read(self, partition):
-        with gzip.open(local(partition.value), "rb") as f:
-            _, names = read_header(f)
-            for i, row in enumerate(records(f, names)):
-                yield (i, *(float(row[c]) if c in SAM_NUMBERS else row[c] for c in SAM_ORDER))
+        i, start, end = partition.value
+        if start is None:
+            with gzip.open(local(self.path), "rb") as f:
+                _, names = read_header(f)
+                yield from ((i, n, *self.cells(row)) for n, row in enumerate(records(f, names)))
+            return
+        with open(local(self.path), "rb") as f:
+            _, names = read_header(Blocks(f))
+            rows, n = Blocks(f, start), 0
+            while rows.data and (end is None or rows.place < end):
+                yield (i, n, *self.cells(decode(_take(rows, struct.unpack("<i", _take(rows, 4))[0]), names)))
+                n += 1
+            if end is not None and rows.place != end:
+                raise ValueError(f"{self.path}: records don't lead to the one found at {end}; read the file as one range")
+
+    @staticmethod
+    def cells(row: dict) -> Iterator:
+        return (float(row[c]) if c in SAM_NUMBERS else row[c] for c in SAM_ORDER)
 
 
 class BamSource(DataSource):
-    """``spark.read.format("bam").load(path)``."""
+    """``spark.read.format("bam").load(path)``; ``range`` is the bytes of a file to a range."""
 
     @classmethod
     def name(cls) -> str:
@@ -225,12 +358,22 @@ class BamSource(DataSource):
         return schema()
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("range", RANGE)))
 
 
-def bam(spark: SparkSession, path: str) -> DataFrame:
+def bam(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """Alignments with ``_row_id``, their numbers in the file: of a file of several ranges a count a range reaches the driver."""
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").load(path)
+    rows = spark.read.format("bam").option("range", size).load(path)
+    if os.path.getsize(local(path)) <= size:
+        return rows.withColumnRenamed("_place", "_row_id").drop("_part")
+    before, starts = 0, []
+    for part, n in sorted(map(tuple, rows.groupBy("_part").agg(F.count("*").alias("n")).collect())):
+        starts.append((part, before))
+        before += n
+    known = spark.createDataFrame(starts, "_part int, _before long")
+    numbered = rows.join(F.broadcast(known), "_part").withColumn("_row_id", F.col("_before") + F.col("_place"))  # a row a range
+    return numbered.select("_row_id", *(F.col(c) for c in SAM_ORDER))
 
 
 def bam_header(path: str) -> str:

@@ -215,3 +215,32 @@ def test_the_command_line_reads_standard_input(spark, monkeypatch, capsys):
         monkeypatch.setattr("sys.stdin", SimpleNamespace(buffer=io.BytesIO(data)))
         assert cli.main(["-f", kind, "-r", "read.id.stdout!()"], spark) == 0
         assert capsys.readouterr().out.split() == {"sam": ["q1", "q2"]}.get(kind, ["r1", "r2"])
+
+
+def test_ranges_of_an_alignment_file_are_read_apart(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    header = "@SQ\tSN:chr1\tLN:100000\n@SQ\tSN:chr2\tLN:100000\n"
+    lines = []
+    for i in range(4000):
+        n = rng.randint(0, 300) if i % 500 else 90_000  # records over several blocks, too
+        seq = "".join(rng.choice("ACGTN") for _ in range(n)) or "*"
+        lines.append({"qname": f"q{i}", "flag": "0", "rname": rng.choice(["chr1", "chr2", "*"]), "pos": str(rng.randint(1, 9999)), "mapq": "60", "cigar": f"{n}M" if n else "*", "rnext": "*", "pnext": "0", "tlen": "0", "seq": seq, "qual": "".join(chr(rng.randint(34, 70)) for _ in seq) if n else "*", "tags": f"NM:i:{i}"})
+    with open(tmp_path / "a.bam", "wb") as f:
+        bam.write(f, header, lines)
+    assert (tmp_path / "a.bam").stat().st_size > 700_000
+    want = [(i, x["qname"], x["seq"], x["qual"], x["tags"]) for i, x in enumerate(lines)]
+    for size in (100_000, 1 << 30):
+        df = bam.bam(spark, str(tmp_path / "a.bam"), size)
+        assert df.rdd.getNumPartitions() > 5 or size > 100_000
+        assert rows(df, "_row_id", "qname", "seq", "qual", "tags") == want
+    with open(tmp_path / "a.bam", "rb") as f:
+        first = bam.first_record(f, 0, 2)
+        blocks = bam.Blocks(f, first)
+        got = bam.decode(blocks.read(bam.struct.unpack("<i", blocks.read(4))[0]), ["chr1", "chr2"])
+        assert got["qname"] in {x["qname"] for x in lines}
+    reader = bam._Reader(str(tmp_path / "a.bam"), 100_000)
+    a, b = (p.value for p in reader.partitions()[:2])
+    with pytest.raises(ValueError, match="don't lead"):
+        list(reader.read(bam.InputPartition((0, a[1], (b[1][0], b[1][1] + 1)))))
