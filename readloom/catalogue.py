@@ -6,6 +6,7 @@ text's letters are cut into reads of 150 bases, the last of what is left.  A tex
 
 from __future__ import annotations
 
+import io
 import os
 from collections.abc import Callable
 
@@ -22,8 +23,9 @@ from readloom.operators.bank import find_all_in
 from readloom.operators.relations import as_read, demultiplex, members, with_reverse_complement, zip_pairs
 from readloom.plans.regions import Hole, Term, compile_regions, named, sized
 from readloom.sinks import files
-from readloom.sources import bam, text
+from readloom.sources import bam, registry, text
 from readloom.sources.scratch import mounted, scratch
+from readloom.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -582,6 +584,140 @@ def _(spark, d):
     return fq(spark, d).select("row_id", matching.describe(F.col("seq"), {"a": "ACGACG", "b": "GGTT"}).alias("shape"))
 
 
+# ---- patterns over values, tables and types ----
+
+
+def _cut(spark: SparkSession, d: str, kind: str) -> str:
+    """The barcodes as a reference table of that kind."""
+    path, rows = scratch(spark, f"codes-{kind}"), barcodes(spark, d).where(F.length("seq") == 8).select(F.col("name").cast("string").alias("name"), "seq")
+    if kind == "fasta":
+        return _written(spark, rows.select(F.concat(F.lit(">"), "name", F.lit(" code\n"), "seq")), "codes-fasta")
+    rows.write.option("header", True).option("sep", "," if kind == "csv" else "\t").csv(path)
+    return path
+
+
+#: Barcodes in reads, as often as they stand there without overlaps.
+_COUNTED = f"WITH {FQ}, {BC}, n AS (SELECT row_id, name, (length(fq.seq) - length(replace(fq.seq, bc.seq, ''))) // 8 AS n FROM fq JOIN bc ON length(bc.seq) = 8 AND contains(fq.seq, bc.seq)) SELECT row_id, CAST(name AS VARCHAR) AS value FROM (SELECT row_id, name, unnest(range(0, CAST(n AS BIGINT))) FROM n)"
+
+
+@query("table_csv", _COUNTED)
+def _(spark, d):
+    return _printed(spark, d, f"codes = csv('{_cut(spark, d, 'csv')}')\nif read matches [_ b.seq _] for b in codes => b.name.stdout!()")
+
+
+@query("table_tsv", _COUNTED)
+def _(spark, d):
+    return _printed(spark, d, f"codes = tsv('{_cut(spark, d, 'tsv')}')\nif read matches [_ b.seq _] for b in codes => b.name.stdout!()")
+
+
+@query("table_fasta", _COUNTED)
+def _(spark, d):
+    return _printed(spark, d, f"codes = fasta('{_cut(spark, d, 'fasta')}')\nif read matches [_ b.seq _] for b in codes => b.id.stdout!()")
+
+
+@query("table_types", _COUNTED.replace("CAST(name AS VARCHAR) AS value", "concat(name, '!') AS value"))
+def _(spark, d):
+    """A function over rows of a table's own type, which its file states."""
+    path = _cut(spark, d, "csv")
+    return _printed(spark, d, f"shown = (r: csv_ty('{path}')) => '{{r.name}}!'\ncodes = csv('{path}')\nif read matches [_ b.seq _] for b in codes => shown(b).stdout!()")
+
+
+@query("read_types", f"WITH {FQ} SELECT row_id, concat(id, ' ', \"desc\") AS value FROM fq")
+def _(spark, d):
+    """A function over reads of the type that a file of reads has."""
+    path = scratch(spark, "typed") + ".fastq"
+    fq(spark, d).select(files.as_fastq(F.struct("id", "desc", "seq", "qual"))).write.text(path)
+    return _printed(spark, d, f"named = (r: read_ty('{path}')) => '{{r.id}} {{r.desc}}'\nnamed(read).stdout!()")
+
+
+@query("function_types", f"WITH {FQ} SELECT row_id, CAST(2 * (length(seq) + 1) AS VARCHAR) AS value FROM fq")
+def _(spark, d):
+    return _printed(spark, d, "twice = (f: (Str) -> Num, s: Str) => 2 * f(s)\nlonger = (s: Str) => s.len() + 1\ntwice(longer, read.seq).stdout!()")
+
+
+@query("match_bool", f"WITH {FQ} SELECT row_id, CASE WHEN length(seq) > 100 THEN 'long' ELSE 'short' END AS value FROM fq")
+def _(spark, d):
+    return _printed(spark, d, "if (read.seq.len() > 100) matches { true => 'long'.stdout!()\n false => 'short'.stdout!() }")
+
+
+@query("match_number", f"WITH {FQ} SELECT row_id, CASE length(seq) WHEN 150 THEN 'whole' ELSE concat('rest of ', length(seq)) END AS value FROM fq")
+def _(spark, d):
+    return _printed(spark, d, "if read.seq.len() matches { 150 => 'whole'.stdout!()\n n:_ => 'rest of {n}'.stdout!() }")
+
+
+@query("match_string", f"WITH {FQ} SELECT row_id, CASE \"desc\" WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' ELSE 'other' END AS value FROM fq")
+def _(spark, d):
+    return _printed(spark, d, "if read.desc matches { 'en' => 'english'.stdout!()\n 'de' => 'german'.stdout!()\n _ => 'other'.stdout!() }")
+
+
+@query("match_record", f"WITH {FQ} SELECT row_id, CASE WHEN \"desc\" = 'en' AND length(seq) = 150 THEN 'whole' WHEN length(seq) = 150 THEN \"desc\" END AS value FROM fq WHERE length(seq) = 150")
+def _(spark, d):
+    return _printed(spark, d, "if { a = read.desc, n = read.seq.len() } matches { {a = 'en', n = 150} => 'whole'.stdout!()\n {a = x:_, n = 150} => x.stdout!() }")
+
+
+#: Where ACGT with one edit at most stands from the fifth base on, in a window of five: its first best hit.
+_PINNED = f"""WITH {FQ}, w AS (SELECT row_id, seq, substring(seq, 5, 5) AS w FROM fq WHERE length(seq) >= 9), h AS (SELECT row_id, seq, e, min({{'d': levenshtein('ACGT', substring(w, CAST(e - l + 1 AS BIGINT), l)), 'a': abs(l - 4), 'l': l}}) AS h FROM w, (SELECT range AS e FROM range(1, 6)), (SELECT range AS l FROM range(3, 6)) WHERE l <= e GROUP BY row_id, seq, e),
+b AS (SELECT row_id, seq, min({{'d': h.d, 'e': e, 'l': h.l}}) AS b FROM h WHERE h.d <= 1 GROUP BY row_id, seq)
+SELECT row_id, substring(seq, 1, CAST(4 + b.e - b.l AS BIGINT)) AS umi_seq, substring(seq, CAST(4 + b.e + 1 AS BIGINT), 1000) AS rest_seq FROM b"""
+
+
+@query("pat_hit_moves_ends", _PINNED)
+def _(spark, d):
+    """A hit in a pinned window may begin later than it: the region before it then reaches as far as the hit."""
+    return _match(spark, d, [named("umi", sized(4)), Term.of("ACGT", 0.25), named("rest", Hole())], "umi_seq", "rest_seq")
+
+
+# ---- files, standard input, streams and the command line ----
+
+
+@query("out_text", f"WITH {FQ} SELECT concat(\"desc\", '.txt') AS filename, length(seq) AS value, count(*) AS n FROM fq GROUP BY 1, 2")
+def _(spark, d):
+    """Lines of text, a file a language, by Spark's writer alone, and read back."""
+    folder = scratch(spark, "lines")
+    files.write_anywhere(script(spark, d, "'{read.seq.len()}'.out!('{read.desc}.txt')").out.select("filename", "_row_id", "_seq", "body"), folder)
+    rows = spark.read.text(f"{folder}/*.txt").select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("filename"), F.col("value").cast("bigint").alias("value"))
+    return rows.groupBy("filename", "value").agg(F.count("*").alias("n"))
+
+
+@query("sam_header", "SELECT concat('@SQ', chr(9), 'SN:', r_name, chr(9), 'LN:', r_regionkey + 100) AS line FROM region UNION ALL SELECT concat('@PG', chr(9), 'ID:readloom', chr(9), 'PN:readloom')")
+def _(spark, d):
+    """The header of an input that goes on to the output, with a line for this program."""
+    r = _alignments(spark, d)
+    body = r.select(files.as_sam(F.struct(*r.columns), r.select(F.struct(*r.columns)).schema[0].dataType).alias("value"))
+    top = table(spark, d, "region").orderBy("r_regionkey").select(F.concat(F.lit("@SQ\tSN:"), "r_name", F.lit("\tLN:"), (F.col("r_regionkey") + 100).cast("string")).alias("value"))
+    path, folder = _written(spark, top.coalesce(1).unionByName(body), "headed"), scratch(spark, "headed-out")
+    files.write_anywhere(text.sam(spark, path).select(F.lit("o.sam").alias("filename"), "_row_id", F.col("qname").alias("body")), folder, text.sam_header(spark, path))
+    return spark.read.text(f"{folder}/o.sam").where(F.col("value").rlike(text.HEADER_LINE)).select(F.col("value").alias("line"))
+
+
+@query("stdin_scan", f"WITH {BC} SELECT CAST(name AS VARCHAR) AS id, seq FROM bc")
+def _(spark, d):
+    """Standard input, here the table of barcodes, goes to a file first, as scans go over their input more than once."""
+    lines = "".join(f">{r['name']} code\n{r['seq']}\n" for r in barcodes(spark, d).collect())  # a reference table
+    return text.fasta(spark, registry.spool("fasta", io.BytesIO(lines.encode()))).select("id", "seq")
+
+
+@query("stream_counts", f"WITH {FQ} SELECT \"desc\" AS value, count(*) AS count FROM fq GROUP BY 1")
+def _(spark, d):
+    """Files as they arrive, a few a micro-batch, counted by description from what each batch has written."""
+    source, out = _written(spark, fq(spark, d).repartition(6).select(files.as_fasta(F.struct("id", "desc", "seq"))), "arriving"), scratch(spark, "arrived")
+    stream = watch.fasta_stream(spark, source, 2)
+    watch.route(stream, scratch(spark, "state"), lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}")).awaitTermination()
+    return spark.read.parquet(out).groupBy(F.col("desc").alias("value")).agg(F.count("*").alias("count"))
+
+
+@query("command_line", f"WITH {FQ} SELECT CAST(length(seq) AS VARCHAR) AS value, count(*) AS count FROM fq WHERE length(seq) >= 100 GROUP BY 1")
+def _(spark, d):
+    """A script run from the command line over a file, with arguments, and the table of counts that it leaves."""
+    from readloom import cli
+
+    source, folder = scratch(spark, "reads") + ".fastq", mounted(spark, "counts")
+    fq(spark, d).select(files.as_fastq(F.struct("id", "desc", "seq", "qual"))).write.text(source)
+    code = cli.main([source, "-a", "least = 100", "-o", folder, "-r", "if read.seq.len() >= args.least { read.seq.len().count!(name = 'lengths') }"], spark, io.StringIO())
+    assert code == 0
+    return spark.read.csv(f"file://{folder}/lengths.csv", header=True).select("value", F.col("count").cast("bigint").alias("count"))
+
+
 # ---- effects ----
 
 

@@ -226,7 +226,7 @@ class Compiler:
         for _, kind, p in kinds:
             if p.default is not None:
                 self.expect(p.default, self.term(p.default, env), kind)
-        placed = {n: Value(k, F.lit(None), shape=k) for n, k, _ in kinds}
+        placed = {n: Value(k, call=lambda args, opts, k=k: Value(k.result, F.lit(None))) if isinstance(k, Function) else Value(k, F.lit(None), shape=k) for n, k, _ in kinds}
 
         def call(args: list[Value], opts: dict[str, Value]) -> Value:
             own = dict(given)
