@@ -340,6 +340,16 @@ def test_wrapped_notices(spark):
     assert scanned(spark, texts) == want
 
 
+def test_headers_of_source_files(spark):
+    gpl = "/*\n * This program is free software; you can redistribute it and/or modify it under\n * the terms of the GNU {} as published by the\n * Free Software Foundation; either version {} of the License, or (at your\n * option) any later version.\n */\nint main() {{}}\n"
+    apache = "# Licensed under the Apache License, Version 2.0\n# (the \"License\"); you may not use this file except in compliance with\n# the License.  You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n"
+    short = "// Licensed under the Apache License,\n// Version 2.0.\nx = 1\n"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and\nassociated documentation files (the \"Software\"), to deal in the Software without restriction, including\nwithout limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the\nfollowing conditions:\n"
+    mpl = "-- This Source Code Form is subject to the terms of the Mozilla Public\n-- License, v. 2.0. If a copy of the MPL was not distributed with this\n-- file, You can obtain one at https://mozilla.org/MPL/2.0/.\n"
+    texts = [gpl.format("General Public License", 2), gpl.format("General Public License", 3), gpl.format("Lesser General Public License", 3), gpl.format("Affero General Public License", 3), apache, short, mit, mpl]
+    assert [f for _, f in scanned(spark, texts)] == ["gpl-2.0", "gpl-3.0", "lgpl-3.0", "agpl-3.0", "apache-2.0", "apache-2.0", "mit", "mpl-2.0"]
+
+
 def test_several_notices_in_a_line(spark):
     filler = "ordinary words go on and on here " * 20
     mit, apache, gpl, nc = NOTICES["mit"], NOTICES["apache-2.0"], NOTICES["gpl-3.0"], NOTICES["cc-by-nc-4.0"]
