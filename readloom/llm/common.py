@@ -35,8 +35,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/readloom/{label}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing that was written."""
+def table(df: DataFrame, label: str, compact: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing that was written.
+
+    ``compact`` brings what many tasks have a few rows of into files of a fair size, as many as that takes.
+    """
+    df = df.hint("rebalance") if compact else df
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(clean)
@@ -63,8 +67,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have Arrow send Python at most 1,000 rows and 8 MB at once from now on: texts and pages can be long, and a worker holds a batch several times."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+    """Have Arrow send Python at most 1,000 rows and 2 MB at once from now on: texts and pages can be long, and a worker and an executor's buffers hold a batch several times."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20)):
         now = int(re.match(r"-?\d+", spark.conf.get(key))[0]) * 1024 ** "bkmgt".index(re.search(r"[kmgt]?b?$", spark.conf.get(key).lower())[0][:1] or "b")
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))

@@ -314,7 +314,7 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.9, id_col: str = "ve
     dealt = fetched.withColumn("side", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("hood", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "sig", "copies", "x")
     dealt = dealt.repartition(parts, "hood", "lo", "hi").sortWithinPartitions("hood", "lo", "hi", "sig")
-    found = table(dealt.mapInArrow(tidy(_compared(least, kind)), "a long, b long, links long"), "found")
+    found = table(dealt.mapInArrow(tidy(_compared(least, kind)), "a long, b long, links long"), "found", compact=True)
 
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "sig")
     comps = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "sig")

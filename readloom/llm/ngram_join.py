@@ -297,7 +297,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield done()
 
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(each_batch(deal, dealt), "q int, items binary")
-    found = table(some.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(tidy(counted), "item long, times long"), "frequent")
+    found = table(some.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(tidy(counted), "item long, times long"), "frequent", compact=True)
     # So many of the most frequent ones, by whole counts, as there is room for.
     least, room = OFTEN, FREQUENT
     for times, m in sorted(map(tuple, found.groupBy(F.least("times", F.lit(10_000)).alias("times")).count().collect()), reverse=True):
@@ -457,8 +457,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def sent() -> Iterator[pa.RecordBatch]:
         rows = _summed_rows(out)
-        for at in range(0, len(rows), 200_000):
-            yield record_batch(dict(zip(MET.names, map(np.ascontiguousarray, rows[at : at + 200_000].T))), MET)
+        for at in range(0, len(rows), 50_000):
+            yield record_batch(dict(zip(MET.names, map(np.ascontiguousarray, rows[at : at + 50_000].T))), MET)
         out[:] = [rows[:0]]
 
     for batch in batches:
@@ -569,8 +569,8 @@ def _open_rows(x: int, s: np.ndarray, n: np.ndarray, c: np.ndarray) -> Iterator[
     for other in range(k):
         alike = np.array([k > 1 and only[i] is not None and only[i] == only[other] for i in range(k)])
         at = np.flatnonzero(~alike[block])
-        for part in range(0, len(at), 200_000):
-            to = at[part : part + 200_000]
+        for part in range(0, len(at), 50_000):
+            to = at[part : part + 50_000]
             lo, hi = np.minimum(block[to], other).astype(np.int32), np.maximum(block[to], other).astype(np.int32)
             yield record_batch(dict(zip(OPEN.names, (np.full(len(to), x), lo, hi, block[to].astype(np.int32), s[to], n[to], c[to]))), OPEN)
 
@@ -687,14 +687,14 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     dealt = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     some = table(some.select("item", dealt.alias("lo"), dealt.alias("hi"), F.lit(0).alias("block"), "sig", "n", F.col("sig").alias("comp")), "some")
     tried = table(ordered(best).unionByName(ordered(looked_through(some, True))).distinct(), "pairs")
-    first = table(verify(tried, kept, spent), "links")
+    first = table(verify(tried, kept, spent), "links", compact=True)
     comps = components(first)
     drop(some)
 
     # Search of all that is still apart.
     of = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"comp_{c}"))
     labelled = large.join(of("sig"), "sig", "left").select("item", "sig", "n", F.coalesce("comp_sig", "sig").alias("comp"))
-    open_ = table(labelled.repartition(parts, "item").sortWithinPartitions("item").mapInArrow(tidy(_unfinished), "item long, lo int, hi int, block int, sig long, n long, comp long"), "open")
+    open_ = table(labelled.repartition(parts, "item").sortWithinPartitions("item").mapInArrow(tidy(_unfinished), "item long, lo int, hi int, block int, sig long, n long, comp long"), "open", compact=True)
     # Pairs of small neighbourhoods, by how many they share; of large ones they may share as many as either is in.
     rooms = table(open_.select("item", "sig").distinct().groupBy("sig").agg(F.count("*").alias("more")), "rooms")
     rest = pairs.where(F.col("kind") == SMALL)
@@ -706,13 +706,13 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     rest = rest.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
     late = table(ordered(looked_through(open_, False).unionByName(rest)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     drop(open_, rooms, pairs, large, tried)
-    links = table(first.unionByName(verify(late, kept, spent)), "links")
+    links = table(first.unionByName(verify(late, kept, spent)), "links", compact=True)
     comps_after = components(links)
 
     firsts = kept.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"))
     named = firsts.join(comps_after.withColumnRenamed("id", "sig"), "sig", "left").select("sig", "first", F.coalesce("component", "sig").alias("comp"))
     named = table(named, "named")
-    ids = table(kept.select("doc_id", "n", "sig"), "ids")
+    ids = table(kept.select("doc_id", "n", "sig"), "ids", compact=True)
     drop(kept, late, first, links, comps, comps_after)
     for shared in spent:
         shared.destroy()

@@ -182,7 +182,7 @@ def read(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
                     for row in parse(text):
                         rows.append(row if payloads else (*row[:-1], None))
                         size += len(row[-1] or "") if payloads else 200
-                    if size > 8_000_000:
+                    if size > 2_000_000:
                         yield record_batch(dict(zip(READ.names, map(list, zip(*rows)))), READ)
                         rows, size = [], 0
                 if rows:
