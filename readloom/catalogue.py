@@ -373,10 +373,10 @@ def _(spark, d):
 _SCORES = "list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)"
 
 
-@query("list_min_max_mean", f"WITH {FQ} SELECT id, CAST(list_min({_SCORES}) AS BIGINT) AS least, CAST(list_max({_SCORES}) AS BIGINT) AS most, CAST(round(list_avg({_SCORES}) * 100) AS BIGINT) AS mean FROM fq")
+@query("list_min_max_mean", f"WITH {FQ} SELECT id, CAST(list_min({_SCORES}) AS BIGINT) AS least, CAST(list_max({_SCORES}) AS BIGINT) AS most, CAST(round(list_avg({_SCORES}) * length(qual)) AS BIGINT) AS whole FROM fq")
 def _(spark, d):
     q = S.to_qscores(F.col("qual"))
-    return fq(spark, d).select("id", S.list_min(q).cast("bigint").alias("least"), S.list_max(q).cast("bigint").alias("most"), F.round(S.list_mean(q).cast("double") * 100).cast("bigint").alias("mean"))
+    return fq(spark, d).select("id", S.list_min(q).cast("bigint").alias("least"), S.list_max(q).cast("bigint").alias("most"), F.round(S.list_mean(q).cast("double") * F.length("qual")).cast("bigint").alias("whole"))
 
 
 @query("qscores", f"WITH {FQ} SELECT id, array_to_string({_SCORES}, ',') AS scores FROM fq")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from readloom.functions.bind import let
+
 #: Complement of IUPAC codes, position by position, and amino acids by codon in the order T, C, A, G.
 BASES = "ACGTUNRYSWKMBDHVacgtunryswkmbdhv"
 COMPLEMENTS = "TGCAANYRSWMKVHDBtgcaanyrswmkvhdb"
@@ -135,13 +137,14 @@ def translate(seq: Column, stop: Column | str = "-", illegal: Column | str = "?"
     """Amino acids of the codons from the first base on; one or two bases left over are dropped."""
     stop, illegal = (x if isinstance(x, Column) else F.lit(x) for x in (stop, illegal))
 
-    def amino(i: Column) -> Column:
-        at = [F.instr(F.lit(CODON_ORDER), F.substring(seq, i * 3 + k, F.lit(1))) - 1 for k in (1, 2, 3)]
-        known = F.substring(F.lit(AMINO), at[0] * 16 + at[1] * 4 + at[2] + 1, F.lit(1))
-        return F.when((at[0] < 0) | (at[1] < 0) | (at[2] < 0), illegal).when(known == "-", stop).otherwise(known)
+    table = ".".join(a + b + c for a in CODON_ORDER for b in CODON_ORDER for c in CODON_ORDER)
+
+    def amino(place: Column) -> Column:
+        known = F.substring(F.lit(AMINO), ((place - 1) / 4).cast("int") + 1, F.lit(1))
+        return F.when((place == 0) | (place % 4 != 1), illegal).otherwise(let(known, lambda x: F.when(x == "-", stop).otherwise(x)))
 
-    codons = F.floor(F.length(seq) / 3).cast("int")
-    return F.when(codons < 1, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(codons, F.lit(1)) - 1), amino), ""))
+    places = F.transform(F.regexp_extract_all(seq, F.lit("(?s)..."), F.lit(0)), lambda codon: F.instr(F.lit(table), codon))
+    return F.array_join(F.transform(places, amino), "")
 
 
 def to_num(s: Column) -> Column:
@@ -153,27 +156,28 @@ def to_num(s: Column) -> Column:
 def to_qscores(qual: Column) -> Column:
     """Phred scores of a quality string; a byte under 33 aborts."""
     scores = F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: num(F.ascii(c) - 33))
-    return F.when(F.exists(scores, lambda x: x < 0), F.raise_error(F.lit("quality below 33")).cast("array<float>")).otherwise(scores)
+    return let(scores, lambda xs: F.when(F.array_min(xs) < 0, F.raise_error(F.lit("quality below 33")).cast("array<float>")).otherwise(xs))
 
 
 # Lists.
 
 
-def _some(xs: Column, value: Column) -> Column:
-    return F.when(F.size(xs) < 1, F.raise_error(F.lit("empty list")).cast("float")).otherwise(num(value))
+def _some(xs: Column, value) -> Column:
+    empty = F.raise_error(F.lit("empty list")).cast("float")
+    return let(xs, lambda some: F.when(F.size(some) < 1, empty).otherwise(num(value(some))))
 
 
 def list_min(xs: Column) -> Column:
-    return _some(xs, F.array_min(xs))
+    return _some(xs, F.array_min)
 
 
 def list_max(xs: Column) -> Column:
-    return _some(xs, F.array_max(xs))
+    return _some(xs, F.array_max)
 
 
 def list_mean(xs: Column) -> Column:
-    total = F.aggregate(xs, num(F.lit(0.0)), lambda a, x: num(a + x))
-    return _some(xs, total / F.when(F.size(xs) > 0, F.size(xs)))
+    total = lambda some: F.aggregate(some, num(F.lit(0.0)), lambda a, x: num(a + x))
+    return _some(xs, lambda some: total(some) / F.size(some))
 
 
 def contains(xs: Column, x: Column) -> Column:

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.functions.bind import let
 from readloom.operators.bank import best_hits, disjoint_in, exact_hits, fits
 from readloom.operators.search import Hit, allowed_edits, edit_distance, find_disjoint
 from readloom.plans import native
@@ -71,18 +72,28 @@ def searched_together(op: Restrict, seqs: list[str], worlds: list[tuple[int, Wor
     """Hits of a term in the worlds of many reads.
 
     Strings of one length are searched in all windows at once where neither end of the window is pinned and some edits are
-    allowed; windows with a hit without edits need no such search.
+    allowed; windows with a hit without edits need no such search.  A window pinned at one end is looked up where no edits are.
     """
     out: list[Found] = []
     together: dict[tuple[int, ...], list[int]] = {}
     given: dict[tuple[int, ...], tuple[list, bool]] = {}
+    whole: dict[tuple[int, ...], dict[str, list[tuple[int, ...]]]] = {}  # of a window pinned at one end without edits, which string it has to be
     for i, (dist, locs, ctx) in worlds:
         if ctx not in given:
             choices = choices_of(op, ctx)
             texts = [t for t, _ in choices]
             given[ctx] = choices, open_window(op) and fits(texts) and (len(texts) >= SEVERAL or allowed_edits(len(texts[0]), op.term.rate) > 0)
+            if texts and op.fixed_start != op.fixed_end and len({len(t) for t in texts}) == 1 and allowed_edits(len(texts[0]), op.term.rate) <= 0 and texts[0]:
+                whole[ctx] = {}
+                for t, b in choices:
+                    whole[ctx].setdefault(t, []).append(b)
         choices, many = given[ctx]
-        if many and 0 <= locs[op.lo] <= locs[op.hi] <= len(seqs[i]):
+        if ctx in whole:
+            m = len(choices[0][0])
+            lo = locs[op.lo] if op.fixed_start else locs[op.hi] - m
+            fits_in = 0 <= lo <= lo + m <= len(seqs[i])
+            out.append([(0, lo, lo + m, b) for b in whole[ctx].get(seqs[i][lo : lo + m], ())] if fits_in else [])
+        elif many and 0 <= locs[op.lo] <= locs[op.hi] <= len(seqs[i]):
             together.setdefault(ctx, []).append(len(out))
             out.append([])
         else:
@@ -176,13 +187,13 @@ def in_mode(worlds: Column, mode: str) -> Column:
         return worlds
 
     def best_of(every: Column) -> Column:
-        return native.let(F.array_min(F.transform(every, lambda w: w["dist"])), lambda least: F.filter(every, lambda w: w["dist"] == least))
+        return let(F.array_min(F.transform(every, lambda w: w["dist"])), lambda least: F.filter(every, lambda w: w["dist"] == least))
 
-    best = native.let(worlds, best_of)
+    best = let(worlds, best_of)
     if mode == "all-best":
         return F.slice(best, 1, 1)
     if mode == "one-best":
-        return native.let(best, lambda b: F.when(F.size(b) == 1, b).otherwise(native.none()))
+        return let(best, lambda b: F.when(F.size(b) == 1, b).otherwise(native.none()))
     raise ValueError(f"match mode {mode!r}; there are {', '.join(MODES)}")
 
 

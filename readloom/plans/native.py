@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from readloom.functions.bind import let
 from readloom.operators.search import allowed_edits
 from readloom.plans.regions import Let, MatchPlan, Restrict
 
@@ -23,11 +24,6 @@ def worlds(seq: Column, plan: MatchPlan, strict: bool = False) -> Column:
     return let(seq, lambda s: let(F.length(s), lambda n: _worlds(s, n, plan, strict)))
 
 
-def let(value: Column, fn) -> Column:
-    """``fn(value)``, with the value computed once however often ``fn`` and its lambdas use it."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def _worlds(seq: Column, length: Column, plan: MatchPlan, strict: bool) -> Column:
     def run(ops: list, locs: dict[int, Column], good: list[Column]) -> Column:
         for k, op in enumerate(ops):
