@@ -49,6 +49,7 @@ def table(df: DataFrame, label: str, compact: bool = False) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(clean, before)
+    give_back()  # what the driver needed to get here
     out = spark.read.schema(df.schema).parquet(path)
     out._readloom_path = path
     return out

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import each_batch, held_out, kept_as, small_batches
+from readloom.llm.common import each_batch, give_back, held_out, kept_as, small_batches
 
 GRAM = 4
 HASHES = 2
@@ -66,6 +66,16 @@ def slots(hashes: np.ndarray) -> list[np.ndarray]:
     return [a >> shift, (a + b) >> shift][:HASHES]
 
 
+def counted(texts: list[str], at_once: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of texts and how often each occurs; counts of some texts at a time are merged."""
+    found, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for lo in range(0, len(texts), at_once):
+        new, times = np.unique(np.concatenate([*map(gram_hashes, texts[lo : lo + at_once])]), return_counts=True)
+        found, at = np.unique(np.concatenate([found, new]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, times]), minlength=len(found)).astype(np.int64)
+    return found, n
+
+
 @dataclass
 class Filters:
     languages: list[str]
@@ -77,7 +87,7 @@ class Filters:
         languages = sorted(texts)
         grams, shares = [], []
         for name in languages:
-            found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *map(gram_hashes, texts[name])]), return_counts=True)
+            found, n = counted(texts[name])
             grams.append(found)
             shares.append(n / max(1, n.sum()))
         everything, at = np.unique(np.concatenate(grams or [np.empty(0, np.uint64)]), return_inverse=True)
@@ -139,7 +149,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     if parts:
         for r in rows.where(F.pmod("h", F.lit(1 << 30)) < F.coalesce(*parts)).select("lang", "text").toLocalIterator():
             texts[r["lang"]].append(r["text"])
-    return Filters.of(texts)
+    out = Filters.of(texts)
+    del texts
+    give_back()
+    return out
 
 
 def identify(docs: DataFrame, filters: Filters, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -63,10 +63,11 @@ class Domains:
 
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], steps: int = 120, penalty: float = 1e-4) -> Domains:
     """Multinomial logistic regression by accelerated gradient steps."""
-    x1 = np.column_stack([x, np.ones(len(x))]).astype(np.float32)
+    x1 = np.empty((len(x), x.shape[1] + 1), np.float32)
+    x1[:, :-1], x1[:, -1] = x, 1
     target = np.eye(len(names), dtype=np.float32)[y]
     w = v = np.zeros((x1.shape[1], len(names)), np.float32)
-    rate = np.float32(2.0 / max(1e-9, float((x1 * x1).sum(axis=1).max())))
+    rate = np.float32(2.0 / max(1e-9, float(np.einsum('ij,ij->i', x1, x1).max())))
     for step in range(steps):
         z = x1 @ v
         p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -103,7 +104,11 @@ def learn(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_
     if not got:
         return Domains(names, np.zeros((BUCKETS + SHAPES + 1, len(names))))
     y = np.array([names.index(d) for _, d, _ in got])
-    out = fit(np.stack([features(t) for _, _, t in got]).astype(np.float32), y, names)
+    x = np.empty((len(got), BUCKETS + SHAPES), np.float32)
+    for row, (_, _, text) in zip(x, got):
+        row[:] = features(text)
+    del got
+    out = fit(x, y, names)
     drawn = np.bincount(y, minlength=len(names)) / len(y)
     share = np.array([counts[d] for d in names]) / sum(counts.values())
     out.weights[-1] += np.where(drawn > 0, np.log(share / np.where(drawn > 0, drawn, 1.0)), 0.0)
