@@ -49,7 +49,7 @@ BACKGROUND, VARIANTS = 400, 30
 #: Words of a window and from one to the next: with no more than the difference, a notice falls into one window whole.
 WINDOW, STEP = 48, 24
 #: Words that don't tell families apart.
-PLAIN = {"this", "work", "with", "that", "under", "terms", "following", "available", "made", "part", "software", "person", "purpose", "without", "provided", "source", "subject"}
+PLAIN = {"above", "deal", "file", "following", "forms", "free", "from", "made", "this", "used", "work", "with", "that", "under", "terms", "available", "part", "software", "person", "purpose", "without", "provided", "source", "subject"}
 _STOP = {"a", "and", "any", "are", "be", "for", "in", "is", "may", "met", "no", "of", "or", "the", "to", "v"}
 _TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
