@@ -8,6 +8,7 @@ language with the largest corrected count wins.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import each_batch, give_back, held_out, kept_as, small_batches
+from readloom.llm.common import drop, each_batch, held_out, kept_as, record_batch, small_batches, table, tidy
 
 GRAM = 4
 HASHES = 2
 SLOTS_BITS = 20
-#: Training texts to a language at most, about: those with the smallest hashes.
-SAMPLE = 3_000
+#: Different n-grams that a task sums before it sends them.
+HELD = 1 << 20
 #: A language's filter takes the n-grams that make up this share of its n-grams at least, and whose share is this part of the largest share any language has.
 LEAST_SHARE, LEAST_PART = 1e-5, 0.2
 UNKNOWN = "und"
@@ -71,11 +72,15 @@ def counted(texts: list[str], at_once: int = 200) -> tuple[np.ndarray, np.ndarra
     found, n = np.empty(0, np.uint64), np.empty(0, np.int64)
     for lo in range(0, len(texts), at_once):
         new, times = np.unique(np.concatenate([*map(gram_hashes, texts[lo : lo + at_once])]), return_counts=True)
-        found, at = np.unique(np.concatenate([found, new]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([n, times]), minlength=len(found)).astype(np.int64)
+        found, n = merged((found, n), (new, times))
     return found, n
 
 
+def merged(*counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate([x for x, _ in counts]), return_inverse=True)
+    return found, np.bincount(at, np.concatenate([n for _, n in counts]), minlength=len(found)).astype(np.int64)
+
+
 @dataclass
 class Filters:
     languages: list[str]
@@ -84,12 +89,13 @@ class Filters:
 
     @classmethod
     def of(cls, texts: dict[str, list[str]]) -> Filters:
-        languages = sorted(texts)
-        grams, shares = [], []
-        for name in languages:
-            found, n = counted(texts[name])
-            grams.append(found)
-            shares.append(n / max(1, n.sum()))
+        return cls.of_shares({name: (found, n / max(1, n.sum())) for name, (found, n) in ((name, counted(own)) for name, own in texts.items())})
+
+    @classmethod
+    def of_shares(cls, own: dict[str, tuple[np.ndarray, np.ndarray]]) -> Filters:
+        """From n-grams of each language, sorted, and their shares; those below LEAST_SHARE may be left out, as no filter takes them and no larger share is among them."""
+        languages = sorted(own)
+        grams, shares = [own[name][0] for name in languages], [own[name][1] for name in languages]
         everything, at = np.unique(np.concatenate(grams or [np.empty(0, np.uint64)]), return_inverse=True)
         most = np.zeros(len(everything))
         np.maximum.at(most, at, np.concatenate(shares or [np.empty(0)]))
@@ -139,20 +145,54 @@ def _with_bit(i: int) -> np.ndarray:
     return _bits[i]
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filters:
-    """Filters from at most ``sample`` texts of each language: those of rows that aren't held out with the smallest hashes of text."""
-    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    counted = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    # The part of the hashes to take, so that about `sample` texts of a language come; where that many are few, all.
-    parts = [F.when(F.col("lang") == name, F.lit(int(min(1.0, sample / n) * (1 << 30)))) for name, n in counted.items()]
-    texts: dict[str, list[str]] = {name: [] for name in counted}
-    if parts:
-        for r in rows.where(F.pmod("h", F.lit(1 << 30)) < F.coalesce(*parts)).select("lang", "text").toLocalIterator():
-            texts[r["lang"]].append(r["text"])
-    out = Filters.of(texts)
-    del texts
-    give_back()
-    return out
+def _summed(code: dict[str, int]):
+    """N-grams of texts (``lang, text``) summed by language in a task, as many rows as it has different ones or a few times that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def put() -> Iterator[pa.RecordBatch]:
+            for name, (found, n) in held.items():
+                yield record_batch({"l": np.full(len(found), code[name], np.int32), "gram": found.view(np.int64), "n": n}, COUNTED)
+            held.clear()
+
+        for batch in batches:
+            texts: dict[str, list[str]] = {}
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                texts.setdefault(name, []).append(text)
+            for name, own in texts.items():
+                new = counted(own)
+                held[name] = merged(held[name], new) if name in held else new
+            if sum(len(found) for found, _ in held.values()) > HELD:
+                yield from put()
+        yield from put()
+
+    return run
+
+
+COUNTED = pa.schema([("l", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
+
+
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
+    """Filters from the n-grams of all texts with a language that aren't held out.
+
+    They are summed in tasks and by a shuffle; the driver gets those that make up LEAST_SHARE of a language's, so 1 / LEAST_SHARE
+    of each language at most.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # a row a language
+    found = rows.mapInArrow(tidy(_summed({name: i for i, name in enumerate(names)})), "l int, gram long, n long")
+    grams = table(found.groupBy("l", "gram").agg(F.sum("n").alias("n")), "grams", compact=True)
+    totals = {r["l"]: r["n"] for r in grams.groupBy("l").agg(F.sum("n").alias("n")).collect()}
+    out = {}
+    for i, name in enumerate(names):
+        own = grams.where((F.col("l") == i) & (F.col("n") / F.lit(float(totals[i])) >= LEAST_SHARE)).select("gram", "n").toArrow()
+        gram, n = own.column("gram").to_numpy().view(np.uint64), own.column("n").to_numpy()
+        order = np.argsort(gram)
+        out[name] = gram[order], n[order] / totals[i]
+    drop(grams)
+    return Filters.of_shares(out)
 
 
 def identify(docs: DataFrame, filters: Filters, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import drop, each_batch, kept_as, record_batch, small_batches, table, tidy
+from readloom.llm.common import drop, each_batch, kept_as, may_be_in, partitions, record_batch, sieve, small_batches, table, tidy
 from readloom.llm.packing import ByteEncoder
 
-#: Labelled texts to learn from at most, and of a domain at least; buckets of hashed runs of characters; passes at most and the relative error that ends them.
-SAMPLE, FEWEST, BUCKETS = 4_000, 20, 1 << 11
+#: Labelled texts of a domain at least where not all are learnt from; buckets of hashed runs of characters; passes at most and the relative error that ends them.
+FEWEST, BUCKETS = 20, 1 << 11
+#: Steps of learning at most, a pass each, and steps that a direction is made from.
+STEPS, MEMORY = 25, 8
 PASSES, CLOSE = 40, 1e-4
 #: Parts of the direct step that a pass tries.
 PARTS = (1.0, 0.5, 0.2, 0.05)
@@ -61,21 +63,72 @@ class Domains:
         return z / z.sum(axis=-1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, names: list[str], steps: int = 120, penalty: float = 1e-4) -> Domains:
-    """Multinomial logistic regression by accelerated gradient steps."""
-    x1 = np.empty((len(x), x.shape[1] + 1), np.float32)
-    x1[:, :-1], x1[:, -1] = x, 1
-    target = np.eye(len(names), dtype=np.float32)[y]
-    w = v = np.zeros((x1.shape[1], len(names)), np.float32)
-    rate = np.float32(2.0 / max(1e-9, float(np.einsum('ij,ij->i', x1, x1).max())))
-    for step in range(steps):
-        z = x1 @ v
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        new = v - rate * (x1.T @ (p - target) / len(x1) * 4 + np.float32(penalty) * v)
-        v = new + np.float32(step / (step + 3)) * (new - w)
-        w = new
-    return Domains(names, w.astype(np.float64))
+LEARNT = pa.schema([("y", pa.int32()), ("at", pa.binary()), ("x", pa.binary())])
+
+
+def _learnt(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Domains and features, with a constant, of rows of LEARNT, which has those that aren't 0."""
+    at, x = (batch.column(i).to_pylist() for i in (1, 2))
+    out = np.zeros((batch.num_rows, BUCKETS + SHAPES + 1), np.float32)
+    out[np.repeat(np.arange(len(at)), [len(b) // 2 for b in at]), np.frombuffer(b"".join(at), "<u2")] = np.frombuffer(b"".join(x), "<f4")
+    out[:, -1] = 1
+    return np.asarray(batch.column(0)), out
+
+
+def fit(rows: DataFrame, names: list[str], n: int, penalty: float = 2.5e-5) -> Domains:
+    """Multinomial logistic regression on all ``n`` rows of LEARNT by L-BFGS; a pass gives the loss and its gradient, a row of fixed size a task."""
+    spark, k = rows.sparkSession, len(names)
+    shape = (BUCKETS + SHAPES + 1, k)
+    schema = pa.schema([("s", pa.binary())])
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = spark.sparkContext.broadcast(w.astype(np.float32))  # a matrix of fixed size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + w.size)
+            for batch in batches:
+                if batch.num_rows:
+                    y, x = _learnt(batch)
+                    z = x @ shared.value
+                    z -= z.max(axis=1, keepdims=True)
+                    p = np.exp(z)
+                    all_of = p.sum(axis=1, keepdims=True)
+                    own = np.arange(len(y)), y
+                    total[0] += float((np.log(all_of[:, 0]) - z[own]).sum(dtype=np.float64))
+                    p /= all_of
+                    p[own] -= 1
+                    total[1:] += (x.T @ p).ravel()
+            yield record_batch({"s": [total.tobytes()]}, schema)
+
+        got = sum(np.frombuffer(r["s"]) for r in rows.coalesce(partitions(spark)).mapInArrow(tidy(run), "s binary").collect()) / n
+        shared.destroy()
+        return float(got[0] + penalty / 2 * (w**2).sum()), got[1:].reshape(shape) + penalty * w
+
+    w = np.zeros(shape)
+    value, slope = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    passes = 1
+    while passes < STEPS and np.abs(slope).max() > 1e-6:
+        move, taken = -slope, []
+        for s, y in reversed(past):
+            taken.append(float((s * move).sum() / (s * y).sum()))
+            move = move - taken[-1] * y
+        move = move * (float((past[-1][0] * past[-1][1]).sum() / (past[-1][1] ** 2).sum()) if past else 1.0)
+        for (s, y), a in zip(past, reversed(taken)):
+            move = move + s * (a - float((y * move).sum() / (s * y).sum()))
+        part, down = 1.0, float((slope * move).sum())
+        while True:
+            new, after = loss(w + part * move)
+            passes += 1
+            if new <= value + 1e-4 * part * down or passes >= STEPS:
+                break
+            part /= 4
+        if new >= value:
+            break
+        if ((after - slope) * move).sum() > 0:
+            past = [*past, (part * move, after - slope)][-MEMORY:]
+        w, value, slope = w + part * move, new, after
+    return Domains(names, w)
 
 
 def shares_of(counts: dict[str, int], sample: int) -> int:
@@ -89,29 +142,53 @@ def shares_of(counts: dict[str, int], sample: int) -> int:
     return max(FEWEST, most)
 
 
-def learn(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample: int = SAMPLE) -> Domains:
-    """A classifier of all domains of ``labelled`` (id, domain), from at most about ``sample`` of its rows in all or FEWEST of each domain, those with the smallest hashes of ids.
+def learn(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample: int | None = None) -> Domains:
+    """A classifier of all domains of ``labelled`` (id, domain), from all its texts; with ``sample`` from about so many in all or FEWEST of each domain, those with the smallest hashes of ids.
 
     Constants are corrected for how much more of a domain was drawn.  Of several domains of one id the first by name counts.
     """
-    own = labelled.where(F.col(domain_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(domain_col).cast("string")).alias("domain"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    own = labelled.where(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(domain_col).cast("string")).alias("domain"))
+    own = some = table(own, "domains")
     counts = {r["domain"]: r["n"] for r in own.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # a row a domain
-    names, most = sorted(counts) or ["all"], shares_of(counts, sample)
-    bounds = docs.sparkSession.createDataFrame([(d, int(min(1.0, most / n) * (1 << 30))) for d, n in counts.items()], "domain string, most long")
-    own = own.join(F.broadcast(bounds), "domain").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("most")).select("id", "domain")  # a bounded number of rows
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), "id")
-    got = sorted((r["id"], r["domain"], r["text"]) for r in rows.toLocalIterator())
-    if not got:
-        return Domains(names, np.zeros((BUCKETS + SHAPES + 1, len(names))))
-    y = np.array([names.index(d) for _, d, _ in got])
-    x = np.empty((len(got), BUCKETS + SHAPES), np.float32)
-    for row, (_, _, text) in zip(x, got):
-        row[:] = features(text)
-    del got
-    out = fit(x, y, names)
-    drawn = np.bincount(y, minlength=len(names)) / len(y)
-    share = np.array([counts[d] for d in names]) / sum(counts.values())
-    out.weights[-1] += np.where(drawn > 0, np.log(share / np.where(drawn > 0, drawn, 1.0)), 0.0)
+    names = sorted(counts) or ["all"]
+    if sample is not None and counts:
+        most = shares_of(counts, sample)
+        bounds = spark.createDataFrame([(d, int(min(1.0, most / n) * (1 << 30))) for d, n in counts.items()], "domain string, most long")
+        some = own.join(F.broadcast(bounds), "domain").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("most")).select("id", "domain")
+    found = spark.sparkContext.broadcast(sieve(some))  # of bounded size
+    kind = pa.schema([("id", pa.int64()), ("text", pa.string())])
+
+    def labelled_only(batch: pa.RecordBatch) -> dict | None:
+        keep = may_be_in(found.value, np.asarray(batch.column(0)))
+        return dict(zip(kind.names, batch.take(pa.array(keep)).columns)) if len(keep) else None
+
+    def described(batch: pa.RecordBatch) -> dict:
+        at, x = [], []
+        for text in batch.column(1).to_pylist():
+            own = features(text).astype("<f4")
+            held = np.flatnonzero(own)
+            at.append(held.astype("<u2").tobytes())
+            x.append(own[held].tobytes())
+        return {"y": [names.index(d) for d in batch.column(0).to_pylist()], "at": at, "x": x}
+
+    # Texts without a domain aren't shuffled.
+    texts = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    few = texts.mapInArrow(each_batch(labelled_only, kind), "id long, text string").join(some, "id").select("domain", "text")
+    rows = table(few.mapInArrow(each_batch(described, LEARNT), "y int, at binary, x binary"), "learnt")
+    drawn = np.zeros(len(names))
+    for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect():
+        drawn[r["y"]] = r["n"]
+    if drawn.sum():
+        out = fit(rows, names, int(drawn.sum()))
+        drawn /= drawn.sum()
+        share = np.array([counts[d] for d in names]) / sum(counts.values())
+        out.weights[-1] += np.where(drawn > 0, np.log(share / np.where(drawn > 0, drawn, 1.0)), 0.0)
+    else:
+        out = Domains(names, np.zeros((BUCKETS + SHAPES + 1, len(names))))
+    drop(rows, own)
+    found.destroy()
     return out
 
 

@@ -253,6 +253,17 @@ def test_rare_domains_are_learnt(spark):
     assert mixing.shares_of({"a": 10, "b": 3000, "c": 5000}, 4000) == 1995 and mixing.shares_of({"a": 10, "b": 30}, 4000) == 30
 
 
+def test_all_labelled_texts_teach_their_domain(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(["red", "blue", "green", "grey"], 4, p=(0.4, 0.3, 0.2, 0.1) if i % 5 else (0.1, 0.2, 0.3, 0.4))), "ab"[i % 5 == 0]) for i in range(5000)]
+    docs = spark.createDataFrame([(i, t, d) for i, t, d in rows], "doc_id long, text string, domain string").repartition(3)
+    monkeypatch.setattr(mixing, "STEPS", 200)
+    domains = mixing.learn(docs, docs.select("doc_id", "domain"))
+    p = domains.posteriors(np.stack([mixing.features(t) for _, t, _ in rows]))
+    # Where the likelihood of all is largest, posteriors sum to the domains' sizes, but for a small ridge.
+    assert np.allclose(p.sum(axis=0), (4000, 1000), atol=5)
+
+
 # ---- archives ----
 
 PAGES = [(1, "http://a/\r\nX: y", "<p>one</p>"), (2, "u", "two\r\n\r\nWARC/1.1\r\n"), (3, "u", "<p>one</p>"), (4, None, None), (5, "u", ""), (6, "u", "é" * 5000), (7, "u", "<p>one</p>"), (3, "u", "<p>one</p>"), (None, "u", "<p>one</p>"), (8, "u", "z" * 300_000)]

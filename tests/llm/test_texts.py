@@ -322,6 +322,35 @@ def test_all_labelled_texts_are_counted(spark, speech):
     assert {"quux", "corge", "zonk", "blarg", "fnord"} <= set(model.ids) and "unlabelled" not in model.ids
 
 
+def test_the_curve_is_of_all_labelled_texts(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(WORDS["en"] + ["zonk"] * (2 * (i % 12 == 0))) for _ in range(12)), int(i % 12 == 0)) for i in range(2600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(toxicity.FOLDS)).cast("int").alias("fold")
+    labelled = docs.select("doc_id", "text", F.col("toxic").alias("y"), fold)
+    known = [r for r in labelled.collect() if not held(r["doc_id"])]
+    assert sum(not r["y"] for r in known) > 1600
+    learnt = labelled.where(F.col("doc_id").isin([r["doc_id"] for r in known])).select("text", "y", "fold")
+    counts = toxicity.count(learnt, learnt.select("text"))
+    models = [toxicity.Model.of(counts, f) for f in range(toxicity.FOLDS)]
+    x = np.array([models[r["fold"]].outstanding(toxicity.words(r["text"]), (model.margin,))[0] for r in known])
+    y = np.array([r["y"] for r in known], float)
+    p = 1 / (1 + np.exp(-(model.scale[0] * x + model.scale[1])))
+    # Where the likelihood of all is largest, what is predicted sums to what is so, but for a small ridge.
+    assert abs((y - p).mean()) < 2e-4 and abs(((y - p) * x).mean()) < 2e-4
+
+
+def test_all_texts_teach_their_language(spark):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(8)), "xy"[i % 16 == 0]) for i in range(5600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    known = {name: [t for i, t, lang in rows if lang == name and not held(i)] for name in "xy"}
+    assert len(known["x"]) > 3600
+    got, want = langid.train(docs), langid.Filters.of(known)
+    assert got.languages == want.languages and (got.masks == want.masks).all() and (got.wrong == want.wrong).all()
+
+
 def scanned(spark, texts):
     scanner = licences.train(["an ordinary paragraph of words", "and another one of them"])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
