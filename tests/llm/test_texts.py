@@ -324,7 +324,9 @@ def test_all_labelled_texts_are_counted(spark, speech):
 
 def test_the_curve_is_of_all_labelled_texts(spark):
     rng = random.Random(6)
-    rows = [(i, " ".join(rng.choice(WORDS["en"] + ["zonk"] * (2 * (i % 12 == 0))) for _ in range(12)), int(i % 12 == 0)) for i in range(2600)]
+    # Ordinary texts with the largest hashes, which a sample of the smallest has none of, look like toxic ones.
+    last = {r["id"] for r in spark.range(2600).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) >= int(0.85 * (1 << 30))).collect()}
+    rows = [(i, " ".join(rng.choice(WORDS["en"] + ["zonk"] * (2 * (i % 12 == 0 or i in last))) for _ in range(12)), int(i % 12 == 0)) for i in range(2600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
     model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(toxicity.FOLDS)).cast("int").alias("fold")
