@@ -186,13 +186,18 @@ def block(data: bytes) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def write(f: BinaryIO, header: str, rows: Iterable[dict]) -> None:
-    refs = references(header)
-    ids = {name: i for i, (name, _) in enumerate(refs)}
-    text = header.encode()
+def top(header: str) -> bytes:
+    """The blocks that a file begins with."""
+    refs, text = references(header), header.encode()
     start = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs))
     start += b"".join(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", length) for n, length in refs)
-    pending = bytearray(start)
+    return b"".join(block(start[i : i + 60_000]) for i in range(0, len(start), 60_000))
+
+
+def write_records(f: BinaryIO, header: str, rows: Iterable[dict]) -> None:
+    """Blocks of records, which end with a record; such pieces may follow each other."""
+    ids = {name: i for i, (name, _) in enumerate(references(header))}
+    pending = bytearray()
     for row in rows:
         pending += encode(row, ids)
         while len(pending) >= 60_000:
@@ -200,6 +205,11 @@ def write(f: BinaryIO, header: str, rows: Iterable[dict]) -> None:
             del pending[:60_000]
     if pending:
         f.write(block(bytes(pending)))
+
+
+def write(f: BinaryIO, header: str, rows: Iterable[dict]) -> None:
+    f.write(top(header))
+    write_records(f, header, rows)
     f.write(END_BLOCK)
 
 

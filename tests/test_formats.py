@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +245,39 @@ def test_ranges_of_an_alignment_file_are_read_apart(spark, tmp_path):
     a, b = (p.value for p in reader.partitions()[:2])
     with pytest.raises(ValueError, match="don't lead"):
         list(reader.read(bam.InputPartition((0, a[1], (b[1][0], b[1][1] + 1)))))
+
+
+def test_the_rows_of_one_name_are_dealt_among_tasks(spark, tmp_path, monkeypatch):
+    """What the largest task of a writer has doesn't grow with a name, and pieces make the same file."""
+    header = "@SQ\tSN:c\tLN:1000000\n"
+    lines = spark.range(4000).selectExpr("id as _row_id", "concat('q', id, '\t0\tc\t', id + 1, '\t9\t4M\t*\t0\t0\tACGT\tIIII') as body").repartition(3)
+    named = lambda ext: lines.select(F.lit(f"all.{ext}").alias("filename"), "_row_id", "body").unionByName(lines.where("_row_id < 5").select(F.lit(f"few.{ext}").alias("filename"), "_row_id", "body"))
+    want = [f"q{i}\t0\tc\t{i + 1}\t9\t4M\t*\t0\t0\tACGT\tIIII" for i in range(4000)]
+    seen, dealt = [], files._dealt
+
+    def watched(rows, order):
+        out = dealt(rows, order)
+        seen.append(max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()))
+        return out
+
+    monkeypatch.setattr(files, "_dealt", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for ext in ("txt", "sam", "bam"):
+            for folder, write in ((tmp_path / f"one-{ext}", lambda f: files.write_files(named(ext), str(f), header)), (tmp_path / f"two-{ext}", lambda f: files.write_anywhere(named(ext), f"file://{f}", header))):
+                if ext == "bam" and folder.name.startswith("two"):
+                    continue
+                folder.mkdir()
+                write(folder)
+                assert sorted(x for x in os.listdir(folder) if not x.endswith(".crc")) == [f"all.{ext}", f"few.{ext}"]
+                for name, rows in (("all", want), ("few", want[:5])):
+                    path = f"{folder}/{name}.{ext}"
+                    if ext == "bam":
+                        assert bam.bam_header(path) == files.program_line(header)
+                        assert [r["qname"] for r in bam.bam(spark, path).orderBy("_row_id").collect()] == [x.split("\t")[0] for x in rows]
+                    else:
+                        with open(path) as f:
+                            assert f.read() == (files.program_line(header) if ext == "sam" else "") + "".join(f"{x}\n" for x in rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(seen) == 5 and max(seen) < 2500
