@@ -137,14 +137,16 @@ def translate(seq: Column, stop: Column | str = "-", illegal: Column | str = "?"
     """Amino acids of the codons from the first base on; one or two bases left over are dropped."""
     stop, illegal = (x if isinstance(x, Column) else F.lit(x) for x in (stop, illegal))
 
-    table = ".".join(a + b + c for a in CODON_ORDER for b in CODON_ORDER for c in CODON_ORDER)
+    # A codon's place counts its bases from 1 in base 5; 0 is any other letter, whose places hold NUL.
+    order = [None, *CODON_ORDER]
+    letters = F.array(*(F.lit("\0" if None in (x, y, z) else AMINO[16 * CODON_ORDER.index(x) + 4 * CODON_ORDER.index(y) + CODON_ORDER.index(z)]) for x in order for y in order for z in order))
 
-    def amino(place: Column) -> Column:
-        known = F.substring(F.lit(AMINO), ((place - 1) / 4).cast("int") + 1, F.lit(1))
-        return F.when((place == 0) | (place % 4 != 1), illegal).otherwise(let(known, lambda x: F.when(x == "-", stop).otherwise(x)))
+    def amino(codon: Column) -> Column:
+        x, y, z = (F.instr(F.lit(CODON_ORDER), F.substring(codon, k, 1)) for k in (1, 2, 3))
+        return F.get(letters, x * 25 + y * 5 + z)
 
-    places = F.transform(F.regexp_extract_all(seq, F.lit("(?s)..."), F.lit(0)), lambda codon: F.instr(F.lit(table), codon))
-    return F.array_join(F.transform(places, amino), "")
+    found = F.transform(F.regexp_extract_all(seq, F.lit("(?s)..."), F.lit(0)), amino)
+    return F.replace(F.replace(F.array_join(found, ""), F.lit("-"), stop), F.lit("\0"), illegal)
 
 
 def to_num(s: Column) -> Column:

@@ -59,3 +59,10 @@ def test_rounding_and_equality(spark):
 def test_flags_hold_numbers_within_16_bits(spark):
     assert one(spark, S.flag("paired", F.lit(-5.0))) is False and one(spark, S.flag("supplementary_alignment", F.lit(1e9))) is True
     assert [n for i, n in enumerate(S.FLAGS) if one(spark, S.flag(n, F.lit(float(1 << i))))] == S.FLAGS
+
+
+def test_every_codon_and_what_is_none(spark):
+    codons = [a + b + c for a in S.CODON_ORDER for b in S.CODON_ORDER for c in S.CODON_ORDER]
+    want = S.AMINO.replace("-", "*stop*") + "<bad><bad><bad>"
+    row = spark.createDataFrame([("".join(codons) + "ANGacgA.CGT",)], "s string").select(S.translate(F.col("s"), "*stop*", "<bad>")).first()
+    assert row[0] == want
