@@ -135,8 +135,12 @@ def worlds_of_all(plan: MatchPlan, seqs: list[str], strict: bool = False) -> lis
         else:
             for (i, (dist, locs, _)), found in zip(worlds, searched_together(op, seqs, worlds)):
                 if found:
-                    least = min(f[0] for f in found)
-                    new += [(i, (min(255, dist + d), locs | {op.atom: s, op.atom + 1: e}, c)) for d, s, e, c in found if d == least]
+                    least, made = min(f[0] for f in found), {}  # hits at one place share their boundaries, which nothing changes later
+                    for d, s, e, c in found:
+                        if d == least:
+                            if (s, e) not in made:
+                                made[s, e] = locs | {op.atom: s, op.atom + 1: e}
+                            new.append((i, (min(255, dist + d), made[s, e], c)))
         worlds = new
     out: list[list[World]] = [[] for _ in seqs]
     for i, w in worlds:
@@ -166,9 +170,12 @@ def search_udf(plan: MatchPlan, strict: bool = False):
         worlds_n: list[int] = []
         for found in worlds_of_all(plan, [x or "" for x in seqs.to_pylist()], strict):
             worlds_n.append(len(found))
+            before, row = None, []
             for d, at, c in found:
+                if at is not before:
+                    before, row = at, [at.get(i, -1) for i in range(plan.size + 1)]
                 dist.append(d)
-                locs += [at.get(i, -1) for i in range(plan.size + 1)]
+                locs += row
                 ctx += c
                 ctx_n.append(len(c))
         rows = pa.StructArray.from_arrays([pa.array(dist, pa.int32()), _lists(locs, [plan.size + 1] * len(dist), pa.int32()), _lists(ctx, ctx_n, pa.int32())], names=["dist", "locs", "ctx"])

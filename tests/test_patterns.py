@@ -175,3 +175,9 @@ def plainly(plan, seq):
             new += [(dist + d, locs | {op.atom: s, op.atom + 1: e}, b) for d, s, e, b in found if d == min(f[0] for f in found)]
         worlds = new
     return worlds
+
+
+def test_hits_at_one_place_share_their_boundaries():
+    plan = compile_regions([Term(tuple(((i,), "ACG") for i in range(3)), 0.0, (0,)), Hole()], 1)
+    (worlds,) = matching.worlds_of_all(plan, ["ACGTT"])
+    assert [w[2] for w in worlds] == [(0,), (1,), (2,)] and all(w[1] is worlds[0][1] for w in worlds)
