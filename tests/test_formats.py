@@ -281,3 +281,14 @@ def test_the_rows_of_one_name_are_dealt_among_tasks(spark, tmp_path, monkeypatch
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(seen) == 5 and max(seen) < 2500
+
+
+def test_records_of_ranges_are_counted_without_being_decoded(tmp_path):
+    header = "@SQ\tSN:c\tLN:1000000\n"
+    path = str(tmp_path / "a.bam")
+    with open(path, "wb") as f:
+        bam.write(f, header, (files._bam_row(f"q{i}\t0\tc\t{i + 1}\t9\t4M\t*\t0\t0\tACGT\tIIII\tNM:i:{i % 7}") for i in range(20_000)))
+    ranges = [p.value for p in bam._Reader(path, 20_000).partitions()]
+    assert len(ranges) > 2
+    assert [bam.record_count(path, *r[1:]) for r in ranges] == [sum(1 for _ in bam._Reader(path, 20_000).read(p)) for p in bam._Reader(path, 20_000).partitions()]
+    assert sum(bam.record_count(path, *r[1:]) for r in ranges) == 20_000
